@@ -1,0 +1,49 @@
+"""Decontamination against brute force, and its defined edge cases."""
+
+import re
+
+from fluvia.llm.decontaminate import find_contamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def brute(docs, items, window=13):
+    windows = []
+    for item, text in items:
+        w = WORD.findall(lowered(text))
+        n = min(window, len(w))
+        windows += [(str(item), tuple(w[i : i + n])) for i in range(len(w) - n + 1)] if n else []
+    out = {}
+    for doc, text in docs:
+        w = WORD.findall(lowered(text))
+        hit, found = set(), set()
+        for item, x in windows:
+            for i in range(len(w) - len(x) + 1):
+                if tuple(w[i : i + len(x)]) == x:
+                    hit.update(range(i, i + len(x)))
+                    found.add(item)
+        out[doc] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    return {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in find_contamination(d, b).collect()}
+
+
+def test_against_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [("short", "The"), ("two", "of the"), ("none", "!!"), ("null", None)]
+    long = " ".join([f"w{i}" for i in range(3000)] + [items[0][1].upper()] * 2 + ["ende"] * 700)
+    docs += [(1001, items[1][1] + " " + items[1][1]), (1002, None), (1003, ""), (1004, "été " * 20), (1005, long), (1006, items[2][1].replace(" ", "--"))]
+    assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], [("a", "x y")]) == {}
+    assert found(spark, [(1, "x y"), (1, "x y")], []) == {1: (2, 0, [], False)}
