@@ -145,3 +145,11 @@ def starts(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=out[1:])
     return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, in order. Sorting is far faster here than numpy's own unique."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fluvia.llm import language_id, quality_classifier
+from fluvia.llm._frames import join_checked, learning_row
 from fluvia.llm.decontaminate import find_contamination
+from fluvia.llm.quality_rules import apply_rules
 from fluvia.llm.sharding import shuffle_to_shards
 from fluvia.llm.token_count import token_counts
 
@@ -16,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", learning_row("doc_id", 3) == 1)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").distinct()
+    labelled = join_checked(docs.where(~F.col("held_out")), labels, "doc_id", "inner").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "label")
+    model = quality_classifier.fit(labelled)
+    return quality_classifier.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -34,8 +45,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target of the quality rules: documents that every label of theirs calls good."""
+    return _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = apply_rules(docs, trusted(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", learning_row("doc_id", 5) == 0)
+    model = language_id.fit(docs.where(~F.col("held_out")), "text", "lang", "doc_id")
+    return language_id.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op7_sharding, op9_decontamination)}
+    return {f.__name__: f for f in (op3_quality_classifier, op5_token_counts, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
