@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one slice of a batch holds, unless a single text is longer.
 SLICE_BYTES = 2_000_000
+#: Rows that one slice holds at most, so that a row's number fits in 16 bits and sorts by radix.
+SLICE_ROWS = 50_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -74,7 +76,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, max(last, first + 1), first + SLICE_ROWS)
         yield Slice(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

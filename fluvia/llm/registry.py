@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fluvia.llm import language_id, quality_classifier
 from fluvia.llm._frames import join_checked, learning_row
 from fluvia.llm.decontaminate import find_contamination
+from fluvia.llm.jaccard_join import near_duplicates
 from fluvia.llm.quality_rules import apply_rules
 from fluvia.llm.sharding import shuffle_to_shards
 from fluvia.llm.token_count import token_counts
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", learning_row("doc_id", 3) == 1)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").distinct()
@@ -63,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op5_token_counts, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_classifier, op5_token_counts, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
