@@ -1,5 +1,82 @@
-"""The corpus pipeline: each stage works on what the stage before it kept."""
+"""The corpus pipeline: each stage works on what the stage before it kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+`run` writes each stage's rows as Parquet in the folder that the cluster shares, and reads them back for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from fluvia.llm import language_id, sentencepiece_codec
+from fluvia.llm._frames import join_checked, learning_row
+from fluvia.llm.decontaminate import find_contamination
+from fluvia.llm.jaccard_join import near_duplicates
+from fluvia.llm.quality_rules import apply_rules
+from fluvia.llm.registry import trusted
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (or without text) have no language and go."""
+    columns = docs.columns
+    model = language_id.fit(docs.where(learning_row("doc_id", 5) != 0), "text", "lang", "doc_id")
+    judged = language_id.identify(docs.drop("lang_pred", "score"), model)
+    return judged.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or read unlike trusted text, go."""
+    return apply_rules(docs, trusted(spark, sf_dir)).where("kept").select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays, once; a null doc_id stays."""
+    groups = near_duplicates(docs)
+    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    left = join_checked(docs, gone, "doc_id", "left_anti")
+    # rows that repeat a doc_id and text stay once
+    twice = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    rest = join_checked(left, twice, "doc_id", "left_anti")
+    once = join_checked(left, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(once).select(*docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark passages go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of what is left, and whether they decode to the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text"), path), path)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("quality rules", good_quality),
+    ("n-gram Jaccard join", without_near_duplicates),
+    ("benchmark decontamination", without_benchmarks),
+    ("SentencePiece encoding and decoding", encoded),
+]
+
+#: SQL expresses neither the learned stages nor the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
