@@ -5,9 +5,13 @@ Two sets that are similar enough share at least l of the shingles in their l-pre
 prefix filter. Every document posts the shingles of its longest prefix. Documents whose postings promise many candidates
 use a longer prefix, and their candidates must share correspondingly more shingles before they are verified.
 
+A shared shingle counts for a pair only if it stands early enough in both sets for the overlap that their two sizes
+require, so the longer set of a pair looks only among those sizes of partners that its shingle's place allows.
+
 Copies and large groups never become all their pairs. Equal sets are one node from the start. A first round verifies
-each set against one neighbour only, which joins large groups of near copies; the full join then looks only at
-candidates that are not in one component yet, which are all the links that can still change a component.
+each set against one neighbour only, the one whose prefix shingles are the most shared ones, which joins large groups of
+near copies around their least edited member; the full join then looks only at candidates that are not in one component
+yet, which are all the links that can still change a component.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ COSTS = (32, 128, 512)
 CHUNK = 128
 
 
+_UNION = NUMERATOR + DENOMINATOR
+_PLACES = 1 << 31
+
+
 def shingles(piece: _text.Slice, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every text's distinct shingles, ordered by row, then hash. Texts of fewer words have one."""
     words = _text.words(piece, _text.SPACED, lower=True)
@@ -97,7 +105,8 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """(token, set_id, n, q): the shingles in each document's longest prefix; q + 1 is the least l whose prefix has it."""
+    """(token, set_id, nr): the shingles in each document's longest prefix; nr packs the set's size and the place, from 0,
+    of the shingle in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,18 +119,17 @@ def _postings(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
                 order = np.argsort(often, kind="stable")
                 order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
                 rank = np.arange(len(order)) - _text.starts(n)[row]  # rows are in order, before and after
-                q = np.maximum(0, rank - (n - _needed(n))[row])
                 # a shingle that the sketch has seen once stands in no other document
-                kept = (q < LONGEST) & (often[order] > 1)
-                yield pa.RecordBatch.from_pydict({"token": pa.array(value[order][kept].view(np.int64)), "set_id": pa.array(name[row[kept]]), "nq": pa.array((n[row] * 8 + q)[kept])})
+                kept = (rank < (n - _needed(n))[row] + LONGEST) & (often[order] > 1)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(value[order][kept].view(np.int64)), "set_id": pa.array(name[row[kept]]), "nr": pa.array((n[row] * _PLACES + rank)[kept])})
 
-    return docs.select("text").mapInArrow(posted, "token bigint, set_id bigint, nq bigint")
+    return docs.select("text").mapInArrow(posted, "token bigint, set_id bigint, nr bigint")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings in order of token and set: each once, without tokens that only one set has. Holds back one row."""
     carry, followed = np.zeros((0, 3), np.int64), False
-    schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("nq", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("nr", pa.int64())])
 
     def batch_of(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], schema=schema)
@@ -171,6 +179,17 @@ def _alike(a, b):
     return (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
 
 
+def _early(n, rank, other, l):
+    """Whether a shingle stands in the l-prefix that a set of n needs for an overlap with a set of `other` shingles."""
+    overlap = F.ceil(NUMERATOR * (n + other) / _UNION)
+    return rank <= n - overlap + l - 1
+
+
+def _bucket(n):
+    """Sizes within about a twenty-fifth of each other; larger sizes never have smaller buckets."""
+    return F.floor(F.log(n.cast("double")) * 25)
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that a row is linked to over any way.
 
@@ -185,12 +204,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     linking = described.where("doc_id is not null and n > 0")
     usable = docs.where("doc_id is not null")
     ordered = _postings(usable, _frequencies(usable)).repartition("token").sortWithinPartitions("token", "set_id")
-    met = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nq bigint")).select("token", "set_id", F.expr("nq div 8").alias("n"), F.expr("nq % 8").alias("q"))
-
-    # round 1: each set with the one neighbour that most of its prefix shingles name
-    first = met.where("q = 0")
-    hub = first.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("hub"))
-    named = first.join(hub, "token").where(F.col("set_id") != F.col("hub.set_id")).where(_alike(F.col("n"), F.col("hub.n")))
+    met = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nr bigint")).select("token", "set_id", F.expr(f"nr div {_PLACES}").alias("n"), F.expr(f"nr % {_PLACES}").alias("rank"))
+
+    # round 1: each set with the one neighbour that most of its shingles name
+    held = met.groupBy("token").agg(F.count("*").alias("held"))
+    shared = met.join(held, "token").groupBy("set_id").agg(F.sum("held").alias("shared"))
+    hub = met.join(shared, "set_id").groupBy("token").agg(F.max(F.struct("shared", "set_id", "n", "rank")).alias("hub"))
+    one = F.lit(1)
+    named = met.join(hub, "token").where(F.col("set_id") != F.col("hub.set_id")).where(_alike(F.col("n"), F.col("hub.n")) & _early(F.col("n"), F.col("rank"), F.col("hub.n"), one) & _early(F.col("hub.n"), F.col("hub.rank"), F.col("n"), one))
     votes = named.groupBy("set_id", F.col("hub.set_id").alias("to")).count()
     best = votes.groupBy("set_id").agg(F.max(F.struct("count", "to")).alias("best"))
     tried = cut(best.select(F.least("set_id", "best.to").alias("src"), F.greatest("set_id", "best.to").alias("dst")).distinct())
@@ -201,23 +222,31 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     placed = met.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     between = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("token", "held")
     placed = cut(placed.join(between, "token"))
-    cost = placed.where("q = 0").groupBy("set_id").agg(F.sum(F.col("held") - 1).alias("cost"))
+    least = F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}")
+    cost = placed.where(F.col("rank") <= F.col("n") - least).groupBy("set_id").agg(F.sum(F.col("held") - 1).alias("cost"))
     length = F.lit(1)
     for bound in COSTS:
         length = length + (F.coalesce("cost", F.lit(0)) > bound).cast("int")
-    placed = placed.join(cost, "set_id", "left").withColumn("l", F.least(length, F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}")).cast("int"))
-    heaps = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+    placed = placed.join(cost, "set_id", "left").withColumn("l", F.least(length, least).cast("int"))
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     # lists of at most about CHUNK postings of one component, so that no pair within a component is ever made
-    chunked = placed.join(heaps, ["token", "component"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.expr(f"(size + {CHUNK - 1}) div {CHUNK}")))
-    lists = chunked.groupBy("token", "component", "chunk").agg(F.collect_list(F.struct("set_id", "n", "q", "l")).alias("members"))
-    a = lists.select("token", F.col("component").alias("ca"), F.col("members").alias("ma"))
-    b = lists.select("token", F.col("component").alias("cb"), F.col("members").alias("mb"))
+    chunked = placed.join(sizes, ["token", "component"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.expr(f"(size + {CHUNK - 1}) div {CHUNK}")))
+    # the longer set of a pair looks among the sizes that leave its shingle early enough
+    most = F.least(F.col("n"), F.floor((_UNION * (F.col("n") - F.col("rank") + F.col("l") - 1)) / NUMERATOR).cast("long") - F.col("n"))
+    seeking = chunked.withColumn("most", most).where(F.col("most") >= least).withColumn("bucket", F.explode(F.sequence(_bucket(least), _bucket(F.col("most")))))
+    member = F.struct("set_id", "n", "rank", "l")
+    a = seeking.groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("ma")).select("token", "bucket", F.col("component").alias("ca"), "ma")
+    b = chunked.withColumn("bucket", _bucket(F.col("n"))).groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("mb")).select("token", "bucket", F.col("component").alias("cb"), "mb")
 
     def paired(x):
-        fit = F.filter("mb", lambda y: _alike(x["n"], y["n"]) & (F.greatest(x["q"], y["q"]) < F.greatest(x["l"], y["l"])))
-        return F.transform(fit, lambda y: F.struct(F.least(x["set_id"], y["set_id"]).alias("src"), F.greatest(x["set_id"], y["set_id"]).alias("dst"), F.greatest(x["l"], y["l"]).alias("l")))
+        def fits(y):
+            l = F.least(x["l"], y["l"])
+            longer = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["set_id"] < y["set_id"]))
+            return longer & _alike(x["n"], y["n"]) & _early(x["n"], x["rank"], y["n"], l) & _early(y["n"], y["rank"], x["n"], l)
+
+        return F.transform(F.filter("mb", fits), lambda y: F.struct(F.least(x["set_id"], y["set_id"]).alias("src"), F.greatest(x["set_id"], y["set_id"]).alias("dst"), F.least(x["l"], y["l"]).alias("l")))
 
-    met_pairs = a.join(b, "token").where("ca < cb").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
+    met_pairs = a.join(b, ["token", "bucket"]).where("ca <> cb").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
     candidates = met_pairs.groupBy("src", "dst", "l").count().where("count >= l").select("src", "dst").join(tried, ["src", "dst"], "left_anti")
     more = cut(_verified(cut(candidates), usable, linking))
 
