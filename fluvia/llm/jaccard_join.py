@@ -127,7 +127,8 @@ def _postings(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings in order of token and set: each once, without tokens that only one set has. Holds back one row."""
+    """Of postings in order of token, size and set: each once, and only where another set of the token has a size that could
+    match. The nearest sizes stand next to each other, so one row is all that is held back between batches."""
     carry, followed = np.zeros((0, 3), np.int64), False
     schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("nr", pa.int64())])
 
@@ -141,7 +142,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
         rows = rows[new]
-        same = rows[1:, 0] == rows[:-1, 0]
+        size = rows[:, 2] // _PLACES
+        same = (rows[1:, 0] == rows[:-1, 0]) & (DENOMINATOR * size[:-1] >= NUMERATOR * size[1:])
         multi = np.zeros(len(rows), bool)
         multi[0] = followed
         multi[1:] |= same
@@ -186,8 +188,8 @@ def _early(n, rank, other, l):
 
 
 def _bucket(n):
-    """Sizes within about a twenty-fifth of each other; larger sizes never have smaller buckets."""
-    return F.floor(F.log(n.cast("double")) * 25)
+    """Sizes within about a seventh of each other; larger sizes never have smaller buckets."""
+    return F.floor(F.log(n.cast("double")) * 7)
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -203,7 +205,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     described = cut(_described(docs))
     linking = described.where("doc_id is not null and n > 0")
     usable = docs.where("doc_id is not null")
-    ordered = _postings(usable, _frequencies(usable)).repartition("token").sortWithinPartitions("token", "set_id")
+    ordered = _postings(usable, _frequencies(usable)).repartition("token").sortWithinPartitions("token", "nr", "set_id")
     met = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nr bigint")).select("token", "set_id", F.expr(f"nr div {_PLACES}").alias("n"), F.expr(f"nr % {_PLACES}").alias("rank"))
 
     # round 1: each set with the one neighbour that most of its shingles name
