@@ -20,17 +20,21 @@ from fluvia.llm.quality_rules import apply_rules
 from fluvia.llm.registry import trusted
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that stages read beside the whole row, so that no column of documents clashes with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text", "lang")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (or without text) have no language and go."""
-    columns = docs.columns
     model = language_id.fit(docs.where(learning_row("doc_id", 5) != 0), "text", "lang", "doc_id")
-    judged = language_id.identify(docs.drop("lang_pred", "score"), model)
-    return judged.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*columns)
+    judged = language_id.identify(_packed(docs), model)
+    return judged.where(F.col("lang_pred") != language_id.UNDETERMINED).select("__row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or read unlike trusted text, go."""
-    return apply_rules(docs, trusted(spark, sf_dir)).where("kept").select(*docs.columns)
+    return apply_rules(_packed(docs), trusted(spark, sf_dir)).where("kept").select("__row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +51,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark passages go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = find_contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select("__row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
