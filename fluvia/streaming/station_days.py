@@ -1,6 +1,6 @@
 """Incremental daily summaries of station readings.
 
-The reference has no streams; these are the incremental forms of its daily sums and of its idempotent upsert.
+They are the incremental forms of the batch library's daily sums and of its idempotent upsert.
 """
 
 from __future__ import annotations
