@@ -34,7 +34,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of the frequency sketch: a fixed 8 MB, whatever the corpus. It only decides the order, never the result.
 SKETCH_BITS = 22
 LONGEST = 4
-#: Candidates that a document's postings promise, beyond which its prefix is one, two, three shingles longer.
+#: Candidates that a document's postings promise, beyond which its prefix is one, two, three shingles longer, unless the
+#: longer prefix would add more than half as many.
 COSTS = (32, 128, 512)
 #: Postings of one shingle and component that are paired as one list.
 CHUNK = 128
@@ -225,11 +226,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     between = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("token", "held")
     placed = cut(placed.join(between, "token"))
     least = F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}")
-    cost = placed.where(F.col("rank") <= F.col("n") - least).groupBy("set_id").agg(F.sum(F.col("held") - 1).alias("cost"))
+    # what the places that a partner of equal size allows promise in candidates, and what longer prefixes would add
+    place = F.col("rank") - (F.col("n") - F.expr(f"(2 * {NUMERATOR} * n + {_UNION - 1}) div {_UNION}"))
+    more = F.col("held") - 1
+    cost = placed.groupBy("set_id").agg(F.sum(F.when(place <= 0, more).otherwise(0)).alias("cost"), F.sum(F.when((place > 0) & (place < LONGEST), more).otherwise(0)).alias("added"))
     length = F.lit(1)
     for bound in COSTS:
-        length = length + (F.coalesce("cost", F.lit(0)) > bound).cast("int")
-    placed = placed.join(cost, "set_id", "left").withColumn("l", F.least(length, least).cast("int"))
+        length = length + ((F.col("cost") > bound) & (2 * F.col("added") <= F.col("cost"))).cast("int")
+    placed = placed.join(cost, "set_id").withColumn("l", F.least(length, least).cast("int"))
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     # lists of at most about CHUNK postings of one component, so that no pair within a component is ever made
     chunked = placed.join(sizes, ["token", "component"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.expr(f"(size + {CHUNK - 1}) div {CHUNK}")))
