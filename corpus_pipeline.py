@@ -58,7 +58,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of what is left, and whether they decode to the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text"), path), path)
+    out = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "text"), path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 

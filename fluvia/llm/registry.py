@@ -54,7 +54,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    decoded = sentencepiece_codec.encode_and_decode(docs, path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 
