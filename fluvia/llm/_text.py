@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice of a batch holds, unless a single text is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Rows that one slice holds at most, so that a row's number fits in 16 bits and sorts by radix.
 SLICE_ROWS = 50_000
 

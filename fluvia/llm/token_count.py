@@ -9,7 +9,8 @@ looked up.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,8 +18,10 @@ from pyspark.sql.functions import arrow_udf
 
 #: Bytes that one call of the library gets, unless one piece is longer.
 BATCH_BYTES = 1_000_000
-#: Pieces whose counts a worker keeps; beyond, it forgets them all and starts anew.
-KEPT_PIECES = 400_000
+#: The same for batches of short pieces, whose encodings take far more room than their text.
+PIECE_BYTES = 200_000
+#: Pieces whose counts a worker keeps of either generation.
+KEPT_PIECES = 250_000
 
 _WIDE = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -45,6 +48,31 @@ def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
         yield run
 
 
+class Memory:
+    """Two generations of a mapping of bounded size: what is asked for again stays, the rest goes with the older one."""
+
+    def __init__(self, limit: int):
+        self.young: dict = {}
+        self._old: dict = {}
+        self._limit = limit
+
+    def missing(self, keys: Iterable) -> list:
+        """Those keys that neither generation knows; the others are young after this."""
+        young, old, out = self.young, self._old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(key)
+        return out
+
+    def turn(self) -> None:
+        """Makes the young generation the old one once it has reached its size."""
+        if len(self.young) > self._limit:
+            self._old, self.young = self.young, {}
+
+
 def counter(kind: str, model: bytes) -> Callable[[list[str]], list[int]]:
     """Counts of whole texts by the library of the file's kind, without begin, end or added special tokens."""
     if kind == "model":
@@ -57,19 +85,16 @@ def counter(kind: str, model: bytes) -> Callable[[list[str]], list[int]]:
     tokenizer = Tokenizer.from_buffer(model)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    known: dict[str, int] = {}
+    memory = Memory(KEPT_PIECES)
 
     def count(texts: list[str]) -> list[int]:
         out = []
-        for text in texts:
-            cut = pieces(text)
-            if new := [x for x in dict.fromkeys(cut) if x not in known]:
-                if len(known) + len(new) > KEPT_PIECES:
-                    known.clear()
-                    new = list(dict.fromkeys(cut))
-                for run in by_bytes(new):
-                    known.update(zip(run, map(len, tokenizer.encode_batch_fast(run, add_special_tokens=False))))
-            out.append(sum(map(known.__getitem__, cut)))
+        for run in by_bytes(texts):
+            cuts = [pieces(text) for text in run]
+            for new in by_bytes(memory.missing(dict.fromkeys(chain.from_iterable(cuts))), PIECE_BYTES):
+                memory.young.update(zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            out += [sum(map(memory.young.__getitem__, cut)) for cut in cuts]
+            memory.turn()
         return out
 
     return count if _splits_safely(tokenizer) else lambda texts: [len(x) for run in by_bytes(texts) for x in tokenizer.encode_batch_fast(run, add_special_tokens=False)]
