@@ -117,5 +117,30 @@ FROM sized GROUP BY conv_id
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP2 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+pr AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+lk AS (SELECT x, y FROM pr JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
+ed AS (SELECT x AS s, y AS d FROM lk UNION ALL SELECT y, x FROM lk),
+re AS (SELECT rid, rid AS t FROM n UNION SELECT re.rid, ed.d FROM re JOIN ed ON ed.s = re.t),
+cm AS (SELECT re.rid, min(d.doc_id) AS c FROM re JOIN d ON d.rid = re.t GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(cm.c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN cm USING (rid)
+"""
+_OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
+dg AS (SELECT rid, n, s, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM bw) ls WHERE len(w) >= n)),
+ht AS (SELECT DISTINCT dg.rid, dg.n, dg.s, bw.item_id FROM dg JOIN bw USING (n, g)),
+hw AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM ht) GROUP BY rid),
+hi AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM ht GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1}
+    return {"op1_chat_formatting": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_decontamination": _OP9}
