@@ -238,11 +238,12 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     # lists of at most about CHUNK postings of one component, so that no pair within a component is ever made
     chunked = placed.join(sizes, ["token", "component"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.expr(f"(size + {CHUNK - 1}) div {CHUNK}")))
     # the longer set of a pair looks among the sizes that leave its shingle early enough
-    most = F.least(F.col("n"), F.floor((_UNION * (F.col("n") - F.col("rank") + F.col("l") - 1)) / NUMERATOR).cast("long") - F.col("n"))
+    chunked = chunked.withColumn("reach", F.floor((_UNION * (F.col("n") - F.col("rank") + F.col("l") - 1)) / NUMERATOR).cast("long") - F.col("n"))
+    most = F.least("n", "reach")
     seeking = chunked.withColumn("most", most).where(F.col("most") >= least).withColumn("bucket", F.explode(F.sequence(_bucket(least), _bucket(F.col("most")))))
     member = F.struct("set_id", "n", "rank", "l")
-    a = seeking.groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("ma")).select("token", "bucket", F.col("component").alias("ca"), "ma")
-    b = chunked.withColumn("bucket", _bucket(F.col("n"))).groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("mb")).select("token", "bucket", F.col("component").alias("cb"), "mb")
+    a = seeking.groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("ma"), F.max("most").alias("ra"), F.min("n").alias("na")).select("token", "bucket", F.col("component").alias("ca"), "ma", "ra", "na")
+    b = chunked.withColumn("bucket", _bucket(F.col("n"))).groupBy("token", "bucket", "component", "chunk").agg(F.collect_list(member).alias("mb"), F.max("reach").alias("rb"), F.min("n").alias("nb")).select("token", "bucket", F.col("component").alias("cb"), "mb", "rb", "nb")
 
     def paired(x):
         def fits(y):
@@ -252,7 +253,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
 
         return F.transform(F.filter("mb", fits), lambda y: F.struct(F.least(x["set_id"], y["set_id"]).alias("src"), F.greatest(x["set_id"], y["set_id"]).alias("dst"), F.least(x["l"], y["l"]).alias("l")))
 
-    met_pairs = a.join(b, ["token", "bucket"]).where("ca <> cb").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
+    # lists meet only if the sizes that their members' places allow do
+    met_pairs = a.join(b, ["token", "bucket"]).where("ca <> cb and ra >= nb and rb >= na").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
     candidates = met_pairs.groupBy("src", "dst", "l").count().where("count >= l").select("src", "dst").join(tried, ["src", "dst"], "left_anti")
     more = cut(_verified(cut(candidates), usable, linking))
 
