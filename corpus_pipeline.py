@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluvia.llm import language_id, sentencepiece_codec
-from fluvia.llm._frames import join_checked, learning_row
+from fluvia.llm._frames import join_checked, learning_row, small_batches
 from fluvia.llm.decontaminate import find_contamination
 from fluvia.llm.jaccard_join import near_duplicates
 from fluvia.llm.quality_rules import apply_rules
@@ -27,6 +27,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (or without text) have no language and go."""
+    small_batches(spark)
     model = language_id.fit(docs.where(learning_row("doc_id", 5) != 0), "text", "lang", "doc_id")
     judged = language_id.identify(_packed(docs), model)
     return judged.where(F.col("lang_pred") != language_id.UNDETERMINED).select("__row.*")
@@ -34,11 +35,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or read unlike trusted text, go."""
+    small_batches(spark)
     return apply_rules(_packed(docs), trusted(spark, sf_dir)).where("kept").select("__row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once; a null doc_id stays."""
+    small_batches(spark)
     groups = near_duplicates(docs)
     gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     left = join_checked(docs, gone, "doc_id", "left_anti")
@@ -51,12 +54,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark passages go."""
+    small_batches(spark)
     found = find_contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~F.col("contaminated")).select("__row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of what is left, and whether they decode to the text."""
+    small_batches(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "text"), path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")

@@ -7,12 +7,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a table of ids may be broadcast; beyond, the same join is left to a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of one Arrow batch of texts, on either side of a Python worker.
+TEXT_BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of texts hold fewer rows than Spark's default, if the session still has that: documents are far
+    longer than the rows the default is meant for, and both the JVM and Python hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A join whose right side is broadcast only if its counted rows are few; otherwise Spark shuffles both sides."""
     return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, on, how)
@@ -23,8 +35,8 @@ def learning_row(id_column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def summed_vector(df: DataFrame, columns: list[str], count: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows of a vector of `size` whole numbers that `count` makes of each batch.
+def summed_vector(df: DataFrame, columns: list[str], count: Callable[[pa.RecordBatch, np.ndarray], None], size: int) -> np.ndarray:
+    """The sum over all rows of a vector of `size` whole numbers, to which `count` adds what each batch holds.
 
     Each task adds its batches up and emits the blocks that are not all zero, compressed; blocks are added up in a second
     round, as a stream. What reaches the driver is the one vector, whatever the number of rows.
@@ -36,7 +48,7 @@ def summed_vector(df: DataFrame, columns: list[str], count: Callable[[pa.RecordB
         total = np.zeros(size, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += count(batch)
+                count(batch, total)
         packed = [(k, _packed(part)) for k in range(blocks) if (part := total[k * block : (k + 1) * block]).any()]
         yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in packed], pa.int32()), "counts": pa.array([x for _, x in packed], pa.binary())})
 

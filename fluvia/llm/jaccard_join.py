@@ -91,11 +91,9 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame) -> np.ndarray:
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for piece in _text.slices(batch.column(0)):
-            total += np.bincount((shingles(piece)[1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        return total
+            np.add.at(total, (shingles(piece)[1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
 
     return np.minimum(summed_vector(docs, ["text"], count, 1 << SKETCH_BITS), 65535).astype(np.uint16)
 

@@ -60,12 +60,10 @@ WIDTH = BUCKETS + LONGEST_RUN
 def class_ratios(labelled: DataFrame) -> np.ndarray:
     """log of the share of class 1 over the share of class 0, for each indicator, over all rows (text, label)."""
 
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(2 * WIDTH, np.int64)
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         label = np.asarray(batch.column(1).to_pylist(), np.int64)
         for first, _, row, bucket in indicators(batch.column(0)):
             total += np.bincount(bucket + WIDTH * label[first + row], minlength=2 * WIDTH)
-        return total
 
     total = summed_vector(labelled, ["text", "label"], count, 2 * WIDTH).astype(float) + 1
     return np.log(total[WIDTH:] / total[WIDTH:].sum()) - np.log(total[:WIDTH] / total[:WIDTH].sum())

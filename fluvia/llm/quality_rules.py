@@ -44,15 +44,13 @@ def _buckets(piece: _text.Slice) -> tuple[np.ndarray, np.ndarray]:
     return code[keep].astype(np.int64), _text.starts(lengths)
 
 
-def _counts(batch: pa.RecordBatch) -> np.ndarray:
-    total = np.zeros(2 * BUCKETS, np.int64)
+def _counts(batch: pa.RecordBatch, total: np.ndarray) -> None:
     trusted = np.asarray(batch.column(1).fill_null(False).to_pylist(), bool)
     for piece in _text.slices(batch.column(0)):
         buckets, at = _buckets(piece)
         total[BUCKETS:] += np.bincount(buckets, minlength=BUCKETS)
         mine = np.repeat(trusted[piece.first : piece.last], np.diff(at))
         total[:BUCKETS] += np.bincount(buckets[mine], minlength=BUCKETS)
-    return total
 
 
 def log_ratios(docs: DataFrame, text: str, trusted: str) -> np.ndarray:

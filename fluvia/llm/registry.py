@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluvia.llm import chat_format, language_id, quality_classifier, sentencepiece_codec
-from fluvia.llm._frames import join_checked, learning_row
+from fluvia.llm._frames import join_checked, learning_row, small_batches
 from fluvia.llm.decontaminate import find_contamination
 from fluvia.llm.html_extract import extract_main_text
 from fluvia.llm.jaccard_join import near_duplicates
@@ -18,6 +18,7 @@ from fluvia.llm.token_count import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
