@@ -167,11 +167,27 @@ def trace_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, k AS station, s_m, lead(k) OVER (PARTITION BY stream_id ORDER BY k) AS next_station, round(s_m - coalesce(lag(s_m) OVER (PARTITION BY stream_id ORDER BY k), 0), 6) AS step_m FROM p""",
 )
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stations of the reaches that its SQL names; `all_stations` has those of every reach."""
+    return _stations(_reaches(spark, sf_dir).where("stream_id <= 300"))
+
+
+@query(
+    "fx_reaches",
+    """s AS (SELECT stream_id, length_m, CAST(unnest(generate_series(0, CAST(floor(length_m / 60) AS BIGINT))) AS BIGINT) AS k FROM fx_reaches),
+    p AS (SELECT stream_id, k, k * 60.0::DOUBLE AS s_m FROM s UNION ALL SELECT stream_id, CAST(floor(length_m / 60) AS BIGINT) + 1, length_m FROM fx_reaches WHERE length_m > floor(length_m / 60) * 60)
+    SELECT stream_id, k AS station, s_m, lead(k) OVER (PARTITION BY stream_id ORDER BY k) AS next_station, round(s_m - coalesce(lag(s_m) OVER (PARTITION BY stream_id ORDER BY k), 0), 6) AS step_m FROM p""",
+)
+def all_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stations of every reach."""
+    return _stations(_reaches(spark, sf_dir))
+
+
+def _stations(reaches: DataFrame) -> DataFrame:
     """Stations along a reach at fixed steps, and one at its end; each with its neighbour, as wedges are formed."""
     whole = F.floor(F.col("length_m") / 60)
     ends = F.when(F.col("length_m") > whole * 60, F.array(F.struct((whole + 1).alias("station"), F.col("length_m").alias("s_m")))).otherwise(F.array().cast("array<struct<station:bigint,s_m:double>>"))
     steps = F.transform(F.sequence(F.lit(0).cast("long"), whole), lambda k: F.struct(k.alias("station"), (k * 60).cast("double").alias("s_m")))
-    rows = _reaches(spark, sf_dir).where("stream_id <= 300").select("stream_id", F.explode(F.concat(steps, ends)).alias("p")).select("stream_id", "p.*")
+    rows = reaches.select("stream_id", F.explode(F.concat(steps, ends)).alias("p")).select("stream_id", "p.*")
     order = Window.partitionBy("stream_id").orderBy("station")
     return rows.select("stream_id", "station", "s_m", F.lead("station").over(order).alias("next_station"), F.round(F.col("s_m") - F.coalesce(F.lag("s_m").over(order), F.lit(0.0)), 6).alias("step_m"))
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from fluvia.plans import registry
-from fluvia.sources.tables import TABLES
+from fluvia.sources.tables import TABLES, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,11 @@ def test_runs(spark, name):
 
 def test_flagship_has_rows(spark):
     assert registry.flagship(spark, SF).count() > 0
+
+
+def test_every_reach_has_stations(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    reaches = view(spark, sf_dir, "fx_reaches")
+    got = registry.queries()["all_stations"](spark, sf_dir)
+    assert got.select("stream_id").distinct().count() == reaches.count() > 300
+    assert got.count() == reaches.selectExpr("sum(floor(length_m / 60) + 1 + cast(length_m > floor(length_m / 60) * 60 as int)) AS n").first().n
