@@ -2,7 +2,8 @@
 
 Element subtrees are hashed while a page is parsed; Spark counts in how many different pages of a host each hash stands,
 and subtrees that recur across many of them are deleted, as are elements whose tag, role or class names them as
-furniture. What stands inside an article is content however often it recurs, and is only stripped of such elements.
+furniture. Inside an article (or main element) containers are counted too, by the different bodies around them; single
+paragraphs, headings and list items stay there however often they recur.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
 )
 _GONE = frozenset("head script style noscript template title iframe object embed svg math canvas audio video nav footer aside form button select textarea input menu dialog search xmp noembed noframes map".split())
+#: Elements of running text: inside an article they are never templates by themselves.
+_PROSE = frozenset("blockquote body caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html legend li p pre summary tbody tfoot thead tr".split())
+#: What tells a hash inside an article from the same one outside.
+_INSIDE = 0x5851F42D4C957F2D
 _GONE_OUTSIDE = frozenset(["header"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _FURNITURE = re.compile(
@@ -43,6 +48,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|</?([A-Za-z][^\s
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def _signed(name: int) -> int:
+    return name - (1 << 64) if name >> 63 else name
+
+
 class _Element:
     __slots__ = ("tag", "seen", "gone", "content", "first", "holds")
 
@@ -70,8 +79,10 @@ class Page:
     def __init__(self, source: str):
         #: (text, in an article, in a main element) of each run; a None text ends a block
         self.runs: list[tuple[str | None, bool, bool]] = []
-        #: (hash, first run, run after the last) of every removable subtree
-        self.subtrees: list[tuple[int, int, int]] = []
+        #: (hash, first run, run after the last, body around it or None outside articles) of every removable subtree
+        self.subtrees: list[tuple[int, int, int, int | None]] = []
+        #: those of the article or main element that is open
+        self._inner: list[tuple[int, int, int]] = []
         self._stack: list[_Element] = [_Element("#root", False, False, 0)]
         self._articles = self._mains = 0
         at = 0
@@ -159,17 +170,48 @@ class Page:
         holds = e.holds or e.tag in ("article", "main", "body", "html")
         above.holds |= holds
         if e.tag in _BLOCK:
-            if not e.content and not holds and any(not x.isspace() for x in e.seen):
-                self.subtrees.append((name - (1 << 64) if name >> 63 else name, e.first, len(self.runs)))
+            if not holds and any(not x.isspace() for x in e.seen):
+                if not e.content:
+                    self.subtrees.append((_signed(name), e.first, len(self.runs), None))
+                elif e.tag not in _PROSE:
+                    self._inner.append((_signed(name ^ _INSIDE), e.first, len(self.runs)))
             self._break()
+        if e.content and not above.content and self._inner:
+            self._settle(e.first)
+
+    def _settle(self, first: int) -> None:
+        """Gives the subtrees of a closed article the body around them: its longest block outside the subtree, so that copies
+        of a text that differ elsewhere are one body. A subtree that is all of the article has the body 0."""
+        blocks, start, block = [], first, []
+        for k in range(first, len(self.runs)):
+            if self.runs[k][0] is not None:
+                block.append(self.runs[k][0])
+            if self.runs[k][0] is None or k == len(self.runs) - 1:
+                text = " ".join("".join(block).split())
+                if text:
+                    blocks.append((-len(text), text, start))
+                start, block = k + 1, []
+        blocks.sort()
+        for name, a, b in self._inner:
+            body = next((text for _, text, at in blocks if not a <= at < b), "")
+            self.subtrees.append((name, a, b, _signed(xxhash.xxh64(body).intdigest()) if body else 0))
+        self._inner = []
 
     def main_text(self, templates: frozenset[int]) -> str:
-        """Blocks of the articles (else of the main elements, else of all), without template subtrees."""
-        removed = [(a, b) for name, a, b in self.subtrees if name in templates]
+        """Blocks left without template subtrees: those of the articles if they hold most of that text, else those of the main
+        elements if they do, else all."""
+        removed = [(a, b) for name, a, b, _ in self.subtrees if name in templates]
         cut = bytearray(len(self.runs))
         for a, b in removed:
             cut[a:b] = b"\x01" * (b - a)
-        which = 1 if any(r[1] for r in self.runs) else 2 if any(r[2] for r in self.runs) else 0
+        left = [0, 0, 0]
+        for k, (text, article, main) in enumerate(self.runs):
+            if text is not None and not cut[k]:
+                n = len(text.strip())
+                left[0] += n
+                left[1] += n * article
+                left[2] += n * main
+        which = next((k for k in (1, 2) if 2 * left[k] > left[0]), 0)
         blocks, block = [], []
         for k, run in enumerate(self.runs):
             if run[0] is None:
@@ -184,17 +226,18 @@ class Page:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of subtrees that recur across many pages of a host. pages: host, html. Equal pages count once."""
+    """(host, hash) of subtrees that recur across many pages of a host. pages: host, html. Equal pages, and equal
+    bodies around what stands in an article, count once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, names, hashes = [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {h for h, _, _ in Page(source).subtrees}
-                name = xxhash.xxh64(source).intdigest()
+                name = _signed(xxhash.xxh64(source).intdigest())
+                found = {(h, name if body is None else body) for h, _, _, body in Page(source).subtrees}
                 hosts += [host] * (len(found) + 1)
-                names += [name - (1 << 64) if name >> 63 else name] * (len(found) + 1)
-                hashes += [None, *found]  # the null row counts the page itself
+                names += [name, *(body for _, body in found)]
+                hashes += [None, *(h for h, _ in found)]  # the null row counts the page itself
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page": pa.array(names, pa.int64()), "hash": pa.array(hashes, pa.int64())})
 
     seen = pages.select("host", "html").mapInArrow(hashed, "host string, page bigint, hash bigint").distinct().groupBy("host", "hash").count()

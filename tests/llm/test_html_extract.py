@@ -43,5 +43,23 @@ def test_article_paragraphs_stay_however_often_they_recur(spark):
     assert {r.text for r in got} == {f"Boilerplate words\n\nown {i}" for i in range(9)}
 
 
+def test_articles_are_chosen_only_for_most_of_the_text():
+    cards = "<article><h2>Card</h2></article>" * 3
+    assert text(f"<body><div><p>The long main text of this page</p></div>{cards}</body>").startswith("The long main text of this page")
+    assert text("<body><article> </article><main>text</main></body>") == "text"
+    assert text("<body><article></article><div>text</div></body>") == "text"
+    assert text("<article>long enough an article</article><div>aside</div>") == "long enough an article"
+
+
+def test_recurring_containers_inside_articles_go(spark):
+    note = "<div class='x7'><p>Read our other stories</p></div>"
+    rows = [(i, "http://h.example/", f"<article><p>The own text of page {i}</p>{note}</article>") for i in range(9)]
+    # copies of one text with another title are one body, so what they share stays
+    rows += [(100 + i, "http://c.example/", f"<article><h1>Title {i}</h1><p>One text that stands in copies</p><section><p>Its second part</p></section></article>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"The own text of page {i}" for i in range(9))
+    assert all(got[100 + i] == f"Title {i}\n\nOne text that stands in copies\n\nIts second part" for i in range(9))
+
+
 def test_empty_table(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
