@@ -2,7 +2,7 @@
 
 Element subtrees are hashed while a page is parsed; Spark counts in how many different pages of a host each hash stands,
 and subtrees that recur across many of them are deleted, as are elements whose tag, role or class names them as
-furniture. Inside an article (or main element) containers are counted too, by the different bodies around them; single
+furniture; a role, class or form deletes nothing that is or holds an article, a main element or most of the text. Inside an article (or main element) containers are counted too, by the different bodies around them; single
 paragraphs, headings and list items stay there however often they recur.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -31,16 +32,16 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
 )
-_GONE = frozenset("head script style noscript template title iframe object embed svg math canvas audio video nav footer aside form button select textarea input menu dialog search xmp noembed noframes map".split())
+_GONE = frozenset("head script style noscript template title iframe object embed svg math canvas audio video nav footer aside button select textarea input menu dialog search xmp noembed noframes map".split())
 #: Elements of running text: inside an article they are never templates by themselves.
 _PROSE = frozenset("blockquote body caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html legend li p pre summary tbody tfoot thead tr".split())
 #: What tells a hash inside an article from the same one outside.
 _INSIDE = 0x5851F42D4C957F2D
 _GONE_OUTSIDE = frozenset(["header"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|widgets?|comments?|disqus|respond|replies|share|sharing|social|newsletters?|subscribe|subscription|related|recommended|footer|masthead|pagination|pager|toolbar|skip-link|login|signup)(?:$|[\s_-])"
-)
+_WORDS = r"(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|widgets?|comments?|disqus|respond|replies|share|sharing|social|newsletters?|subscribe|subscription|related|recommended|footer|masthead|pagination|pager|toolbar|login|signup)"
+#: A class or id of which one whole token is a listed word, or is made of nothing else (cookie-notice, not has-comments).
+_FURNITURE = re.compile(rf"(?:^|\s)(?:{_WORDS}(?:[_-]+{_WORDS})*|skip-link)(?:$|\s)")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl menu select div section article main body html td th li dd blockquote aside nav header footer form figure fieldset".split())
 
@@ -53,22 +54,30 @@ def _signed(name: int) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "seen", "gone", "content", "first", "holds")
+    __slots__ = ("tag", "seen", "gone", "named", "content", "first", "holds")
 
-    def __init__(self, tag: str, gone: bool, content: bool, first: int):
-        self.tag, self.gone, self.content, self.first = tag, gone, content, first
+    def __init__(self, tag: str, gone: bool, content: bool, first: int, named: bool = False):
+        self.tag, self.gone, self.content, self.first, self.named = tag, gone, content, first, named
         self.seen: list[str] = []
         self.holds = False
 
 
-def _furniture(tag: str, attributes: str, content: bool) -> bool:
+def _gone(tag: str, attributes: str, content: bool) -> bool:
+    """Whether an element is deleted whatever it holds."""
     if tag in _GONE or (not content and tag in _GONE_OUTSIDE):
         return True
+    return "hidden" in attributes.lower() and tag not in ("html", "body") and any(name.lower() == "hidden" for name, *_ in _ATTRIBUTE.findall(attributes))
+
+
+def _furniture(tag: str, attributes: str) -> bool:
+    """Whether an element is deleted unless it is or holds what the page is about."""
+    if tag == "form":
+        return True
     if not attributes or tag in ("html", "body"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "role" and value in _ROLES) or (name in ("class", "id") and _FURNITURE.search(value)):
+        if (name == "role" and value in _ROLES) or (name in ("class", "id") and _FURNITURE.search(value)):
             return True
     return False
 
@@ -81,7 +90,9 @@ class Page:
         self.runs: list[tuple[str | None, bool, bool]] = []
         #: (hash, first run, run after the last, body around it or None outside articles) of every removable subtree
         self.subtrees: list[tuple[int, int, int, int | None]] = []
-        #: those of the article or main element that is open
+        #: (first run, run after the last) of elements that a class, id, role or form names as furniture
+        self.named: list[tuple[int, int]] = []
+        #: subtrees of the article or main element that is open
         self._inner: list[tuple[int, int, int]] = []
         self._stack: list[_Element] = [_Element("#root", False, False, 0)]
         self._articles = self._mains = 0
@@ -144,9 +155,9 @@ class Page:
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK and tag not in _RAW:
             top.seen.append(f"<{tag}>")
             return
-        gone = top.gone or _furniture(tag, attributes, top.content)
+        gone = top.gone or _gone(tag, attributes, top.content)
         content = not gone and (top.content or tag in ("article", "main"))
-        stack.append(_Element(tag, gone, content, len(self.runs)))
+        stack.append(_Element(tag, gone, content, len(self.runs), not gone and _furniture(tag, attributes)))
         if not gone:
             self._articles += tag == "article"
             self._mains += tag == "main"
@@ -167,7 +178,10 @@ class Page:
             self._mains -= e.tag == "main"
         name = xxhash.xxh64(f"<{e.tag}>{' '.join(' '.join(e.seen).split())}").intdigest()
         above.seen.append(f"<{name}>")
-        holds = e.holds or e.tag in ("article", "main", "body", "html")
+        # an article in another one is a comment or a card, which its class may delete
+        holds = e.holds or e.tag in ("main", "body", "html") or (e.tag == "article" and self._articles == 0)
+        if e.named and not holds:
+            self.named.append((e.first, len(self.runs)))
         above.holds |= holds
         if e.tag in _BLOCK:
             if not holds and any(not x.isspace() for x in e.seen):
@@ -200,7 +214,9 @@ class Page:
     def main_text(self, templates: frozenset[int]) -> str:
         """Blocks left without template subtrees: those of the articles if they hold most of that text, else those of the main
         elements if they do, else all."""
+        sizes = [0, *accumulate(len(r[0].strip()) if r[0] else 0 for r in self.runs)]
         removed = [(a, b) for name, a, b, _ in self.subtrees if name in templates]
+        removed += [(a, b) for a, b in self.named if 2 * (sizes[b] - sizes[a]) <= sizes[-1]]
         cut = bytearray(len(self.runs))
         for a, b in removed:
             cut[a:b] = b"\x01" * (b - a)

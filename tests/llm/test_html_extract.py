@@ -51,6 +51,20 @@ def test_articles_are_chosen_only_for_most_of_the_text():
     assert text("<article>long enough an article</article><div>aside</div>") == "long enough an article"
 
 
+def test_class_names_never_delete_what_the_page_is_about():
+    for page in (
+        '<article class="post has-comments"><p>main text</p></article>',
+        '<div id="page" class="no-sidebar"><p>main text</p></div>',
+        '<div class="layout with-sidebar"><article><p>main text</p></article></div>',
+        '<main class="related"><p>main text</p></main>',
+        '<div class="widget"><main><p>main text</p></main></div>',
+        '<form action="/"><div><p>main text</p></div></form>',
+        '<div class="widget"><p>main text</p></div>',
+    ):
+        assert text(f"<body>{page}<div class='cookie-notice'>no</div><form>no</form></body>") == "main text", page
+    assert text("<article>The article itself<section class='comments'><article>First!</article></section></article>") == "The article itself"
+
+
 def test_recurring_containers_inside_articles_go(spark):
     note = "<div class='x7'><p>Read our other stories</p></div>"
     rows = [(i, "http://h.example/", f"<article><p>The own text of page {i}</p>{note}</article>") for i in range(9)]
