@@ -11,8 +11,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, compress, repeat
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -20,11 +21,12 @@ from pyspark.sql.functions import arrow_udf
 
 from fluvia.lineage import cut
 
-#: A subtree is a template of its host from so many different pages on, and from this share of the host's pages.
+#: A subtree is a template of its host from so many different pages on, whatever the host's size.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.02
-#: Template hashes up to which they are broadcast; beyond, pages and templates are joined by a shuffle on the host.
+#: Templates up to which they are broadcast (8 bytes each); beyond, those of each page are found by salted shuffles.
 BROADCAST_HASHES = 1_000_000
+#: Parts into which a template that stands in many pages, or a page that stands in many rows, is dealt there.
+SALTS = 16
 
 # Element names and words of class names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,48 +243,83 @@ class Page:
         return "\n\n".join(b for b in blocks if b)
 
 
+def _of_host(host: str, names: list[int]) -> np.ndarray:
+    """Hashes of subtrees as those of one host."""
+    return np.array(names, np.int64) ^ np.int64(_signed(xxhash.xxh64(host).intdigest()))
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of subtrees that recur across many pages of a host. pages: host, html. Equal pages, and equal
+    """(hash) of subtrees, each with its host, that recur across pages of the host. pages: host, html. Equal pages, and equal
     bodies around what stands in an article, count once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, names, hashes = [], [], []
+            names, hashes = [], [np.zeros(0, np.int64)]
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = _signed(xxhash.xxh64(source).intdigest())
                 found = {(h, name if body is None else body) for h, _, _, body in Page(source).subtrees}
-                hosts += [host] * (len(found) + 1)
-                names += [name, *(body for _, body in found)]
-                hashes += [None, *(h for h, _ in found)]  # the null row counts the page itself
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page": pa.array(names, pa.int64()), "hash": pa.array(hashes, pa.int64())})
+                names += [body for _, body in found]
+                hashes.append(_of_host(host, [h for h, _ in found]))
+            yield pa.RecordBatch.from_pydict({"page": pa.array(names, pa.int64()), "hash": pa.array(np.concatenate(hashes))})
+
+    seen = pages.select("host", "html").mapInArrow(hashed, "page bigint, hash bigint").distinct().groupBy("hash").count()
+    return seen.where(f"count >= {LEAST_PAGES}").select("hash")
+
+
+def _templates_by_page(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """(page, templates) of the pages that hold templates: no list is longer than its page has subtrees. pages: page, host, html."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, hashes = [], [np.zeros(0, np.int64)]
+            for page, host, source in zip(*(c.to_pylist() for c in batch.columns)):
+                found = {h for h, _, _, _ in Page(source).subtrees}
+                names += [page] * len(found)
+                hashes.append(_of_host(host, list(found)))
+            yield pa.RecordBatch.from_pydict({"page": pa.array(names, pa.int64()), "hash": pa.array(np.concatenate(hashes))})
 
-    seen = pages.select("host", "html").mapInArrow(hashed, "host string, page bigint, hash bigint").distinct().groupBy("host", "hash").count()
-    sizes = seen.where("hash is null").select("host", F.col("count").alias("pages"))
-    return seen.where(f"hash is not null and count >= {LEAST_PAGES}").join(sizes, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages")).select("host", "hash")
+    found = pages.select("page", "host", "html").mapInArrow(hashed, "page bigint, hash bigint").distinct()
+    dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = found.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(dealt, ["hash", "salt"])
+    return held.groupBy("page").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """Adds text (empty if none) and n_chars (code points) to every page.
 
-    A null html counts as empty, a null or odd url as the host ''. A host has at most 1 / LEAST_SHARE times as many
-    templates as a page has subtrees, so the joined lists are bounded. Repeated rows are extracted alike. Existing
-    columns named text or n_chars are replaced; an empty table gives an empty table.
+    A null html counts as empty, a null or odd url as the host ''. Repeated rows are extracted alike. Existing columns
+    named text or n_chars are replaced; an empty table gives an empty table.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
     hosted = pages.drop("text", "n_chars").withColumns({"__host": host, "__html": F.coalesce(F.col(source), F.lit(""))})
-    templates = site_templates(hosted.select(F.col("__host").alias("host"), F.col("__html").alias("html"))).groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("hash")).alias("__templates"))
-
-    templates = cut(templates)
-    size = templates.agg(F.coalesce(F.sum(F.size("__templates") + 4), F.lit(0)).alias("n")).first()["n"]
-    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_HASHES else templates, "__host", "left")
+    templates = cut(site_templates(hosted.select(F.col("__host").alias("host"), F.col("__html").alias("html"))))
 
-    @arrow_udf("string")
-    def extracted(source: pa.Array, templates: pa.Array) -> pa.Array:
-        known: dict[tuple, frozenset] = {}
+    def texts(hosts: pa.Array, sources: pa.Array, known: Iterator[np.ndarray]) -> pa.Array:
         out = []
-        for text, hashes in zip(source.to_pylist(), templates.to_pylist()):
-            key = tuple(hashes or ())
-            out.append(Page(text).main_text(known.setdefault(key, frozenset(key))))
+        for host_, text, sorted_ in zip(hosts.to_pylist(), sources.to_pylist(), known):
+            page = Page(text)
+            names = [x[0] for x in page.subtrees]
+            hashes = _of_host(host_, names)
+            at = np.searchsorted(sorted_, hashes)
+            held = sorted_[np.minimum(at, len(sorted_) - 1)] == hashes if len(sorted_) else np.zeros(len(names), bool)
+            out.append(page.main_text(frozenset(compress(names, held))))
         return pa.array(out, pa.string())
 
-    return joined.withColumn("text", extracted("__html", "__templates")).withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__html", "__templates")
+    if templates.count() <= BROADCAST_HASHES:
+        all_ = pages.sparkSession.sparkContext.broadcast(np.sort(templates.toArrow()["hash"].to_numpy()))
+
+        @arrow_udf("string")
+        def extracted(hosts: pa.Array, sources: pa.Array) -> pa.Array:
+            return texts(hosts, sources, repeat(all_.value))
+
+        return hosted.withColumn("text", extracted("__host", "__html")).withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__html")
+
+    @arrow_udf("string")
+    def extracted_with(hosts: pa.Array, sources: pa.Array, lists: pa.Array) -> pa.Array:
+        return texts(hosts, sources, (np.sort(np.array(x or [], np.int64)) for x in lists.to_pylist()))
+
+    named = hosted.withColumn("__page", F.xxhash64("__host", "__html"))
+    lists = _templates_by_page(named.select(F.col("__page").alias("page"), F.col("__host").alias("host"), F.col("__html").alias("html")), templates)
+    dealt = lists.select(F.col("page").alias("__page"), F.col("templates").alias("__templates"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    joined = named.withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int")).join(dealt, ["__page", "__salt"], "left")
+    return joined.withColumn("text", extracted_with("__host", "__html", "__templates")).select(*pages.drop("text", "n_chars").columns, "text", F.char_length("text").cast("long").alias("n_chars"))

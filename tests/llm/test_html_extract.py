@@ -75,5 +75,19 @@ def test_recurring_containers_inside_articles_go(spark):
     assert all(got[100 + i] == f"Title {i}\n\nOne text that stands in copies\n\nIts second part" for i in range(9))
 
 
+def test_templates_count_alike_on_hosts_of_any_size(spark, monkeypatch):
+    def html(i):
+        return f"<body><div>Own text number {i}</div>" + ("<div><p>A notice that rotates</p></div>" if i % 60 == 0 else "") + "</body>"
+
+    rows = [(i, "http://big.example/", html(i)) for i in range(400)] + [(1000 + i, "http://big.example/", html(7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Own text number {i}" for i in range(400)} | {1000 + i: "Own text number 7" for i in range(40)}
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", 0)
+    out = html_extract.extract_main_text(df)
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert {r.page_id: r.text for r in out.collect()} == want
+
+
 def test_empty_table(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
