@@ -20,8 +20,15 @@ from fluvia.llm import _text
 
 #: Labelled text per language: at most so many documents (chosen by a hash of their id), whole, and so many words.
 FIT_DOCUMENTS = 400
-#: A word is learned for a language if this many of its sampled documents hold it.
+#: A word is learned for a language if this many of its sampled documents hold it; from languages with fewer sampled
+#: documents than FEW_DOCUMENTS, and from those without such a word, every word is.
 LEAST_DOCUMENTS = 2
+FEW_DOCUMENTS = 20
+#: Bytes of the longest word that is learned whole. Of longer runs, and of long ones in scripts without blanks, all
+#: overlapping pieces of PIECE_CHARS characters are.
+LONGEST_WORD = 64
+UNSPACED_BYTES = 12
+PIECE_CHARS = 4
 #: Words that one language's automaton holds at most: those in most documents.
 FIT_WORDS = 12_000
 UNDETERMINED = "und"
@@ -83,6 +90,15 @@ def suffix_automaton(words: list[bytes], code: np.ndarray, width: int) -> np.nda
     return table.ravel()
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    """What is learned of a run of letters and digits."""
+    if len(word) <= UNSPACED_BYTES or (len(word) <= LONGEST_WORD and word[0] < 0xE0):
+        return [word]
+    starts = [*np.flatnonzero((np.frombuffer(word, np.uint8) & 0xC0) != 0x80).tolist(), len(word)]
+    cut = [word[a:b] for a, b in zip(starts, starts[PIECE_CHARS:])]
+    return cut + [word] if len(word) <= LONGEST_WORD else cut
+
+
 def _learned(rows: list, labelled: dict[str, int]) -> Automata:
     """Automata of the words (lower-cased bytes) that enough documents of a language hold.
 
@@ -114,17 +130,23 @@ def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Automata:
                 for piece in _text.slices(pa.array([text_.as_py()], pa.string())):
                     w = _text.words(piece, _text.ALNUM, lower=True)
                     raw = piece.data.tobytes()
-                    own = {raw[a:b].lower() for a, b in zip(w.start.tolist(), w.end.tolist()) if b - a <= 64}
+                    own = {p for x in {raw[a:b].lower() for a, b in zip(w.start.tolist(), w.end.tolist())} for p in _pieces(x)}
                     words += own
                     langs += [lang_] * len(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary())})
 
     counted = sample.select("lang", "text").mapInArrow(split, "lang string, word binary").groupBy("lang", "word").count()
-    # a word belongs to the language that uses it most, unless it is common in both
-    share = Window.partitionBy("word")
-    common = counted.withColumn("most", F.max("count").over(share)).where((F.col("count") >= LEAST_DOCUMENTS) & (3 * F.col("count") >= F.col("most")))
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    return _learned(common.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("lang", "word").collect(), labelled)
+    # a word belongs to the language in the larger share of whose documents it stands, unless it is common in both; few
+    # documents say little of how common their words are, so FEW_DOCUMENTS more are supposed to lack them
+    sizes = docs.sparkSession.createDataFrame([(k, min(n, FIT_DOCUMENTS)) for k, n in labelled.items()], "lang string, sampled long")
+    sized = counted.join(F.broadcast(sizes), "lang")
+    most = F.max(F.col("count") / (F.col("sampled") + FEW_DOCUMENTS)).over(Window.partitionBy("word"))
+    frequent = (F.col("count") >= LEAST_DOCUMENTS) | (F.col("sampled") < FEW_DOCUMENTS)
+    judged = sized.withColumn("kept", frequent & (3 * F.col("count") / F.col("sampled") >= most))
+    top = Window.partitionBy("lang").orderBy(F.desc("kept"), F.desc("count"), "word")
+    best = judged.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("lang", "word", "kept").collect()
+    sure = {r.lang for r in best if r.kept}
+    return _learned([r for r in best if r.kept or r.lang not in sure], labelled)
 
 
 def phrases(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:

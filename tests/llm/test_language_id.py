@@ -44,3 +44,23 @@ def test_nothing_learned(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = lid.fit(empty, "text", "lang", "doc_id")
     assert lid.identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).first().lang_pred == "und"
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, f"gemeinsam wort und noch {chr(97 + i % 26)}x{i % 7}", "aa") for i in range(350)]
+    rows += [(1000 + i, f"gemeinsam wort lille ord nummer{i}", "bb") for i in range(60)]  # shares its commonest words
+    rows += [(2000, "unico documento etiquetado", "cc")]
+    signs = [chr(0x4E00 + i) for i in range(40)]
+    rows += [(3000 + i, "".join(rng.choice(signs) for _ in range(200)), "zh") for i in range(30)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert set(model.languages) == {"aa", "bb", "cc", "zh"}
+    asked = [(1, "unico documento", "cc"), (2, "".join(rng.choice(signs) for _ in range(50)), "zh"), (3, "gemeinsam wort lille", "bb"), (4, "gemeinsam und noch", "aa")]
+    got = {r.doc_id: r.lang_pred for r in lid.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert got == {1: "cc", 2: "zh", 3: "bb", 4: "aa"}
+
+
+def test_long_runs_give_bounded_overlapping_pieces():
+    assert lid._pieces(b"short") == [b"short"]
+    assert lid._pieces(b"abcde" * 20)[:2] == [b"abcd", b"bcde"] and len(lid._pieces(b"abcde" * 20)) == 97
+    assert lid._pieces("天地玄黄宇宙".encode())[0] == "天地玄黄".encode()
