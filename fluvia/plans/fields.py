@@ -69,9 +69,24 @@ def irrigation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT f.fid, round(s.m, 6) AS irr_obs, coalesce(s.m <= 0.2, false) AS pattern FROM fx_fields f LEFT JOIN s USING (fid)""",
 )
 def field_irrigation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with those observations that its SQL names; `field_irrigation_all` has all of them."""
+    return _irrigated(view(spark, sf_dir, "fx_fields"), view(spark, sf_dir, "fx_point_year").where("point_id % 3 = 0"))
+
+
+@query(
+    "fx_fields fx_point_year",
+    """s AS (SELECT point_id % 100 AS fid, avg(irr_class) AS m FROM fx_point_year GROUP BY 1)
+    SELECT f.fid, round(s.m, 6) AS irr_obs, coalesce(s.m <= 0.2, false) AS pattern FROM fx_fields f LEFT JOIN s USING (fid)""",
+)
+def field_irrigation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with all their observed irrigation."""
+    return _irrigated(view(spark, sf_dir, "fx_fields"), view(spark, sf_dir, "fx_point_year"))
+
+
+def _irrigated(all_fields: DataFrame, observed: DataFrame) -> DataFrame:
     """Fields with observed irrigation; a field without any is not a pattern field."""
-    stats = view(spark, sf_dir, "fx_point_year").where("point_id % 3 = 0").groupBy((F.col("point_id") % 100).alias("fid")).agg(F.avg("irr_class").alias("m"))
-    joined = view(spark, sf_dir, "fx_fields").join(stats, "fid", "left")
+    stats = observed.groupBy((F.col("point_id") % 100).alias("fid")).agg(F.avg("irr_class").alias("m"))
+    joined = all_fields.join(stats, "fid", "left")
     return joined.select("fid", F.round("m", 6).alias("irr_obs"), F.coalesce(F.col("m") <= 0.2, F.lit(False)).alias("pattern"))
 
 
