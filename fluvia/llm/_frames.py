@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a table of ids may be broadcast; beyond, the same join is left to a shuffle.
 BROADCAST_ROWS = 2_000_000
-
-
+#: The C library's name for the largest number of its heaps.
+_ARENA_MAX = -8
 #: Rows of one Arrow batch of texts, on either side of a Python worker.
 TEXT_BATCH_ROWS = 2_000
 
@@ -25,6 +27,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Gives memory that a task no longer needs back to the system when the task is done, and lets the threads of a library
+    share their heaps: Python workers are used again, and what they merely keep counts against the executor all the same."""
+    try:
+        library = ctypes.CDLL(None)
+        with suppress(AttributeError):  # not every C library can
+            library.mallopt(_ARENA_MAX, 2)
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError):
+            library.malloc_trim(0)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A join whose right side is broadcast only if its counted rows are few; otherwise Spark shuffles both sides."""
     return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, on, how)
@@ -45,11 +62,13 @@ def summed_vector(df: DataFrame, columns: list[str], count: Callable[[pa.RecordB
     blocks = -(-size // block)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                count(batch, total)
-        packed = [(k, _packed(part)) for k in range(blocks) if (part := total[k * block : (k + 1) * block]).any()]
+        with released():
+            total = np.zeros(size, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    count(batch, total)
+            packed = [(k, _packed(part)) for k in range(blocks) if (part := total[k * block : (k + 1) * block]).any()]
+            del total
         yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in packed], pa.int32()), "counts": pa.array([x for _, x in packed], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +77,12 @@ def summed_vector(df: DataFrame, columns: list[str], count: Callable[[pa.RecordB
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = _unpacked(counts)
                 sums.setdefault(k, np.zeros(block, np.int64))[: len(part)] += part
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "total": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "total": pa.array([_packed(x) for x in sums.values()], pa.binary())})
 
     parts = df.select(*columns).mapInArrow(partial, "block int, counts binary")
     out = np.zeros(blocks * block, np.int64)
     for row in parts.repartition(8, "block").mapInArrow(added, "block int, total binary").collect():
-        out[row.block * block : (row.block + 1) * block] += np.frombuffer(row.total, np.int64)
+        out[row.block * block : (row.block + 1) * block] += _unpacked(row.total)
     return out[:size]
 
 

@@ -57,7 +57,7 @@ def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     decoded = sentencepiece_codec.encode_and_decode(docs, path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"), "parity")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,15 @@ def pieces(text: str) -> list[str]:
 
 
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of texts, each of at most `limit` characters unless it is one text."""
+    """Runs of texts, each of at most `limit` UTF-8 bytes unless it is one text."""
     run, size = [], 0
     for text in texts:
-        if run and size + len(text) > limit:
+        more = len(text) if text.isascii() else len(text.encode())
+        if run and size + more > limit:
             yield run
             run, size = [], 0
         run.append(text)
-        size += len(text)
+        size += more
     if run:
         yield run
 
