@@ -65,7 +65,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "text"), path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_codec.MARK, " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"), "parity")
 
 
 STAGES = [
