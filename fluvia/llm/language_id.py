@@ -1,9 +1,14 @@
 """Language identification by cross-parsing with suffix automata.
 
-For each language, a suffix automaton holds the words of labelled text. A text is parsed greedily into the longest
-phrases that the automaton knows; a phrase ends where no labelled word goes on like that, and at the end of a word. The
-language that needs the fewest phrases per byte wins. Equal words of a batch are parsed once, and the cursors of all
-words move on in step, so that a step is a few numpy operations on a transition table.
+For each language, a suffix automaton holds labelled texts, whole and with their blanks. A text is parsed greedily into
+the longest phrases that the automaton knows; a phrase ends only where no labelled text goes on like that. Of texts,
+learned and judged ones alike, letters and all bytes beyond ASCII are read, A-Z as a-z, and any run of other bytes as one
+blank; so writing without blanks is read like any other.
+
+A text is parsed in stretches of STRETCH bytes (the last one shorter), each on its own, so that the cursors of many
+stretches move on in step and a step is a few numpy operations. In a stretch a language's phrases count log2 of the bytes
+learned, as in the entropy that cross-parsing estimates; they are divided by the least of any language there, at most
+CAP, and weighted by the stretch's bytes. The language with the least sum wins.
 """
 
 from __future__ import annotations
@@ -17,38 +22,49 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from fluvia.llm import _text
+from fluvia.llm._frames import join_checked
 
-#: Labelled text per language: at most so many documents (chosen by a hash of their id), whole, and so many words.
-FIT_DOCUMENTS = 400
-#: A word is learned for a language if this many of its sampled documents hold it; from languages with fewer sampled
-#: documents than FEW_DOCUMENTS, and from those without such a word, every word is.
-LEAST_DOCUMENTS = 2
-FEW_DOCUMENTS = 20
-#: Bytes of the longest word that is learned whole. Of longer runs, and of long ones in scripts without blanks, all
-#: overlapping pieces of PIECE_CHARS characters are.
-LONGEST_WORD = 64
-UNSPACED_BYTES = 12
-PIECE_CHARS = 4
-#: Words that one language's automaton holds at most: those in most documents.
-FIT_WORDS = 12_000
+#: Labelled rows of each language that are learned: at most so many, the first by a hash, and whole. Rows of up to LONG
+#: bytes come first; of a longer one, learned only where those do not suffice, one part of LONG bytes is, by its hash.
+FIT_ROWS = 32
+LONG = 3_000
+#: Bytes of a stretch, and by how much a language may fall behind the best one in a stretch.
+STRETCH = 256
+CAP = 1.25
+#: Bytes of all automata together, about half a megabyte a language, beyond which they are not sent out.
+MODEL_BYTES = 256_000_000
 UNDETERMINED = "und"
 
+#: Places that are tried for a row of transitions before it is put behind all others.
+TRIES = 24
+
+_LETTERS = _text.byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+_HASHES = 1 << 20
+
+
+class Machine(NamedTuple):
+    """An automaton in displaced rows: the state after code c in state s is target[base[s] + c] if check there is s."""
+
+    base: np.ndarray
+    check: np.ndarray
+    target: np.ndarray
+
 
 class Automata(NamedTuple):
-    """next[k][state * width + code[byte]]: the state of language k after a byte, or -1. State 0 is the start."""
+    """Languages in the order in which ties are decided, each with the codes of bytes, its automaton and its weight."""
 
     languages: list[str]
-    code: np.ndarray
-    width: int
-    next: list[np.ndarray]
+    codes: list[np.ndarray]
+    machines: list[Machine]
+    weights: list[float]
 
 
-def suffix_automaton(words: list[bytes], code: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the smallest automaton that knows every part of every word, as one table of states by codes."""
+def suffix_automaton(texts: list[bytes], code: np.ndarray) -> Machine:
+    """The smallest automaton that knows every part of every text. State 0 is the start."""
     link, longest, moves = [-1], [0], [{}]
-    for word in words:
+    for text in texts:
         last = 0
-        for c in code[np.frombuffer(word, np.uint8)].tolist():
+        for c in code[np.frombuffer(text, np.uint8)].tolist():
             if (there := moves[last].get(c)) is not None:
                 if longest[there] == longest[last] + 1:
                     last = there
@@ -83,86 +99,128 @@ def suffix_automaton(words: list[bytes], code: np.ndarray, width: int) -> np.nda
                         moves[p][c] = copy
                         p = link[p]
             last = new
-    table = np.full((len(moves), width), -1, np.int32)
-    for state, out in enumerate(moves):
-        for c, there in out.items():
-            table[state, c] = there
-    return table.ravel()
+    return _displaced(moves, int(code.max()) + 1)
 
 
-def _pieces(word: bytes) -> list[bytes]:
-    """What is learned of a run of letters and digits."""
-    if len(word) <= UNSPACED_BYTES or (len(word) <= LONGEST_WORD and word[0] < 0xE0):
-        return [word]
-    starts = [*np.flatnonzero((np.frombuffer(word, np.uint8) & 0xC0) != 0x80).tolist(), len(word)]
-    cut = [word[a:b] for a, b in zip(starts, starts[PIECE_CHARS:])]
-    return cut + [word] if len(word) <= LONGEST_WORD else cut
+def _displaced(moves: list[dict[int, int]], width: int) -> Machine:
+    """Rows of transitions laid over each other, the fullest first, each at one of the first TRIES places or beyond all."""
+    size = sum(map(len, moves)) + 2 * width
+    used = bytearray(2 * size + 256 * width)
+    base = np.zeros(len(moves), np.int32)
+    check = np.full(len(used), -1, np.int32)
+    target = np.zeros(len(used), np.int32)
+    free = beyond = width
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        row = moves[state]
+        if not row:
+            break
+        first, *rest = sorted(row)
+        at = free = used.find(0, free)
+        for _ in range(TRIES if rest else 0):
+            if not any(used[at - first + c] for c in rest):
+                break
+            at = used.find(0, at + 1)
+        else:
+            at = max(at, beyond) if rest else at
+        beyond = max(beyond, at - first + (rest[-1] if rest else first) + 1)
+        base[state] = at - first
+        for c, there in row.items():
+            used[at - first + c] = 1
+            check[at - first + c], target[at - first + c] = state, there
+        if len(used) - at < 4 * width:
+            used.extend(bytes(len(used)))
+            check = np.concatenate([check, np.full(len(used) - len(check), -1, np.int32)])
+            target = np.concatenate([target, np.zeros(len(used) - len(target), np.int32)])
+    end = int(np.flatnonzero(check >= 0).max(initial=0)) + 2 * width
+    return Machine(base, check[:end].copy(), target[:end].copy())
 
 
-def _learned(rows: list, labelled: dict[str, int]) -> Automata:
-    """Automata of the words (lower-cased bytes) that enough documents of a language hold.
+def letters(piece: _text.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """What is read of each row's bytes, back to back, and where each row begins (one offset more than rows)."""
+    data = piece.data | (((piece.data >= 65) & (piece.data <= 90)).astype(np.uint8) << 5)
+    inside = _LETTERS[data]
+    data = np.where(inside, data, np.uint8(32))
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # the first byte of a run of others
+    begins = piece.offsets[:-1][np.diff(piece.offsets) > 0]
+    kept[begins] = inside[begins]
+    return data[kept], np.append(0, np.cumsum(kept))[piece.offsets]
 
-    Languages stand in the order in which ties are decided: those with more labelled rows first, then by name.
-    """
-    found = sorted((r.lang, bytes(r.word)) for r in rows)
-    used = np.zeros(256, bool)
-    for _, word in found:
-        used[np.frombuffer(word, np.uint8)] = True
-    code = np.full(256, int(used.sum()), np.int64)
-    code[used] = np.arange(used.sum())
-    width = int(used.sum()) + 1
-    languages = sorted({lang for lang, _ in found}, key=lambda x: (-labelled.get(x, 0), x))
-    return Automata(languages, code, width, [suffix_automaton([w for x, w in found if x == lang], code, width) for lang in languages])
+
+def _learned(sample: dict[str, list[bytes]], labelled: dict[str, int]) -> Automata:
+    languages = sorted(sample, key=lambda x: (-labelled.get(x, 0), x))
+    codes, machines, weights, size = [], [], [], 0
+    for lang in languages:
+        used = np.zeros(256, bool)
+        for text in sample[lang]:
+            used[np.frombuffer(text, np.uint8)] = True
+        code = np.full(256, int(used.sum()), np.int64)
+        code[used] = np.arange(used.sum())
+        codes.append(code)
+        machines.append(suffix_automaton(sample[lang], code))
+        weights.append(float(np.log2(2 + sum(map(len, sample[lang])))))
+        size += sum(x.nbytes for x in machines[-1])
+        if size > MODEL_BYTES:
+            raise ValueError(f"the automata of {len(languages)} languages take more than {MODEL_BYTES} bytes")
+    return Automata(languages, codes, machines, weights)
 
 
 def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Automata:
-    """Learns from a bounded sample of the rows of each language; null languages and null texts teach nothing."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")).where("lang is not null and text is not null")
-    sample = rows.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= FIT_DOCUMENTS)
+    """Learns from a bounded sample of the rows of each language; null languages, and texts without a letter, teach nothing.
 
-    labelled = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    Which rows are learned is decided by hashes and lengths alone; only texts of the rows chosen travel.
+    """
+    value = F.col(text)
+    rows = docs.select(F.col(lang).alias("lang"), value.alias("text"), F.col(doc_id).alias("id")).where("lang is not null").where(value.rlike(r"\p{L}"))
+    rows = rows.withColumns({"h": F.xxhash64("id", "text"), "long": F.octet_length("text") > LONG})
+    labelled = {(r["lang"], r["long"]): r["count"] for r in rows.groupBy("lang", "long").count().collect()}
+    # a share of the hashes that holds several times the rows needed, of languages with many rows
+    shares = [(k, w, max(1, min(_HASHES, 4 * FIT_ROWS * _HASHES // n)) if n > 16 * FIT_ROWS else _HASHES) for (k, w), n in labelled.items()]
+    if not shares:
+        return Automata([], [], [], [])
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share long")
+    few = rows.join(F.broadcast(limits), ["lang", "long"]).where(F.pmod("h", F.lit(_HASHES)) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy("long", "h", "id")
+    chosen = few.select("lang", "long", "h", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_ROWS).select("lang", "h").distinct()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, words = [], []
-            for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for piece in _text.slices(pa.array([text_.as_py()], pa.string())):
-                    w = _text.words(piece, _text.ALNUM, lower=True)
-                    raw = piece.data.tobytes()
-                    own = {p for x in {raw[a:b].lower() for a, b in zip(w.start.tolist(), w.end.tolist())} for p in _pieces(x)}
-                    words += own
-                    langs += [lang_] * len(own)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary())})
-
-    counted = sample.select("lang", "text").mapInArrow(split, "lang string, word binary").groupBy("lang", "word").count()
-    # a word belongs to the language in the larger share of whose documents it stands, unless it is common in both; few
-    # documents say little of how common their words are, so FEW_DOCUMENTS more are supposed to lack them
-    sizes = docs.sparkSession.createDataFrame([(k, min(n, FIT_DOCUMENTS)) for k, n in labelled.items()], "lang string, sampled long")
-    sized = counted.join(F.broadcast(sizes), "lang")
-    most = F.max(F.col("count") / (F.col("sampled") + FEW_DOCUMENTS)).over(Window.partitionBy("word"))
-    frequent = (F.col("count") >= LEAST_DOCUMENTS) | (F.col("sampled") < FEW_DOCUMENTS)
-    judged = sized.withColumn("kept", frequent & (3 * F.col("count") / F.col("sampled") >= most))
-    top = Window.partitionBy("lang").orderBy(F.desc("kept"), F.desc("count"), "word")
-    best = judged.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("lang", "word", "kept").collect()
-    sure = {r.lang for r in best if r.kept}
-    return _learned([r for r in best if r.kept or r.lang not in sure], labelled)
-
-
-def phrases(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
+            langs, texts = [], []
+            hashes = batch.column(2).to_pylist()
+            for piece in _text.slices(batch.column(1)):
+                data, offsets = letters(piece)
+                for k in range(piece.first, piece.last):
+                    own = data[offsets[k - piece.first] : offsets[k - piece.first + 1]]
+                    part = hashes[k] % max(1, len(own) // LONG)
+                    texts.append((own[part * LONG : (part + 1) * LONG] if len(own) > LONG else own).tobytes())
+                    langs.append(batch.column(0)[k].as_py())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "text": pa.array(texts, pa.binary())})
+
+    found = join_checked(few, chosen, ["lang", "h"], "left_semi").select("lang", "text", "h").mapInArrow(read, "lang string, text binary")
+    sample: dict[str, list[bytes]] = {}
+    # rows that repeat an id and text are learned once
+    for row in sorted(found.distinct().collect(), key=lambda r: (r["lang"], bytes(r["text"]))):
+        sample.setdefault(row["lang"], []).append(bytes(row["text"]))
+    totals: dict[str, int] = {}
+    for (k, _), n in labelled.items():
+        totals[k] = totals.get(k, 0) + n
+    return _learned(sample, totals)
+
+
+def phrases(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, machine: Machine) -> np.ndarray:
     """Phrases that each stretch of codes needs: at each turn the longest known one, or one unknown code."""
+    base, check, target = machine
     out = np.zeros(len(begin), np.int64)
     who = np.flatnonzero(begin < end)
     at, stop = begin[who].copy(), end[who]
-    state = np.zeros(len(who), np.int64)
+    state = np.zeros(len(who), np.int32)
     while len(who):
-        there = table[state * width + codes[at]].astype(np.int64)
-        lost = there < 0
-        ended = lost & (state > 0)  # a phrase ends before this code, which is read again
+        slot = base[state] + codes[at]
+        lost = check[slot] != state
         unknown = lost & (state == 0)
         out[who[lost]] += 1
-        at += ~ended
-        state = np.where(lost, 0, there)
+        at += ~lost | unknown  # otherwise a phrase ends before this code, which is read again
+        state = np.where(lost, np.int32(0), target[slot])
         over = at >= stop
         if over.any():
             out[who[over & ~unknown]] += 1
@@ -175,16 +233,18 @@ def _judged(column: pa.Array, model: Automata) -> pa.Array:
     best, score = [], []
     for piece in _text.slices(column):
         rows = piece.last - piece.first
-        words = _text.words(piece, _text.ALNUM, lower=True)
-        _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        lowered = piece.data + 32 * ((piece.data >= 65) & (piece.data <= 90)).astype(np.uint8)
-        codes = model.code[lowered]
-        size = _text.per_row(words.row, rows, (words.end - words.start).astype(float))
-        rates = np.stack([_text.per_row(words.row, rows, phrases(codes, words.start[first], words.end[first], table, model.width)[inverse].astype(float)) for table in model.next]) / np.maximum(1, size)
-        order = np.argsort(rates, axis=0, kind="stable")
-        ranked = np.take_along_axis(rates, order, axis=0)
+        data, offsets = letters(piece)
+        parts = -(-np.diff(offsets) // STRETCH)
+        row = np.repeat(np.arange(rows), parts)
+        begin = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(_text.starts(parts)[:-1], parts)) * STRETCH
+        end = np.minimum(begin + STRETCH, offsets[1:][row])
+        needed = np.stack([w * phrases(code[data], begin, end, machine) for code, machine, w in zip(model.codes, model.machines, model.weights)])
+        needed = np.minimum(needed / np.maximum(needed.min(axis=0, initial=np.inf), 1e-12), CAP) * (end - begin)
+        sums = np.stack([_text.per_row(row, rows, x) for x in needed]) / np.maximum(1, np.diff(offsets))
+        order = np.argsort(np.round(sums, 9), axis=0, kind="stable")
+        ranked = np.take_along_axis(sums, order, axis=0)
         best += order[0].tolist()
-        score.append(1 - ranked[0] / np.maximum(ranked[1], 1e-12) if len(model.next) > 1 else np.ones(rows))
+        score.append(1 - ranked[0] / np.maximum(ranked[1], 1e-12) if len(model.languages) > 1 else np.ones(rows))
     score = np.round(np.clip(np.concatenate(score), 0, 1), 6) if score else np.zeros(0)
     return pa.StructArray.from_arrays([pa.array([model.languages[i] for i in best], pa.string()), pa.array(score)], ["lang", "score"])
 
@@ -193,8 +253,8 @@ def identify(docs: DataFrame, model: Automata, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1: by how much the second language needs more phrases) to every document.
 
     Null texts, and texts without a letter, are `und` with score 0, as all texts are if nothing was learned. Texts with
-    letters but without a word that separates the languages get the tied language with most labelled rows, with score 0. Existing
-    columns of the two names are replaced; an empty table gives an empty table.
+    letters that all languages parse equally well get the one with most labelled rows, with score 0. Existing columns of
+    the two names are replaced; repeated rows are judged alike; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

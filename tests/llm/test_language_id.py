@@ -16,11 +16,11 @@ def test_phrases_are_longest_matches():
     for _ in range(60):
         known = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(6)]
         parts = {w[i:j] for w in known for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-        table = lid.suffix_automaton([w.encode() for w in known], code, 4)
+        machine = lid.suffix_automaton([w.encode() for w in known], code)
         words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(0, 14))) for _ in range(20)]
         raw = np.frombuffer("".join(words).encode(), np.uint8)
         end = np.cumsum([len(w) for w in words])
-        got = lid.phrases(code[raw], end - [len(w) for w in words], end, table, 4)
+        got = lid.phrases(code[raw], end - [len(w) for w in words], end, machine)
         for w, n in zip(words, got):
             at = want = 0
             while at < len(w):
@@ -60,7 +60,69 @@ def test_every_labelled_language_is_learned(spark):
     assert got == {1: "cc", 2: "zh", 3: "bb", 4: "aa"}
 
 
-def test_long_runs_give_bounded_overlapping_pieces():
-    assert lid._pieces(b"short") == [b"short"]
-    assert lid._pieces(b"abcde" * 20)[:2] == [b"abcd", b"bcde"] and len(lid._pieces(b"abcde" * 20)) == 97
-    assert lid._pieces("天地玄黄宇宙".encode())[0] == "天地玄黄".encode()
+def read_by_hand(text):
+    out, blank = bytearray(), True
+    for b in (text or "").encode():
+        b = b + 32 if 65 <= b <= 90 else b
+        if 97 <= b <= 122 or b >= 128:
+            out.append(b)
+            blank = False
+        elif not blank:
+            out.append(32)
+            blank = True
+    return bytes(out)
+
+
+def judged_by_hand(text, samples):
+    """The language, by the definition: longest parts of learned texts, stretch by stretch."""
+    said = read_by_hand(text)
+    sums = dict.fromkeys(samples, 0.0)
+    for a in range(0, len(said), lid.STRETCH):
+        part = said[a : a + lid.STRETCH]
+        needed = {}
+        for lang, texts in samples.items():
+            at = n = 0
+            while at < len(part):
+                step = next((k for k in range(len(part) - at, 0, -1) if any(part[at : at + k] in t for t in texts)), 1)
+                at, n = at + step, n + 1
+            needed[lang] = n * np.log2(2 + sum(map(len, texts)))
+        for lang, n in needed.items():
+            sums[lang] += min(n / min(needed.values()), lid.CAP) * len(part) / len(said)
+    return sums
+
+
+def test_whole_documents_by_hand(spark):
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(30)]
+    learned = {"en": ["the quick brown fox and the lazy dog", "over the hills and far away"], "de": ["der schnelle braune fuchs", "über die hügel und weit weg"], "zh": ["".join(rng.choice(signs) for _ in range(300))]}
+    rows = [(i * 10 + k, t, lang) for i, (lang, texts) in enumerate(learned.items()) for k, t in enumerate(texts)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    samples = {k: [read_by_hand(t) for t in v] for k, v in learned.items()}
+    words = "the quick fox der fuchs über hills away weg und and DOG 12 -- é".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(25)] + ["".join(rng.choice(signs) for _ in range(n)) for n in (1, 5, 90, 200)] + ["  The!", "ñ" * 300]
+    got = lid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        if r.lang_pred == "und":
+            assert not any(c.isalpha() for c in texts[r.doc_id])
+            continue
+        sums = judged_by_hand(texts[r.doc_id], samples)
+        best, second = sorted(sums.values())[:2]
+        assert sums[r.lang_pred] < best + 1e-8, texts[r.doc_id]
+        assert abs(r.score - (1 - best / second)) < 1e-5
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    rows = [(i, f"wort nummer {chr(97 + i % 26)} und mehr " * 200, "aa", 1) for i in range(5)] + [(9, "other words here", "bb", 1)] * 3 + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").withColumn("lang_pred", F.lit("old"))
+    model = lid.fit(df, "text", "lang", "doc_id")  # every row of aa is a long one: a part of each is learned
+    out = lid.identify(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "score", "lang_pred"]
+    assert sorted((r.lang_pred for r in out.collect()), key=str) == ["aa"] * 5 + ["bb"] * 3 + ["und"]
+
+
+def test_automata_of_many_languages_are_refused(monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(lid, "MODEL_BYTES", 100)
+    with pytest.raises(ValueError):
+        lid._learned({"aa": [b"some text"], "bb": [b"other text"]}, {})
