@@ -2,14 +2,16 @@
 
 Element subtrees are hashed while a page is parsed; Spark counts in how many different pages of a host each hash stands,
 and subtrees that recur across many of them are deleted, as are elements whose tag, role or class names them as
-furniture; a role, class or form deletes nothing that is or holds an article, a main element or most of the text. Inside an article (or main element) containers are counted too, by the different bodies around them; single
-paragraphs, headings and list items stay there however often they recur.
+furniture; a role, class or form deletes nothing that is or holds an article, a main element or most of the text. Inside
+an article (or main element) containers are counted too, by the different bodies around them; single paragraphs,
+headings and list items stay there however often they recur.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, compress, repeat
 
@@ -97,6 +99,9 @@ class Page:
         #: subtrees of the article or main element that is open
         self._inner: list[tuple[int, int, int]] = []
         self._stack: list[_Element] = [_Element("#root", False, False, 0)]
+        #: where on the stack elements of each tag stand, and those that hold paragraphs and list items in
+        self._places: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
         self._articles = self._mains = 0
         at = 0
         while at < len(source):
@@ -135,20 +140,17 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         stack = self._stack
         if tag in _BLOCK and tag not in ("html", "body"):
-            k = len(stack) - 1
-            while k > 0 and stack[k].tag not in _SCOPE and stack[k].tag != "p":
-                k -= 1
-            if stack[k].tag == "p":  # a block ends an open paragraph
+            k = self._last("p")
+            if k > (self._scopes[-1] if self._scopes else 0):  # a block ends an open paragraph
                 while len(stack) > k:
                     self._close()
         if tag in _CLOSES:
-            k = len(stack) - 1
-            while k > 0 and stack[k].tag not in _CLOSES[tag] and stack[k].tag not in _SCOPE:
-                k -= 1
-            while k > 0 and stack[k].tag in _CLOSES[tag]:
-                while len(stack) > k:
-                    self._close()
-                k = len(stack) - 1
+            k = max(map(self._last, _CLOSES[tag]))
+            if k > next((s for s in reversed(self._scopes) if stack[s].tag not in _CLOSES[tag]), 0):
+                while stack[k].tag in _CLOSES[tag]:
+                    while len(stack) > k:
+                        self._close()
+                    k = len(stack) - 1
         top = stack[-1]
         if tag in _BLOCK:
             self._break()
@@ -159,21 +161,29 @@ class Page:
             return
         gone = top.gone or _gone(tag, attributes, top.content)
         content = not gone and (top.content or tag in ("article", "main"))
+        self._places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            self._scopes.append(len(stack))
         stack.append(_Element(tag, gone, content, len(self.runs), not gone and _furniture(tag, attributes)))
         if not gone:
             self._articles += tag == "article"
             self._mains += tag == "main"
 
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of the tag stands on the stack, or 0."""
+        places = self._places.get(tag)
+        return places[-1] if places else 0
+
     def _end(self, tag: str) -> None:
-        stack = self._stack
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                while len(stack) > k:
-                    self._close()
-                return
+        if k := self._last(tag):
+            while len(self._stack) > k:
+                self._close()
 
     def _close(self) -> None:
         e = self._stack.pop()
+        self._places[e.tag].pop()
+        if e.tag in _SCOPE:
+            self._scopes.pop()
         above = self._stack[-1]
         if not e.gone:
             self._articles -= e.tag == "article"
@@ -207,9 +217,13 @@ class Page:
                 if text:
                     blocks.append((-len(text), text, start))
                 start, block = k + 1, []
-        blocks.sort()
+        # the best block before, and after, each place in the order of the page
+        at = [x[2] for x in blocks]
+        keys = [x[:2] for x in blocks]
+        none = (0, "")
+        before, after = [none, *accumulate(keys, min)], [*accumulate(reversed(keys), min)][::-1] + [none]
         for name, a, b in self._inner:
-            body = next((text for _, text, at in blocks if not a <= at < b), "")
+            body = min(before[bisect_left(at, a)], after[bisect_left(at, b)])[1]
             self.subtrees.append((name, a, b, _signed(xxhash.xxh64(body).intdigest()) if body else 0))
         self._inner = []
 
@@ -219,9 +233,11 @@ class Page:
         sizes = [0, *accumulate(len(r[0].strip()) if r[0] else 0 for r in self.runs)]
         removed = [(a, b) for name, a, b, _ in self.subtrees if name in templates]
         removed += [(a, b) for a, b in self.named if 2 * (sizes[b] - sizes[a]) <= sizes[-1]]
-        cut = bytearray(len(self.runs))
+        depth = [0] * (len(self.runs) + 1)
         for a, b in removed:
-            cut[a:b] = b"\x01" * (b - a)
+            depth[a] += 1
+            depth[b] -= 1
+        cut = [*accumulate(depth)]
         left = [0, 0, 0]
         for k, (text, article, main) in enumerate(self.runs):
             if text is not None and not cut[k]:

@@ -91,3 +91,14 @@ def test_templates_count_alike_on_hosts_of_any_size(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    pages = ["<div>" * n + "</b>" * n, "<p>" + "<b>" * n + "<h1>x</h1>" * n, "<div><p><b>" * n, "<li><div>" * n + "</li>" * n, "<article>" + "<div>text " * n, "<table>" + "<tr><td>x" * n]
+    for page in pages:
+        began = time.process_time()
+        html_extract.Page(page).main_text(frozenset())
+        assert time.process_time() - began < 5, page[:30]
