@@ -8,7 +8,6 @@ word confirms an occurrence. Many places of many texts move on in step, so each
 
 from __future__ import annotations
 
-from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -20,20 +19,22 @@ from fluvia.lineage import cut
 from fluvia.llm import _text
 
 WINDOW = 13
-#: Bytes of test items that one pass over the documents searches for. More items are searched for in further passes.
-ITEM_BYTES = 32_000_000
+#: Bytes of test items that one pass over the documents searches for: compiled, they take about eight times that, on the
+#: driver, in the broadcast and in a worker. More items are searched for in further passes.
+ITEM_BYTES = 6_000_000
 _TABLE = 1 << 18
 #: Places that one cursor runs over; long texts get many cursors.
 _STRETCH = 512
 
 
 class Patterns(NamedTuple):
-    """The windows of one length: words[i] are the word codes of window i, of items owner[first[i]:first[i + 1]]."""
+    """The windows of one length: window i is the codes from codes[start[i]] on, of items owner[first[i]:first[i + 1]]."""
 
     length: int
     shift: np.ndarray
     suffix: np.ndarray
-    words: np.ndarray
+    codes: np.ndarray
+    start: np.ndarray
     first: np.ndarray
     owner: np.ndarray
 
@@ -48,28 +49,50 @@ def _blocks(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def compile_items(texts: list[str | None], window: int = WINDOW) -> list[Patterns]:
-    """Patterns of all items, by length: each window of an item, or all of an item that has fewer words than a window."""
-    found: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
+    """Patterns of all items, by length: each window of an item, or all of an item that has fewer words than a window.
+
+    The words of all items are held once; windows are places in them, so what is held is a few numbers for each word.
+    """
+    hashes, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for piece in _text.slices(pa.array(texts, pa.string())):
         words = _text.words(piece, _text.ALNUM, lower=True)
-        bounds = np.searchsorted(words.row, np.arange(piece.last - piece.first + 1))
-        for i in range(piece.last - piece.first):
-            codes = words.hash[bounds[i] : bounds[i + 1]].tolist()
-            length = min(window, len(codes))
-            for at in range(len(codes) - length + 1 if length else 0):
-                found[length][tuple(codes[at : at + length])].add(piece.first + i)
+        hashes.append(words.hash)
+        items.append(words.row + piece.first)
+    codes, item = np.concatenate(hashes), np.concatenate(items)
+    counts = np.bincount(item, minlength=len(texts))
+    lengths = np.minimum(window, counts)
+    begin = _text.starts(counts)
     out = []
-    for length, windows in sorted(found.items()):
+    for length in sorted(set(lengths[lengths > 0].tolist())):
+        chosen = np.flatnonzero(lengths == length)
+        sizes = counts[chosen] - length + 1
+        start = np.repeat(begin[:-1][chosen] - _text.starts(sizes)[:-1], sizes) + np.arange(sizes.sum())
+        of = np.repeat(chosen, sizes)
+        name = np.zeros(len(start), np.uint64)
+        for k in range(length):
+            name = _text.mix(name ^ codes[start + k]) + np.uint64(k)
+        order = np.lexsort((of, name))
+        name, start, of = name[order], start[order], of[order]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        for k in range(length):  # windows of equal names are told apart all the same
+            new[1:] |= codes[start[1:] + k] != codes[start[:-1] + k]
+        again = np.zeros(len(name), bool)
+        again[1:] = ~new[1:] & (of[1:] == of[:-1])
+        window_of = np.cumsum(new) - 1
+        start, owner, window_of = start[new], of[~again], window_of[~again]
         width = min(2, length)
-        codes = np.array(list(windows), np.uint64).reshape(len(windows), length)
-        blocks = np.stack([_blocks(row, width) for row in codes])
         shift = np.full(_TABLE, length - width + 1, np.uint8)
+        block = np.zeros(0, np.uint64)
         for end in range(width - 1, length):
-            np.minimum.at(shift, blocks[:, end] & np.uint64(_TABLE - 1), length - 1 - end)
-        order = np.argsort(blocks[:, -1], kind="stable")
-        owners = [sorted(x) for x in windows.values()]
-        owners = [owners[i] for i in order]
-        out.append(Patterns(length, shift, blocks[order, -1], codes[order], _text.starts(np.array([len(x) for x in owners])), np.array([y for x in owners for y in x], np.int64)))
+            block = codes[start + end] if width == 1 else _text.mix(codes[start + end - 1] * np.uint64(3) + codes[start + end])
+            np.minimum.at(shift, block & np.uint64(_TABLE - 1), length - 1 - end)
+        order = np.argsort(block, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        moved = np.argsort(place[window_of], kind="stable")
+        held = np.bincount(window_of, minlength=len(start))[order]
+        out.append(Patterns(length, shift, block[order], codes, start[order], _text.starts(held), owner[moved]))
     return out
 
 
@@ -97,7 +120,7 @@ def _occurrences(codes: np.ndarray, bounds: np.ndarray, patterns: Patterns) -> t
     end = np.repeat(end, sizes)
     which = np.repeat(left, sizes) + np.arange(len(end)) - np.repeat(_text.starts(sizes)[:-1], sizes)
     for back in range(length):
-        same = codes[end - back] == patterns.words[which, length - 1 - back]
+        same = codes[end - back] == patterns.codes[patterns.start[which] + length - 1 - back]
         end, which = end[same], which[same]
     return end, which
 

@@ -2,6 +2,10 @@
 
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from fluvia.llm import decontaminate
 from fluvia.llm.decontaminate import find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -47,3 +51,26 @@ def test_against_brute_force(spark, sf):
 def test_empty_tables(spark):
     assert found(spark, [], [("a", "x y")]) == {}
     assert found(spark, [(1, "x y"), (1, "x y")], []) == {1: (2, 0, [], False)}
+
+
+def test_several_passes_find_the_same(spark, sf, monkeypatch):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs += [(1001, items[1][1] + " and then " + items[0][1]), (1002, items[2][1])]
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1 + sum(len(t) + 20 for _, t in items) // 3)
+    assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_compiled_items_are_a_few_times_their_text():
+    texts = [" ".join(f"w{(i * 7919 + k) % 5000}" for k in range(400)) for i in range(500)]
+    size = sum(map(len, texts))
+    compiled = decontaminate.compile_items(texts)
+    assert sum(x.nbytes for p in compiled for x in p[1:]) < 10 * size
+    assert all((np.diff(p.first) > 0).all() and p.first[-1] == len(p.owner) for p in compiled)
+
+
+def test_clashing_columns_are_replaced(spark):
+    d = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string").withColumns({"n_hit": F.lit("old"), "contaminated": F.lit("old")})
+    b = spark.createDataFrame([("x", "b c", 1), (None, "b c", 2), ("x", "b c", 3)], "item_id string, text string, n_words int")
+    row = find_contamination(d, b).first()
+    assert (row.n_hit, row.n_items, list(row.item_ids), row.contaminated) == (2, 2, ["", "x"], True)
