@@ -37,6 +37,8 @@ LONGEST = 4
 #: Candidates that a document's postings promise, beyond which its prefix is one, two, three shingles longer, unless the
 #: longer prefix would add more than half as many.
 COSTS = (32, 128, 512)
+#: Sets that a task remembers to have posted.
+KNOWN_SETS = 500_000
 #: Postings of one shingle and component that are paired as one list.
 CHUNK = 128
 
@@ -109,17 +111,23 @@ def _postings(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.int64)
         for batch in batches:
             for piece in _text.slices(batch.column(0)):
                 rows = piece.last - piece.first
                 row, value = shingles(piece)
                 n, name = _set_ids(row, value, rows)
+                # of the copies that a task meets, one posts; which ones others post is settled after the shuffle
+                _, first = np.unique(name, return_index=True)
+                fresh = np.zeros(rows, bool)
+                fresh[first] = ~np.isin(name[first], known)
+                known = np.union1d(known if len(known) < KNOWN_SETS else known[:0], name)
                 often = shared.value[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(often, kind="stable")
                 order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
                 rank = np.arange(len(order)) - _text.starts(n)[row]  # rows are in order, before and after
                 # a shingle that the sketch has seen once stands in no other document
-                kept = (rank < (n - _needed(n))[row] + LONGEST) & (often[order] > 1)
+                kept = (rank < (n - _needed(n))[row] + LONGEST) & (often[order] > 1) & fresh[row]
                 yield pa.RecordBatch.from_pydict({"token": pa.array(value[order][kept].view(np.int64)), "set_id": pa.array(name[row[kept]]), "nr": pa.array((n[row] * _PLACES + rank)[kept])})
 
     return docs.select("text").mapInArrow(posted, "token bigint, set_id bigint, nr bigint")
