@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows up to which a table of ids may be broadcast; beyond, the same join is left to a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table may be broadcast; beyond, the same join is left to a shuffle. A row counts ROW_BYTES, which
+#: is what a hashed row of numbers takes, and the bytes of its texts.
+BROADCAST_BYTES = 48_000_000
+ROW_BYTES = 96
 #: The C library's name for the largest number of its heaps.
 _ARENA_MAX = -8
 #: Rows of one Arrow batch of texts, on either side of a Python worker.
-TEXT_BATCH_ROWS = 2_000
+TEXT_BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -42,9 +44,15 @@ def released() -> Iterator[None]:
             library.malloc_trim(0)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A join whose right side is broadcast only if its counted rows are few; otherwise Spark shuffles both sides."""
-    return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, limit: int | None = None) -> DataFrame:
+    """A join whose right side is broadcast only if its measured bytes are few; otherwise Spark shuffles both sides."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    size = F.lit(ROW_BYTES)
+    for name, kind in right.dtypes:
+        if kind not in ("bigint", "int", "double", "boolean"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0))
+    taken = right.limit(limit // ROW_BYTES + 1).agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    return left.join(F.broadcast(right) if taken <= limit else right, on, how)
 
 
 def learning_row(id_column: str, modulus: int):

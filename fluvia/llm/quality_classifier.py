@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from fluvia.llm import _text
-from fluvia.llm._frames import summed_vector
+from fluvia.llm._frames import released, summed_vector
 
 BUCKETS = 1 << 17
+_HASHES = 1 << 30
 #: Byte n-grams; besides them come runs of equal words, as n-grams of the relation "equal to the word before".
 GRAM_BYTES = 4
 LONGEST_RUN = 4
@@ -61,7 +62,7 @@ def class_ratios(labelled: DataFrame) -> np.ndarray:
     """log of the share of class 1 over the share of class 0, for each indicator, over all rows (text, label)."""
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        label = np.asarray(batch.column(1).to_pylist(), np.int64)
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, _, row, bucket in indicators(batch.column(0)):
             total += np.bincount(bucket + WIDTH * label[first + row], minlength=2 * WIDTH)
 
@@ -96,19 +97,39 @@ def fit(labelled: DataFrame, row_id: str = "id") -> np.ndarray:
     """Weights for every indicator, to be read with the norms of the rows. labelled: id, text, label (0 or 1)."""
     ratios = class_ratios(labelled)
     shared = labelled.sparkSession.sparkContext.broadcast(ratios)
-    chosen = labelled.orderBy(F.xxhash64(row_id), row_id, "text", "label").limit(FIT_ROWS).select("text", "label")
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+    # the rows with the smallest hashes: a share of all hashes that holds them first, of which only the numbers are compared
+    hashed = labelled.withColumn("h", F.xxhash64(row_id, "text", "label"))
+    count = labelled.count()
+    if count > 2 * FIT_ROWS:
+        hashed = hashed.where(F.pmod("h", F.lit(_HASHES)) < max(1, 2 * FIT_ROWS * _HASHES // count))
+    order = F.pmod(F.xxhash64("h"), F.lit(1 << 62))
+    last = hashed.select(order.alias("o")).orderBy("o").limit(FIT_ROWS).agg(F.max("o")).first()[0]
+    chosen = hashed.withColumn("o", order).where(F.col("o") <= F.lit(last)).select("text", "label", "o")
+
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = [pa.array([], pa.list_(pa.int32()))]
             for _, n, row, bucket in indicators(batch.column(0)):
-                bounds = np.searchsorted(row, np.arange(n + 1))
-                rows += [bucket[bounds[i] : bounds[i + 1]].astype(np.int32) for i in range(n)]
-            labels += batch.column(1).to_pylist()
-        weights = dual_descent(rows, np.array(labels, np.int64), shared.value)
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary())})
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(bucket, pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(lists), batch.column(1), batch.column(2)], ["buckets", "label", "o"])
 
-    found = chosen.coalesce(1).mapInArrow(fitted, "weights binary").collect()
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released():
+            rows, labels, places = [], [], []
+            for batch in batches:
+                column = batch.column(0)
+                at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+                rows += [flat[a:b].copy() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                labels += batch.column(1).to_pylist()
+                places += batch.column(2).to_pylist()
+            # the same order however rows arrive
+            sorted_ = sorted(range(len(rows)), key=lambda i: (places[i], labels[i]))
+            weights = dual_descent([rows[i] for i in sorted_], np.array(labels, np.int64)[sorted_], shared.value)
+            yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary())})
+
+    # what meets in one task are the indicators of the sample, whose size BUCKETS and FIT_ROWS bound, and no texts
+    sample = chosen.mapInArrow(found_in, "buckets array<int>, label int, o bigint")
+    found = sample.repartition(1).mapInArrow(fitted, "weights binary").collect() if last is not None else []
     weights = sum((np.frombuffer(r.weights) for r in found), np.zeros(len(ratios) + 1))
     return np.stack([np.append(ratios, 1.0), weights])
 

@@ -19,7 +19,8 @@ from fluvia.llm._frames import join_checked, summed_vector
 GRAM_BYTES = 4
 BUCKETS = 1 << 17
 SMOOTHING = 0.5
-#: Mean log ratio per n-gram below which a document is rejected.
+#: Mean log ratio per n-gram below which a document is rejected. Text of the trusted kind scores near or above 0, because
+#: the raw corpus holds much of it; -0.25 means that the n-grams are on average a fifth less frequent in trusted text.
 THRESHOLD = -0.25
 
 _SYMBOL = np.zeros(256, bool)
@@ -45,18 +46,14 @@ def _buckets(piece: _text.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    trusted = np.asarray(batch.column(1).fill_null(False).to_pylist(), bool)
     for piece in _text.slices(batch.column(0)):
-        buckets, at = _buckets(piece)
-        total[BUCKETS:] += np.bincount(buckets, minlength=BUCKETS)
-        mine = np.repeat(trusted[piece.first : piece.last], np.diff(at))
-        total[:BUCKETS] += np.bincount(buckets[mine], minlength=BUCKETS)
+        total += np.bincount(_buckets(piece)[0], minlength=BUCKETS)
 
 
-def log_ratios(docs: DataFrame, text: str, trusted: str) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str) -> np.ndarray:
     """log(target / raw) of each bucket, additively smoothed; all zero where nothing is trusted."""
-    total = summed_vector(docs, [text, trusted], _counts, 2 * BUCKETS)
-    target, raw = total[:BUCKETS].astype(float), total[BUCKETS:].astype(float)
+    raw = summed_vector(docs, [text], _counts, BUCKETS).astype(float)
+    target = summed_vector(trusted, [text], _counts, BUCKETS).astype(float)
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
     share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
@@ -121,10 +118,10 @@ def apply_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc
     words and fails the base rule. Texts shorter than an n-gram have a ratio of 0. Repeated rows are judged alike.
     Existing columns of the added names are replaced; an empty table gives an empty table.
     """
-    marks = trusted_ids.select(F.col(doc_id)).where(F.col(doc_id).isNotNull()).distinct().withColumn("__trusted", F.lit(True))
+    marks = trusted_ids.select(F.col(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
     value = F.coalesce(F.col(text), F.lit(""))
-    marked = join_checked(docs.select(F.col(doc_id), value.alias("__text")), marks, [doc_id], "left")
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(marked, "__text", "__trusted"))
+    read = docs.select(F.col(doc_id), value.alias("__text"))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(read, join_checked(read, marks, [doc_id], "left_semi"), "__text"))
 
     @arrow_udf("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,llr:double>")
     def measured(column: pa.Array) -> pa.Array:

@@ -34,11 +34,59 @@ def test_base_rules_against_brute_force(spark):
         assert r.llr == 0.0 and r.kept == (not r.base_failed)
 
 
-def test_log_ratios_count_every_text(spark):
-    rows = [("abcdabcd", True), ("zzzz", False), (None, True), ("", None)]
+def test_log_ratios_by_hand(spark):
+    rows = [("abcdabcd", True), ("zzzz", False), (None, True), ("", None), ("abcdabcd", False)]
     df = spark.createDataFrame(rows, "t string, m boolean").repartition(3)
-    total = summed_vector(df, ["t", "m"], quality_rules._counts, 2 * quality_rules.BUCKETS)
-    assert total[: quality_rules.BUCKETS].sum() == 5 and total[quality_rules.BUCKETS :].sum() == 6
+    got = quality_rules.log_ratios(df, df.where("m"), "t")
+
+    def bucket(gram):
+        return ((int.from_bytes(gram.encode(), "big") * 0x9E3779B97F4A7C15) % (1 << 64)) >> (64 - 17)
+
+    target, raw = Counter(), Counter()
+    for t, m in rows:
+        grams = [bucket((t or "")[i : i + 4]) for i in range(len(t or "") - 3)]
+        raw.update(grams)
+        target.update(grams if m else [])
+    n, k = quality_rules.BUCKETS, quality_rules.SMOOTHING
+    prior = k * n * sum(target.values()) / sum(raw.values())
+    for g in (*raw, 0):
+        share = (raw[g] + k) / (sum(raw.values()) + k * n)
+        assert got[g] == pytest.approx(np.log((target[g] + prior * share) / (sum(target.values()) + prior)) - np.log(share), abs=1e-9)
+    total = summed_vector(df, ["t"], quality_rules._counts, quality_rules.BUCKETS)
+    assert total.sum() == 11 and quality_rules.log_ratios(df, df.where("false"), "t").sum() == 0
+
+
+def test_verdicts_are_mean_ratios(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    ratios = quality_rules.log_ratios(docs, docs.join(good, "doc_id", "left_semi"), "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    clashing = docs.withColumns({"kept": F.lit("old"), "llr": F.lit("old")})
+    for r in quality_rules.apply_rules(clashing, good).collect():
+        raw = texts[r.doc_id].encode()
+        grams = [((int.from_bytes(raw[i : i + 4], "big") * 0x9E3779B97F4A7C15) % (1 << 64)) >> 47 for i in range(len(raw) - 3)]
+        want = float(np.mean(ratios[grams])) if grams else 0.0
+        assert r.llr == pytest.approx(want, abs=1e-5)
+        assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+
+
+def test_rules_on_empty_and_repeated_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_words string")
+    assert quality_rules.apply_rules(empty, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+    twice = spark.createDataFrame([(1, "same words " * 40), (1, "same words " * 40), (None, "x")], "doc_id long, text string")
+    out = quality_rules.apply_rules(twice, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")).collect()
+    assert len(out) == 3 and len({(r.llr, r.kept) for r in out if r.doc_id == 1}) == 1
+
+
+def test_joins_beyond_the_limit_are_shuffled(spark):
+    from fluvia.llm._frames import join_checked
+
+    left, right = spark.range(100).withColumnRenamed("id", "k"), spark.createDataFrame([("a" * 50, i) for i in range(40)], "s string, k long")
+    few, many = join_checked(left, right, "k", "inner"), join_checked(left, right, "k", "inner", limit=4_000)
+    for out, wanted in ((few, True), (many, False)):
+        assert out.count() == 40
+        assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == wanted
 
 
 def test_rules_reject_junk_and_keep_good(spark):
