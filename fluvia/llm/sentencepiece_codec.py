@@ -31,10 +31,10 @@ from fluvia.llm.token_count import by_bytes
 
 MARK = "▁"
 #: Bytes of text whose words are encoded together, unless a single text has more.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 #: UTF-8 bytes of one batch of whole texts, and ids of one decoding batch, unless a single text has more.
-BATCH_BYTES = 400_000
-DECODED_IDS = 100_000
+BATCH_BYTES = 200_000
+DECODED_IDS = 50_000
 #: Threads of one batch.
 THREADS = 2
 
@@ -64,14 +64,15 @@ class Codec:
             steps.append(normalizers.Prepend(" "))
         if rule.escape_whitespaces:
             steps.append(normalizers.Replace(" ", MARK))
-        self.whole = Tokenizer(_rebuilt(spec, MARK))
+        built = _rebuilt(spec, MARK)  # the tokenizers share it
+        self.whole = Tokenizer(built)
         self.whole.normalizer = normalizers.Sequence(steps)
         self._words, self._starts = None, None
         pieces = [p.piece for p in spec.pieces]
         if rule.escape_whitespaces and rule.add_dummy_prefix and not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and _marks_lead(pieces):
             from tokenizers import pre_tokenizers
 
-            self._words = Tokenizer(_rebuilt(spec, MARK))
+            self._words = Tokenizer(built)
             self._words.normalizer = self.whole.normalizer
             self._words.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=True)
             self._starts = np.array([p.startswith(MARK) for p in pieces])
