@@ -55,6 +55,11 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: st
     return left.join(F.broadcast(right) if taken <= limit else right, on, how)
 
 
+def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table from the driver. As Arrow columns it needs no Python worker on the executors."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def learning_row(id_column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus

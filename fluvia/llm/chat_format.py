@@ -2,7 +2,8 @@
 
 An event has conv_id, turn, seq, kind, role and text. Kinds: `message` starts a further message at its turn; `delta`
 appends text to the newest message of its turn (or starts one of the assistant's); `edit` replaces that message's text;
-`regenerate` empties it, for deltas to come, and drops every later turn as it stood before that event. Events of one
+`regenerate` empties it, for deltas to come, and drops every later turn as it stood before that event. Events of any
+other kind (pings, reactions) change no message and are skipped. Events of one
 conversation are sorted by turn, then seq, so all that a fold must hold is one message and one number: the seq of the
 last regeneration of an earlier turn.
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 OPEN, CLOSE = "<turn>", "</turn>"
 #: Characters after which the rendered text of one conversation goes on in another row.
 SEGMENT_CHARS = 1_000_000
+_ID_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 #: The role whose texts the loss mask covers.
 LEARNED = "assistant"
 
@@ -89,8 +91,6 @@ def _folded(events: Iterator[tuple]) -> Iterator[tuple]:
         elif kind == "regenerate":
             role, parts, since = (role if parts is not None else r or LEARNED), [], seq
             regenerated = seq
-        else:
-            raise ValueError(f"unknown kind of event: {kind}")
     yield from ended()
 
 
@@ -135,11 +135,13 @@ def format_conversations(events: DataFrame) -> DataFrame:
     turn and seq go by kind, role and text. Extra columns are ignored. An empty table gives an empty table.
     """
     id_type = dict(events.dtypes)["conv_id"]
+    if id_type not in _ID_TYPES:  # other ids go by their text
+        return format_conversations(events.withColumn("conv_id", F.col("conv_id").cast("string"))).withColumn("conv_id", F.col("conv_id").cast(id_type))
     keyed = events.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = keyed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _rendered(batches, pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64())
+        return _rendered(batches, _ID_TYPES[id_type])
 
     return ordered.mapInArrow(rendered, f"conv_id {id_type}, segment bigint, formatted string, loss array<struct<a:bigint,b:bigint>>")
 
@@ -148,6 +150,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, parsed from the rendered
     segments alone. Must follow format_conversations directly, whose order it relies on; holds hashes, not texts."""
     id_type = dict(formatted.dtypes)["conv_id"]
+    if id_type not in _ID_TYPES:
+        return read_back(formatted.withColumn("conv_id", F.col("conv_id").cast("string"))).withColumn("conv_id", F.col("conv_id").cast(id_type))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -170,7 +174,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         yield digests([state] if state else [])
 
     def digests(states: list) -> pa.RecordBatch:
-        kind = pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64()
+        kind = _ID_TYPES[id_type]
         columns = list(zip(*[(s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]) for s in states])) or [[]] * 6
         types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from fluvia.lineage import cut
+from fluvia.lineage import cut, drop
 from fluvia.llm import _text
 from fluvia.llm._frames import join_checked, summed_vector
 from fluvia.operators.graph import connected_components
@@ -213,7 +213,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     linking = described.where("doc_id is not null and n > 0")
     usable = docs.where("doc_id is not null")
     ordered = _postings(usable, _frequencies(usable)).repartition("token").sortWithinPartitions("token", "nr", "set_id")
-    met = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nr bigint")).select("token", "set_id", F.expr(f"nr div {_PLACES}").alias("n"), F.expr(f"nr % {_PLACES}").alias("rank"))
+    postings = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nr bigint"))
+    met = postings.select("token", "set_id", F.expr(f"nr div {_PLACES}").alias("n"), F.expr(f"nr % {_PLACES}").alias("rank"))
 
     # round 1: each set with the one neighbour that most of its shingles name
     held = met.groupBy("token").agg(F.count("*").alias("held"))
@@ -230,7 +231,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     near = connected_components(links)
     placed = met.join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     between = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("token", "held")
-    placed = cut(placed.join(between, "token"))
+    placed = between_components = cut(placed.join(between, "token"))
     least = F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}")
     # what the places that a partner of equal size allows promise in candidates, and what longer prefixes would add
     place = F.col("rank") - (F.col("n") - F.expr(f"(2 * {NUMERATOR} * n + {_UNION - 1}) div {_UNION}"))
@@ -262,7 +263,10 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     # lists meet only if the sizes that their members' places allow do
     met_pairs = a.join(b, ["token", "bucket"]).where("ca <> cb and ra >= nb and rb >= na").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
     candidates = met_pairs.groupBy("src", "dst", "l").count().where("count >= l").select("src", "dst").join(tried, ["src", "dst"], "left_anti")
-    more = cut(_verified(cut(candidates), usable, linking))
+    candidates = cut(candidates)
+    drop(postings, between_components)
+    more = cut(_verified(candidates, usable, linking), replaces=candidates)
+    drop(tried)
 
     whole = connected_components(links.unionByName(more)).withColumnRenamed("node", "set_id")
     sets = linking.groupBy("set_id").agg(F.min("doc_id").alias("least")).join(whole, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from fluvia.llm import _text
-from fluvia.llm._frames import join_checked
+from fluvia.llm._frames import join_checked, local_table
 
 #: Labelled rows of each language that are learned: at most so many, the first by a hash, and whole. Rows of up to LONG
 #: bytes come first; of a longer one, learned only where those do not suffice, one part of LONG bytes is, by its hash.
@@ -178,7 +178,8 @@ def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Automata:
     shares = [(k, w, max(1, min(_HASHES, 4 * FIT_ROWS * _HASHES // n)) if n > 16 * FIT_ROWS else _HASHES) for (k, w), n in labelled.items()]
     if not shares:
         return Automata([], [], [], [])
-    limits = docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share long")
+    langs, long, share = zip(*shares)
+    limits = local_table(docs.sparkSession, lang=pa.array(langs, pa.string()), long=pa.array(long, pa.bool_()), share=pa.array(share, pa.int64()))
     few = rows.join(F.broadcast(limits), ["lang", "long"]).where(F.pmod("h", F.lit(_HASHES)) < F.col("share"))
     order = Window.partitionBy("lang").orderBy("long", "h", "id")
     chosen = few.select("lang", "long", "h", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_ROWS).select("lang", "h").distinct()

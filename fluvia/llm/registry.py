@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluvia.llm import chat_format, language_id, quality_classifier, sentencepiece_codec
-from fluvia.llm._frames import join_checked, learning_row, small_batches
+from fluvia.llm._frames import join_checked, learning_row, local_table, small_batches
 from fluvia.llm.decontaminate import find_contamination
 from fluvia.llm.html_extract import extract_main_text
 from fluvia.llm.jaccard_join import near_duplicates
@@ -25,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    more = local_table(spark, conv_id=pa.array([-7, -7], pa.int64()), turn=pa.array([0, 1], pa.int64()), role=pa.array(["user", "assistant"]), text=pa.array([said, said]))
     events = turns.unionByName(more).withColumns({"seq": F.lit(0), "kind": F.lit("message")})
     return chat_format.read_back(chat_format.format_conversations(events))
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fluvia.lineage import cut
+from fluvia.llm._frames import local_table
 
 #: Most rows that one block, or one part of a shard, is meant to hold.
 BLOCK_ROWS = 500_000
@@ -82,7 +84,7 @@ def shuffle_to_shards(df: DataFrame, shards: int, key: list[str], seed: int = 1)
     counts = {r["__block"]: r["count"] for r in rows.groupBy("__block").count().collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
     spark = df.sparkSession
-    ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(matrix[b])]) for b in range(blocks)], "__block int, __ends array<bigint>")
+    ends = local_table(spark, __block=pa.array(range(blocks), pa.int32()), __ends=pa.array(np.cumsum(matrix, axis=1).tolist(), pa.list_(pa.int64())))
     local = Window.partitionBy("__block").orderBy(rolled(1), *columns)
     dealt = (
         rows.withColumn("__at", F.row_number().over(local))
@@ -99,7 +101,8 @@ def shuffle_to_shards(df: DataFrame, shards: int, key: list[str], seed: int = 1)
         for p in range(parts):
             before.append((s, p, at))
             at += sizes.get((s, p), 0)
-    offsets = spark.createDataFrame(before, "shard int, __part int, __before bigint")
+    shard, part, at_ = zip(*before)
+    offsets = local_table(spark, shard=pa.array(shard, pa.int32()), __part=pa.array(part, pa.int32()), __before=pa.array(at_, pa.int64()))
     within = Window.partitionBy("shard", "__part").orderBy(rolled(3), *columns)
     return (
         dealt.withColumn("slot", F.row_number().over(within).cast("long"))

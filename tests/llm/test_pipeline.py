@@ -26,3 +26,26 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    good = next(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text) > 1500 and len(set(r.text.split())) > 100)
+    rows = [(1, good, "en", "a"), (1, good, "en", "a"), (2, good + " and one more word", "en", "b"), (None, good, None, "c"), (5, None, "en", "d"), (6, "", "en", "e"), (7, "12 34", "en", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    known = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert known.columns == docs.columns and sorted((r.doc_id for r in known.collect()), key=str) == [1, 1, 2, None]
+    single = corpus_pipeline.STAGES[2][1](spark, known, SF).collect()
+    assert sorted((r.doc_id for r in single), key=str) == [1, None]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(last) == 7 and all(r.round_trip and r.parity for r in last) and [r.n_pieces for r in last if r.doc_id in (5, 6)] == [0, 0]
+
+
+def test_run_keeps_only_what_is_read(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        assert out.count() > 0 and out.columns == ["doc_id", "n_pieces", "ids", "round_trip", "parity"]
+        (folder,) = tmp_path.glob("pipeline-*")
+        assert [p.name for p in folder.iterdir()] == ["3"]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
