@@ -2,16 +2,21 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 `run` writes each stage's rows as Parquet in the folder that the cluster shares, and reads them back for the next.
+
+A null text counts as empty: it has no language and goes in the first stage. A null doc_id is kept by every decision on
+ids: such a row is never a duplicate and never learned as another row's twin. Rows that repeat a doc_id and text stay
+once. Of equal or near equal documents the smallest doc_id stays. Columns beside doc_id, text and lang are carried
+through, whatever their names; an empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fluvia.lineage import delete, shared_folder
 from fluvia.llm import language_id, sentencepiece_codec
 from fluvia.llm._frames import join_checked, learning_row, small_batches
 from fluvia.llm.decontaminate import find_contamination
@@ -81,11 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The stages over the documents of sf_dir. What a stage has read goes once the next one is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
