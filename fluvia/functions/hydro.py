@@ -45,6 +45,30 @@ def normalized_difference(a: Column, b: Column) -> Column:
     return F.when(a + b != 0, (a - b) / (a + b)).otherwise(0.0)
 
 
+# Reliabilities of usable values, the fill, the valid range and the scale of a vegetation index; the quality
+# bits of cloud and its like; the scale and offset of surface reflectances.
+GOOD_RELIABILITY = [0, 1]
+INDEX_FILL, INDEX_LOW, INDEX_HIGH, INDEX_SCALE = -3000, -2000, 10000, 1e-4
+CLOUD_BITS = 0b111110
+REFLECTANCE_SCALE, REFLECTANCE_OFFSET = 0.0000275, -0.2
+
+
+def valid_index(value: Column, reliability: Column) -> Column:
+    """Whether a stored vegetation index is usable; unknown values are not."""
+    return F.coalesce(reliability.isin(GOOD_RELIABILITY) & (value != INDEX_FILL) & value.between(INDEX_LOW, INDEX_HIGH), F.lit(False))
+
+
+def scaled_index(value: Column, reliability: Column) -> Column:
+    """The physical index of usable stored values."""
+    return F.when(valid_index(value, reliability), value * INDEX_SCALE)
+
+
+def clear_index(red: Column, nir: Column, quality: Column) -> Column:
+    """The vegetation index of stored reflectances where none of the cloud bits is set, null elsewhere and without light."""
+    r, n = (band * REFLECTANCE_SCALE + REFLECTANCE_OFFSET for band in (red, nir))
+    return F.when((quality.bitwiseAND(CLOUD_BITS) == 0) & (n + r != 0), (n - r) / (n + r))
+
+
 def logistic(value: Column, middle: float, scale: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(value - middle) / scale))
 

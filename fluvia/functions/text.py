@@ -22,21 +22,64 @@ def granule_month(name: Column) -> Column:
 
 
 def granule_part(name: Column, part: str) -> Column:
-    """The platform (product prefix) or the tile of a granule's name."""
-    pattern = r"^(M[OY]D)\d" if part == "platform" else r"\.(h\d{2}v\d{2})\."
-    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+    """The platform (by the product token) or the tile of a granule's name; a name without it is an error."""
+    if part == "platform":
+        token = F.regexp_extract(name, r"^(MOD|MYD)13Q1\.", 1)
+        return F.when(token == "MOD", "terra").when(token == "MYD", "aqua").otherwise(F.raise_error(F.concat(F.lit("no product token in "), name)))
+    tile = F.regexp_extract(name, r"\.(h\d\dv\d\d)\.", 1)
+    return F.when(tile != "", tile).otherwise(F.raise_error(F.concat(F.lit("no tile in "), name)))
+
+
+# Prefixes of wetland codes that name a lasting water table and those that do not, the letters of regimes
+# and uses that rule one out, and metres by class of anchor, for area features, and added for managed waters.
+KEPT_WETLANDS = ["PEM", "PFO", "PSS", "PAB", "PUB", "L1", "L2", "R2", "R3"]
+DROPPED_WETLANDS = ["R4", "R5"]
+DROPPED_MODIFIERS = ["d", "f", "x", "A", "J", "K"]
+HEAD_UNCERTAINTY = {"spring": 0.5, "open_water": 1.5, "wetland": 2.5}
+AREA_UNCERTAINTY = 2.0
+MANAGED_UNCERTAINTY = 1.5
 
 
 def persistent_wetland(code: Column) -> Column:
-    """Whether a wetland code names standing water: a kept prefix before any slash, and no excluded regime letter last."""
+    """Whether a wetland code names a lasting water table: a kept prefix before any slash, and no excluded letter at the
+    end of the whole code. A null code does not."""
+    code = F.coalesce(code, F.lit(""))
     head = F.split(code, "/")[0]
-    kept = head.startswith("L") | head.startswith("PUB") | head.startswith("PAB")
-    regime = F.regexp_extract(head, r"([A-Za-z])\s*$", 1)
-    return kept & ~regime.isin("A", "J")
+    kept = head.rlike("^(" + "|".join(KEPT_WETLANDS) + ")") & ~head.rlike("^(" + "|".join(DROPPED_WETLANDS) + ")")
+    return kept & ~F.regexp_extract(code, r"([A-Za-z])\s*$", 1).isin(DROPPED_MODIFIERS)
+
+
+def head_uncertainty(cls: Column, label: Column) -> Column:
+    """Metres by class of anchor, or those of area features by the label's prefix; managed waters are less sure. An unknown
+    class that is no area feature has none."""
+    label = F.coalesce(label, F.lit(""))
+    base = F.when(label.startswith("NHDArea"), AREA_UNCERTAINTY)
+    for name, metres in HEAD_UNCERTAINTY.items():
+        base = base.when(cls == name, metres)
+    return base + F.when(label.rlike("(?i)reservoir|playa|managed"), MANAGED_UNCERTAINTY).otherwise(0.0)
+
+
+def bucket_path(*parts: Column) -> Column:
+    """Parts of a path joined by one slash each, whatever slashes they bring; nulls and empty parts say nothing."""
+    trimmed = F.array(*[F.nullif(F.regexp_replace(p.cast("string"), "^/+|/+$", ""), F.lit("")) for p in parts])
+    return F.array_join(F.array_compact(trimmed), "/")
+
+
+def metadata_record(xml: Column) -> Column:
+    """Title, bounding box, first and last date (ISO) and links of one metadata document; absent parts are null."""
+
+    def text_at(path: str) -> Column:
+        return F.nullif(F.trim(F.xpath_string(xml, F.lit(path))), F.lit(""))
+
+    box = [text_at(f"//bounding/{k}").try_cast("double").alias(k) for k in ("westbc", "southbc", "eastbc", "northbc")]
+    return F.struct(text_at("//citeinfo/title").alias("title"), *box, iso_date(text_at("//rngdates/begdate")).alias("begins"), iso_date(text_at("//rngdates/enddate")).alias("ends"), F.xpath(xml, F.lit("//onlink/text()")).alias("links"))
+
+
+def listed_keys(xml: Column) -> Column:
+    """Keys of one page of an object listing."""
+    return F.xpath(xml, F.lit("//*[local-name()='Contents']/*[local-name()='Key']/text()"))
 
 
-def head_uncertainty(cls: Column, area: Column, name: Column) -> Column:
-    """Metres by class; large bodies are surer, managed ones less so."""
-    base = F.when(cls == "spring", 1.0).when(cls == "open_water", 2.0).otherwise(3.0)
-    sized = F.when(area >= 1e6, 1.0).otherwise(base)
-    return sized + F.when(F.coalesce(name.rlike("(?i)reservoir|playa|managed"), F.lit(False)), 2.0).otherwise(0.0)
+def listed_prefixes(xml: Column) -> Column:
+    """Common prefixes of one page of an object listing, without a slash at the end."""
+    return F.transform(F.xpath(xml, F.lit("//*[local-name()='CommonPrefixes']/*[local-name()='Prefix']/text()")), lambda p: F.regexp_replace(p, "/$", ""))

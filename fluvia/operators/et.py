@@ -15,7 +15,7 @@ def annual_sums(daily: DataFrame) -> DataFrame:
     return sums.withColumn("etf_gwsm", F.try_divide("et_gwsm", "eto"))
 
 
-def donors(fields: DataFrame, cell: float = 4000.0) -> DataFrame:
+def donors(fields: DataFrame) -> DataFrame:
     """(fid, donor_fid): the nearest pattern field of the same stratum. A stratum without any is an error."""
     used = fields.where("strata <> 'non_partitioned'")
     lacking = used.groupBy("strata").agg(F.count_if("pattern").alias("n")).where("n = 0")
@@ -23,7 +23,7 @@ def donors(fields: DataFrame, cell: float = 4000.0) -> DataFrame:
         raise ValueError("a stratum has no pattern field")
     left = used.select("fid", "strata", F.col("cx").alias("x"), F.col("cy").alias("y"))
     right = used.where("pattern").select(F.col("fid").alias("donor_fid"), "strata", F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    return nearest_k(left, right, "fid", "donor_fid", 1, cell, on=["strata"]).select("fid", "donor_fid")
+    return nearest_k(left, right, "fid", "donor_fid", 1, on=["strata"]).select("fid", "donor_fid")
 
 
 def partition_water_years(daily: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Feature codes of the national hydrography by stream type, and the codes left out before a surface is made.
-STREAM_TYPE_OF_CODE = {"perennial": [46006, 55800], "intermittent": [46000, 46003, 46007], "managed": [33600, 33601, 33603, 42800, 42801]}
+#: Feature codes of the national hydrography by stream type (pipelines and all other codes have none), and
+#: the codes that are left out before a surface is made.
+STREAM_TYPE_OF_CODE = {"perennial": [46006, 55800], "intermittent": [46000, 46003, 46007], "managed": [33400, 33600, 33601, 33602, 33603, 46800]}
+CODES_WITHOUT_SURFACE = [33601, 46007]
+#: The code of perennial streams, the type of natural ones, and types that are no streams of their own.
+PERENNIAL_CODE = 46006
+NATURAL_TYPE = "streamriver"
+ARTIFICIAL_TYPES = ["artificialpath", "canalditch"]
 
 
 def map_codes(code: Column, classes: dict[str, list[int]], other: str | None = None) -> Column:
@@ -16,6 +22,20 @@ def map_codes(code: Column, classes: dict[str, list[int]], other: str | None = N
     return out.otherwise(F.lit(other).cast("string"))
 
 
+def filter_flowlines(lines: DataFrame, code: str | None = None, kind: str | None = None, natural_perennial: bool = False, exclude_artificial: bool = False) -> DataFrame:
+    """Flowlines kept by what columns there are: perennial ones by their code, or natural ones by their type only where no
+    code column is named; and, apart from that, without the artificial types. A null code is not perennial; a null type
+    is not artificial. Types are compared in any case."""
+    out = lines
+    if natural_perennial and code:
+        out = out.where(F.col(code) == PERENNIAL_CODE)
+    elif natural_perennial and kind:
+        out = out.where(F.lower(kind) == NATURAL_TYPE)
+    if exclude_artificial and kind:
+        out = out.where(~F.coalesce(F.lower(kind).isin(ARTIFICIAL_TYPES), F.lit(False)))
+    return out
+
+
 def stratify(fields: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Adds partitioned (relative elevation below the threshold; unknown is not) and strata."""
     low = F.coalesce(F.col("rem_mean") < threshold, F.lit(False))

@@ -27,10 +27,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("src").agg(F.min("dst").alias("m"))
         joined = large.join(small_least, "src")
         small = joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(small_least.select("src", F.col("m").alias("dst")))
-        now = cut(small.distinct())
+        now = cut(small.distinct(), replaces=now)
         mark = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -78,14 +79,14 @@ def mixture(rows: DataFrame, columns: list[str], key: str, k: int, seed: int = 7
 
 def out_of_fold(rows: DataFrame, columns: list[str], target: str, kind: str, folds: list[int]) -> DataFrame:
     """Predictions of each fold by a model fitted on the others. kind: boosted, ridge or isotonic (on the first column)."""
+    if kind == "ridge":
+        return ridge_out_of_fold(rows, columns, target)
     data = assembled(rows, columns).persist()
     parts = []
     for fold in folds:
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
         if kind == "boosted":
             model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=12, maxDepth=3, lossType="absolute", seed=7).fit(train)
-        elif kind == "ridge":
-            model = LinearRegression(featuresCol="features", labelCol=target, regParam=1.0, elasticNetParam=0.0).fit(train)
         elif train.count() >= 50:
             model = IsotonicRegression(featuresCol="features", labelCol=target, featureIndex=0).fit(train)
         else:  # too few rows to calibrate
@@ -98,6 +99,41 @@ def out_of_fold(rows: DataFrame, columns: list[str], target: str, kind: str, fol
     return out
 
 
+def ridge_out_of_fold(rows: DataFrame, columns: list[str], target: str, alpha: float = 1.0) -> DataFrame:
+    """Predictions of each fold by least squares with a penalty of alpha times the squared weights, fitted on the other
+    folds, with an intercept that is not penalised. Features are not scaled; a gap takes the column's median and has a
+    flag of its own. Spark sums the products of columns by fold in one pass; what reaches the driver are these sums, as
+    many as there are pairs of columns."""
+    gaps = [f"{c}_gap" for c in columns]
+    names = [*columns, *gaps]
+    data = assembled(rows, columns).where(F.col(target).isNotNull())
+    pairs = [(a, b) for i, a in enumerate(["1", *names, target]) for b in ["1", *names, target][i:]]
+    value = lambda c: F.lit(1.0) if c == "1" else F.col(c)
+    sums = {r["fold"]: np.array(r[1:]) for r in data.groupBy("fold").agg(*[F.sum(value(a) * value(b)).cast("double").alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).collect()}
+    size = len(names) + 2
+    fitted = []
+    for fold in sums:
+        total = sum((v for k, v in sums.items() if k != fold), np.zeros(len(pairs)))
+        moments = np.zeros((size, size))
+        for (i, j), v in zip([(i, j) for i in range(size) for j in range(i, size)], total):
+            moments[i, j] = moments[j, i] = v
+        if not moments[0, 0]:
+            continue
+        mean = moments[0] / moments[0, 0]
+        centred = moments - moments[0, 0] * np.outer(mean, mean)
+        weights = np.linalg.solve(centred[1:-1, 1:-1] + alpha * np.eye(len(names)), centred[1:-1, -1])
+        fitted.append((fold, float(mean[-1] - weights @ mean[1:-1]), [float(w) for w in weights]))
+    models = rows.sparkSession.createDataFrame(fitted, f"fold {dict(rows.dtypes)['fold']}, __b double, __w array<double>")
+    terms = [F.element_at("__w", i + 1) * F.col(c) for i, c in enumerate(names)]
+    return data.join(F.broadcast(models), "fold").withColumn("prediction", sum(terms, F.col("__b"))).select("well_id", "fold", target, "prediction")
+
+
+def round_robin_folds(rows: DataFrame, group: str, folds: int, seed: int = 7) -> DataFrame:
+    """(group, fold): groups in the order of a hash, dealt to the folds in turn. Windows run over the groups, not the rows."""
+    order = Window.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
+    return rows.select(group).distinct().withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+
+
 def permutation_importance(rows: DataFrame, columns: list[str], target: str, seed: int = 7) -> DataFrame:
     """(feature, increase): growth of the mean absolute error of a linear model when a feature's values change places."""
     data = assembled(rows, columns)

@@ -7,7 +7,6 @@ network, and a change count ends them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fluvia.lineage import cut
@@ -39,7 +38,7 @@ def stream_order(reaches: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     done = frontier
     # what each reach has received so far: orders above it, as a running top and its count
     pending = None
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds):
         sent = frontier.join(edges, "stream_id").where("down_id is not null").select(F.col("down_id").alias("stream_id"), F.col("strahler").alias("top"), F.lit(1).alias("n_top"), F.lit(1).alias("got"))
         received = sent if pending is None else pending.unionByName(sent)
         best = received.groupBy("stream_id").agg(F.max("top").alias("best"))
@@ -50,6 +49,10 @@ def stream_order(reaches: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if frontier.isEmpty():
             break
         done = done.unionByName(frontier)
+        if round_ % 8 == 7:
+            done = cut(done)
+    else:
+        raise RuntimeError(f"stream order not settled after {max_rounds} rounds")
     solved = cut(done)
     return all_.select("stream_id").join(solved, "stream_id", "left").select("stream_id", F.coalesce("strahler", F.lit(0)).alias("strahler"))
 
@@ -69,8 +72,7 @@ def decay_influence(reaches: DataFrame, edges: DataFrame, distance_scale: float,
     pulls = cut(edges.select("stream_id", "source_id").join(own.select("stream_id", "length_m", "relief_m", "decay"), "stream_id"))
     zero = F.lit(0.0)
     state = own.where("seed_strength > 0").select("stream_id", F.col("seed_strength").alias("weight"), F.col("stream_id").alias("seed"), zero.alias("dist"), zero.alias("gain"))
-    state = cut(state)
-    moved = state
+    first = state = moved = cut(state)
     order = F.struct("weight", (-F.col("dist")).alias("near"), (-F.col("seed")).alias("low"))
     for _ in range(max_rounds):
         sent = moved.withColumnRenamed("stream_id", "source_id").join(pulls, "source_id").select("stream_id", (F.col("weight") * F.col("decay")).alias("weight"), "seed", (F.col("dist") + F.col("length_m")).alias("dist"), (F.col("gain") + F.col("relief_m")).alias("gain"))
@@ -79,24 +81,69 @@ def decay_influence(reaches: DataFrame, edges: DataFrame, distance_scale: float,
         moved = cut(better)
         if moved.isEmpty():
             break
-        state = cut(state.join(moved.select("stream_id"), "stream_id", "left_anti").unionByName(moved))
+        state = cut(state.join(moved.select("stream_id"), "stream_id", "left_anti").unionByName(moved), replaces=state if state is not first else None)
+    else:
+        raise RuntimeError(f"influence not settled after {max_rounds} rounds")
     return own.select("stream_id").join(state, "stream_id", "left").select("stream_id", F.coalesce("weight", zero).alias("weight"), F.coalesce("seed", F.lit(-1)).alias("seed"), "dist", "gain")
 
 
 def network_distance(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist): the shortest undirected way over edges (src, dst, w >= 0) to any source, by relaxing frontiers."""
     both = cut(edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
-    state = cut(sources.select("node").distinct().withColumn("dist", F.lit(0.0)))
-    moved = state
+    first = state = moved = cut(sources.select("node").distinct().withColumn("dist", F.lit(0.0)))
     for _ in range(max_rounds):
         offered = moved.withColumnRenamed("node", "src").join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
         moved = cut(offered.join(state.withColumnRenamed("dist", "now"), "node", "left").where("now is null or dist < now").select("node", "dist"))
         if moved.isEmpty():
             break
-        state = cut(state.join(moved.select("node"), "node", "left_anti").unionByName(moved))
+        state = cut(state.join(moved.select("node"), "node", "left_anti").unionByName(moved), replaces=state if state is not first else None)
+    else:
+        raise RuntimeError(f"distances not settled after {max_rounds} rounds")
     return state
 
 
+def brought_down(reaches: DataFrame, inflows: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(stream_id, n_traces, added): how many inflows (stream_id, amount) pass each reach on their way down, and what they
+    bring together; reaches that none passes have no row. An inflow passes its own reach too.
+
+    Pointers to the reach below (down_id) are doubled each round, and what has been gathered is sent along: rounds follow
+    the logarithm of the longest way, with one row for each reach. Reaches that flow in a circle are an error.
+    """
+    own = inflows.groupBy("stream_id").agg(F.count("*").alias("n_traces"), F.sum("amount").alias("added"))
+    zero = {k: F.coalesce(k, F.lit(0)) for k in ("n_traces", "added")}
+    known = reaches.select(F.col("stream_id").alias("down_id"))
+    inside = reaches.select("stream_id", "down_id").join(known, "down_id", "left_semi")
+    state = reaches.select("stream_id").join(inside, "stream_id", "left").join(own, "stream_id", "left").select("stream_id", F.col("down_id").alias("to"), *[v.alias(k) for k, v in zero.items()])
+    state = cut(state)
+    for _ in range(max_rounds):
+        going = state.where("to is not null")
+        if going.isEmpty():
+            break
+        sent = going.groupBy(F.col("to").alias("stream_id")).agg(F.sum("n_traces").alias("__n"), F.sum("added").alias("__a"))
+        beyond = state.select(F.col("stream_id").alias("to"), F.col("to").alias("__next"))
+        joined = state.join(sent, "stream_id", "left").join(beyond, "to", "left")
+        state = cut(joined.select("stream_id", F.col("__next").alias("to"), (F.col("n_traces") + F.coalesce("__n", F.lit(0))).alias("n_traces"), (F.col("added") + F.coalesce("__a", F.lit(0))).alias("added")), replaces=state)
+    else:
+        raise RuntimeError("reaches flow in a circle")
+    return state.where("n_traces > 0").select("stream_id", "n_traces", "added")
+
+
+def numbered(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
+    """Adds gapless numbers from 0 in the order of a column of different values: rows are dealt out by ranges, counted by
+    range, and numbered within each; only the counts are brought together."""
+    ranged = cut(df.repartitionByRange(column).withColumn("__part", F.spark_partition_id()))
+    counts = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())
+    before, rows = 0, []
+    for part, count in counts:
+        rows.append((part, before))
+        before += count
+    if not rows:
+        return df.withColumn(name, F.lit(0).cast("int"))
+    offsets = df.sparkSession.createDataFrame(rows, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1 + F.col("__before")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, place.cast("int" if before < 1 << 31 else "long")).drop("__part", "__before")
+
+
 def sag_targets(down: bool = True, area: bool = True, distance_scale: float = 4000.0, elevation_scale: float = 25.0, down_scale: float = 20_000.0, area_low: float = 50.0, area_high: float = 500.0, alpha_d: float = 0.75, alpha_z: float = 1.0, gamma: float = 2.0, least: float = 2.0, most: float = 60.0) -> dict[str, Column]:
     """Sag driver (0 to 1) and the target and largest depth of a reach, from its wetness, distance, gain and area.
     A missing distance, gain or area says nothing, because greatest and least skip nulls."""
@@ -120,119 +167,6 @@ def keep_within(edges: DataFrame, kept: DataFrame, k: int) -> tuple[DataFrame, D
     """Nodes at most k undirected steps from the kept ones, numbered from 0 in order, and the edges inside, renumbered."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = hops(both, kept, k).select("node")
-    numbered = nodes.withColumn("idx", F.row_number().over(Window.orderBy("node")) - 1)
-    inside = edges.join(numbered.select(F.col("node").alias("src"), F.col("idx").alias("src_idx")), "src").join(numbered.select(F.col("node").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
-    return numbered, inside
-
-
-def solve_heads(reaches: DataFrame, tolerance: float = 0.01, rounds: int = 500, slope: float = 1e-4, smooth: float = 0.5) -> DataFrame:
-    """Heads of each component by Gauss-Seidel sweeps in ascending bed elevation: towards the target below the bed and the
-    neighbours' mean, never above the bed, never below bed - r_max, and never below the downstream head plus a floor slope;
-    pinned reaches keep their bed. A component is one group; its rows must fit in one task, as a river basin's do.
-
-    reaches: component, stream_id, down_id, bed, r_target_m, r_max_m, length_m, pinned.
-    """
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bed", "stream_id"]).reset_index(drop=True)
-        place = {int(s): i for i, s in enumerate(rows.stream_id)}
-        down = [place.get(int(d), -1) if pd.notna(d) else -1 for d in rows.down_id]
-        around: list[list[int]] = [[] for _ in down]
-        for i, d in enumerate(down):
-            if d >= 0:
-                around[i].append(d)
-                around[d].append(i)
-        bed, target = rows.bed.to_numpy(float), rows.bed.to_numpy(float) - rows.r_target_m.to_numpy(float)
-        lowest, rise, pinned = bed - rows.r_max_m.to_numpy(float), slope * rows.length_m.to_numpy(float), rows.pinned.to_numpy(bool)
-        head = np.where(pinned, bed, target)
-        used = 0
-        for used in range(1, rounds + 1):
-            moved = 0.0
-            for i in range(len(head)):
-                if pinned[i]:
-                    continue
-                new = target[i]
-                if around[i]:
-                    new = (1 - smooth) * new + smooth * float(np.mean(head[around[i]]))
-                if down[i] >= 0:
-                    new = max(new, head[down[i]] + rise[i])
-                new = min(bed[i], max(lowest[i], new))
-                moved = max(moved, abs(new - head[i]))
-                head[i] = new
-            if moved <= tolerance:
-                break
-        return pd.DataFrame({"component": rows.component, "stream_id": rows.stream_id, "channel_head_m": head, "head_depth_m": bed - head, "n_rounds": used})
-
-    return reaches.groupBy("component").applyInPandas(solve, "component long, stream_id long, channel_head_m double, head_depth_m double, n_rounds long")
-
-
-def dirichlet_surface(cells: DataFrame, tolerance: float = 1e-6, rounds: int = 20_000) -> DataFrame:
-    """The smooth surface through anchors of each component of cells (component, r, c, anchor or null): every other cell is
-    the mean of its neighbours in the domain. A component without an anchor has nulls. Conjugate gradients per component."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        out = rows[["component", "r", "c"]].copy()
-        fixed = rows.anchor.notna().to_numpy()
-        value = np.where(fixed, rows.anchor.fillna(0.0).to_numpy(float), 0.0)
-        if not fixed.any():
-            return out.assign(value=np.nan)
-        place = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows.r, rows.c))}
-        pairs = np.array([(i, j) for (r, c), i in place.items() for j in (place.get((r + 1, c)), place.get((r, c + 1))) if j is not None], np.int64).reshape(-1, 2)
-        a, b = pairs[:, 0], pairs[:, 1]
-        degree = np.bincount(np.r_[a, b], minlength=len(value)).astype(float)
-        free = ~fixed
-
-        def apply(x: np.ndarray) -> np.ndarray:
-            y = degree * x
-            np.subtract.at(y, a, x[b])
-            np.subtract.at(y, b, x[a])
-            return np.where(free, y, 0.0)
-
-        x = np.where(fixed, value, value[fixed].mean())
-        residual = -apply(x)
-        direction = scaled = residual / np.maximum(degree, 1)
-        norm = float(residual @ scaled)
-        for _ in range(rounds):
-            if np.abs(residual).max() <= tolerance or norm == 0:
-                break
-            along = apply(direction)
-            step = norm / float(direction @ along)
-            x, residual = x + step * direction, residual - step * along
-            scaled = residual / np.maximum(degree, 1)
-            norm, before = float(residual @ scaled), norm
-            direction = scaled + norm / before * direction
-        return out.assign(value=x)
-
-    return cells.groupBy("component").applyInPandas(solve, "component long, r long, c long, value double")
-
-
-def robust_surface(cells: DataFrame, scale: float = 3.0, weight: float = 4.0, iterations: int = 8, sweeps: int = 300) -> DataFrame:
-    """A membrane drawn to observations by Cauchy weights, reweighted `iterations` times, and never above a cell's cap.
-    cells: component, r, c, observed or null, cap or null. Cells of a component without an observation are null."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        out = rows[["component", "r", "c"]].copy()
-        known = rows.observed.notna().to_numpy()
-        if not known.any():
-            return out.assign(value=np.nan)
-        seen, cap = rows.observed.fillna(0.0).to_numpy(float), rows.cap.fillna(np.inf).to_numpy(float)
-        place = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows.r, rows.c))}
-        around = [[j for j in (place.get((r + d, c + e)) for d, e in ((1, 0), (-1, 0), (0, 1), (0, -1))) if j is not None] for r, c in place]
-        even = np.array([(r + c) % 2 == 0 for r, c in place])
-        near = np.array([(x + [len(place)] * 4)[:4] for x in around])
-        count = np.array([len(x) for x in around], float)
-        x, w = np.minimum(np.full(len(place), seen[known].mean()), cap), np.where(known, weight, 0.0)
-        for _ in range(iterations):
-            for _ in range(sweeps):
-                last = x.copy()
-                for colour in (even, ~even):
-                    total = np.append(x, 0.0)[near].sum(axis=1) + w * seen
-                    x = np.where(colour, np.minimum(total / np.maximum(count + w, 1e-12), cap), x)
-                if np.abs(x - last).max() < 1e-6:
-                    break
-            w = np.where(known, weight / (1 + ((x - seen) / scale) ** 2), 0.0)
-        return out.assign(value=x)
-
-    return cells.groupBy("component").applyInPandas(solve, "component long, r long, c long, value double")
+    nodes = numbered(nodes, "node")
+    inside = edges.join(nodes.select(F.col("node").alias("src"), F.col("idx").alias("src_idx")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
+    return nodes, inside

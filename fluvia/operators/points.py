@@ -7,45 +7,59 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fluvia.functions.binning import left_closed
-from fluvia.operators.spatial import radius_join
+from fluvia.lineage import cut
+from fluvia.operators.spatial import nearest_k
 from fluvia.operators.stats import weighted_quantiles
 
+#: Edges in metres above the stream surface, left-closed, and their labels.
 REM_EDGES = [0.0, 1.0, 2.0, 5.0, 10.0, float("inf")]
-REM_LABELS = ["0-1m", "1-2m", "2-5m", "5-10m", "10m+"]
+REM_LABELS = ["0-1 m", "1-2 m", "2-5 m", "5-10 m", ">10 m"]
 
 
 @dataclass(frozen=True)
 class DonorRules:
-    """Thresholds of the donor search."""
+    """Thresholds of the donor search. The defaults."""
 
     min_valid_years: int = 10
+    year_max_irrigation: float = 0.1
     max_irrigation: float = 0.15
-    least_edge_m: float = 30.0
+    max_irrigation_std: float = 0.3
+    least_edge_m: float = 100.0
+    managed_m: float = 500.0
+    perennial_m: float = 500.0
+    intermittent_m: float = 1000.0
     radius_m: float = 10_000.0
     candidates: int = 50
     rem_tolerance_m: float = 2.0
     sigma_rem_m: float = 1.0
     sigma_distance_m: float = 3_000.0
     peak_tolerance: float = 0.15
-    amplitude_tolerance: float = 0.15
+    amplitude_tolerance: float = 0.10
     purity_power: float = 2.0
-    sigma_etf_std: float = 0.2
-    sigma_ndvi_std: float = 0.1
+    sigma_etf_std: float = 0.15
+    sigma_ndvi_std: float = 0.08
     top_k: int = 7
     least_donors: int = 3
     trim: float = 0.1
-    least_effective: float = 3.0
-    most_weight: float = 0.6
-    most_gap: float = 0.1
+    least_effective: float = 2.5
+    most_weight: float = 0.5
+    most_gap: float = 0.05
 
 
 def rem_bin(value: Column) -> Column:
     return left_closed(value, REM_EDGES, REM_LABELS, "nan")
 
 
-def hydro_class(perennial: float = 250.0, intermittent: float = 250.0, managed: float = 250.0) -> Column:
+def hydro_class(rules: DonorRules = DonorRules()) -> Column:
     """The stream setting of a point; of several that hold, managed wins over perennial over intermittent."""
-    return F.when(F.col("dist_managed_m") <= managed, "managed").when(F.col("dist_perennial_m") <= perennial, "perennial").when(F.col("dist_intermittent_m") <= intermittent, "intermittent").otherwise("off_corridor")
+    return F.when(F.col("dist_managed_m") <= rules.managed_m, "managed_corridor").when(F.col("dist_perennial_m") <= rules.perennial_m, "perennial_corridor").when(F.col("dist_intermittent_m") <= rules.intermittent_m, "intermittent_corridor").otherwise("off_corridor")
+
+
+def nearest_stream(points: DataFrame) -> DataFrame:
+    """Adds nearest_stream_type and stream_distance, from the distances by type; of equal ones the first named wins."""
+    kinds = ["perennial", "intermittent", "managed"]
+    nearest = F.array_min(F.filter(F.array(*[F.struct(F.col(f"dist_{k}_m").alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]), lambda x: x["d"].isNotNull()))
+    return points.withColumns({"nearest_stream_type": nearest["k"], "stream_distance": nearest["d"]})
 
 
 def assemble_point_years(points: DataFrame, irr: DataFrame, ndvi: DataFrame, et: DataFrame, climate: DataFrame) -> DataFrame:
@@ -101,11 +115,12 @@ def summarize(years: DataFrame) -> DataFrame:
 
 
 def sample_masks(points: DataFrame, low: float = 2.0, riparian: float = 250.0, edge: float = 60.0, high: float = 5.0) -> DataFrame:
-    """Adds the target flags; a value that is missing or infinite satisfies none of them."""
+    """Adds the target flags; a value that is missing or infinite satisfies none of them. Riparian is what lies near a stream
+    of a known type: nearest_stream_type and stream_distance must be there."""
     rem = F.col("rem_at_sample")
     valid = F.coalesce(rem.isNotNull() & ~F.isnan(rem) & (F.abs(rem) < float("inf")), F.lit(False))
-    near = F.least("dist_perennial_m", "dist_intermittent_m", "dist_managed_m")
-    flags = {"valid": valid, "is_low_rem_target": valid & (rem <= low), "is_riparian_target": valid & (near <= riparian), "is_field_edge_target": valid & (F.col("dist_field_edge_m") <= edge), "is_high_rem_control": valid & (rem >= high)}
+    near = F.col("nearest_stream_type").isin("perennial", "intermittent", "managed") & (F.col("stream_distance") <= riparian)
+    flags = {"valid": valid, "is_low_rem_target": valid & (rem < low), "is_riparian_target": valid & near, "is_field_edge_target": valid & (F.col("dist_field_edge_m") <= edge), "is_high_rem_control": valid & (rem > high)}
     return points.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
@@ -122,17 +137,22 @@ def stratified_sample(points: DataFrame, groups: list[tuple[str, int]], seed: in
         eligible = rest.agg(F.count("*").alias("eligible"))
         drawn = rest.orderBy(order, "point_id").limit(size).crossJoin(F.broadcast(eligible))
         drawn = drawn.withColumn("sample_group", F.lit(flag)).withColumn("sampling_weight", F.col("eligible") / F.least("eligible", F.lit(size))).drop("eligible")
+        drawn = cut(drawn)  # later groups look at what is taken already
         taken = drawn if taken is None else taken.unionByName(drawn)
     return taken
 
 
-def exclusion_reason(rules: DonorRules) -> Column:
-    """The first hard filter that a donor year fails, or null."""
+def exclusion_reason(rules: DonorRules, target: str = "etf") -> Column:
+    """The first hard filter that a donor year fails, or null; an unknown value passes none."""
+
+    def fails(passed: Column) -> Column:
+        return ~F.coalesce(passed, F.lit(False))
+
     return (
-        F.when(~F.col("et_valid") | (F.col("valid_years") < rules.min_valid_years), "data_sufficiency")
-        .when(F.coalesce(F.col("irr_class") >= 0.5, F.lit(True)), "year_irrigated")
-        .when(F.coalesce(F.col("irr_freq") > rules.max_irrigation, F.lit(True)), "purity")
-        .when(F.coalesce(F.col("dist_field_edge_m") < rules.least_edge_m, F.lit(True)), "field_edge")
+        F.when(fails(F.col("feature_valid") & F.col(target).isNotNull() & (F.col("valid_years") >= rules.min_valid_years) & (F.col("eto_gs") > 0)), "data_sufficiency")
+        .when(fails(F.col("irr_class") <= rules.year_max_irrigation), "year_irrigated")
+        .when(fails((F.col("irr_freq") <= rules.max_irrigation) & (F.col("irr_frac_std") <= rules.max_irrigation_std)), "purity")
+        .when(fails(F.col("dist_field_edge_m") >= rules.least_edge_m), "field_edge")
     )
 
 
@@ -147,9 +167,8 @@ def donor_pairs(receiving: DataFrame, giving: DataFrame, rules: DonorRules, targ
     kept = ["point_id", "year", "x", "y", "rem_at_sample", "rem_bin", "hydro_analog", "ndvi_peak_gs", "ndvi_amp_gs"]
     r = receiving.select(*kept)
     d = giving.select(F.col("year"), *[F.col(c).alias(f"d_{c}") for c in kept if c != "year"], *[F.col(c).alias(f"d_{c}") for c in ("irr_freq", "etf_std", "ndvi_amp_std", target)])
-    near = radius_join(r, d, rules.radius_m, on=["year"], rxy=("d_x", "d_y"))
-    order = Window.partitionBy("point_id", "year").orderBy("distance_m", "d_point_id")
-    near = near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= rules.candidates)
+    r = r.withColumn("__recipient", F.struct("point_id", "year"))
+    near = nearest_k(r, d, "__recipient", "d_point_id", rules.candidates, on=["year"], rxy=("d_x", "d_y"), within=rules.radius_m)
     delta = F.abs(F.col("rem_at_sample") - F.col("d_rem_at_sample"))
     gated = near.withColumn("rem_delta", delta).where((F.col("rem_delta") <= rules.rem_tolerance_m) & (F.col("rem_bin") == F.col("d_rem_bin")) & (F.col("hydro_analog") == F.col("d_hydro_analog")))
     zero = F.lit(0.0)

@@ -79,11 +79,11 @@ def burn(strips: DataFrame, size: float) -> DataFrame:
     return samples.groupBy("r", "c").agg(F.min("v").alias("value"), F.count("*").alias("n"))
 
 
-def nearest_fill(cells: DataFrame, known: DataFrame, cell: float = 4.0) -> DataFrame:
+def nearest_fill(cells: DataFrame, known: DataFrame) -> DataFrame:
     """(r, c, value, distance_m) of every cell from the nearest known cell (r, c, value), ties by its order in rows."""
     left = cells.select("r", "c", (F.col("r") * 1_000_003 + F.col("c")).alias("cell_id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
     right = known.select((F.col("r") * 1_000_003 + F.col("c")).alias("known_id"), F.col("value"), F.col("c").cast("double").alias("rx"), F.col("r").cast("double").alias("ry"))
-    return nearest_k(left, right, "cell_id", "known_id", 1, cell).select("r", "c", "value", "distance_m")
+    return nearest_k(left, right, "cell_id", "known_id", 1).select("r", "c", "value", "distance_m")
 
 
 def strip_fill(cells: DataFrame, burned: DataFrame, spark: SparkSession, radius: float, power: float) -> DataFrame:
@@ -131,8 +131,12 @@ def accumulate(cells: DataFrame, pointers: DataFrame) -> DataFrame:
     key = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
     state = cells.select("r", "c").join(pointers, ["r", "c"], "left").select(key("r", "c").alias("at"), F.when(F.col("tr").isNotNull(), key("tr", "tc")).alias("to"), F.lit(1).cast("long").alias("acc"))
     state = cut(state)
-    while not state.where("to is not null").isEmpty():
+    for _ in range(64):
+        if state.where("to is not null").isEmpty():
+            break
         sent = state.where("to is not null").groupBy(F.col("to").alias("at")).agg(F.sum("acc").alias("more"))
         beyond = state.select(F.col("at").alias("to"), F.col("to").alias("next"))
-        state = cut(state.join(sent, "at", "left").join(beyond, "to", "left").select("at", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
+        state = cut(state.join(sent, "at", "left").join(beyond, "to", "left").select("at", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), replaces=state)
+    else:
+        raise RuntimeError("cells flow in a circle")
     return state.select("at.r", "at.c", "acc")

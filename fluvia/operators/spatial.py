@@ -27,36 +27,127 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     return pairs.withColumn("distance_m", distance(F.col(xy[0]), F.col(xy[1]), F.col(rxy[0]), F.col(rxy[1]))).where(F.col("distance_m") <= radius)
 
 
-def nearest_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, cell: float, on: list[str] | None = None, where: Column | None = None, xy: tuple[str, str] = ("x", "y"), rxy: tuple[str, str] = ("rx", "ry"), max_rounds: int = 40) -> DataFrame:
+#: Rows of the right side that one cell of a nearest-neighbour search is meant to hold, in multiples of k; cells that hold
+#: over CROWDED times as many are divided by DIVIDED on each axis, at most twice.
+CELL_ROWS = 1
+CROWDED = 4
+DIVIDED = 4
+
+
+def reach_candidates(k: int) -> int:
+    """How many reaches are tried, by their midpoints, for the k nearest."""
+    return max(50, 10 * k)
+
+
+def _grid(left: DataFrame, right: DataFrame, on: list[str], xy: tuple[str, str], rxy: tuple[str, str], k: int) -> tuple[float, float, float, float] | None:
+    """Origin, cell size and span of a grid whose cells hold about CELL_ROWS * k right rows of one key; None without rows."""
+    n, keys = F.count("*").alias("n"), (F.approx_count_distinct(F.struct(*on)) if on else F.lit(1)).alias("keys")
+    box = right.agg(n, keys, *[f(c).alias(f"{a}{i}") for i, c in enumerate(rxy) for a, f in (("a", F.min), ("b", F.max))]).first()
+    lbox = left.agg(*[f(c).alias(f"{a}{i}") for i, c in enumerate(xy) for a, f in (("a", F.min), ("b", F.max))]).first()
+    if not box["n"] or lbox["a0"] is None:
+        return None
+    low = [min(box[f"a{i}"], lbox[f"a{i}"]) for i in (0, 1)]
+    span = max(max(box[f"b{i}"], lbox[f"b{i}"]) - low[i] for i in (0, 1))
+    wide, high = (box[f"b{i}"] - box[f"a{i}"] for i in (0, 1))
+    share = min(1.0, CELL_ROWS * max(k, 4) * max(1, box["keys"]) / box["n"])
+    size = (wide * high * share) ** 0.5 if wide and high else max(wide, high) * share
+    return low[0], low[1], size or span or 1.0, span
+
+
+def _celled(df: DataFrame, xy: tuple[str, str], origin: tuple[float, float], size: float, crowded: list[DataFrame], on: list[str]) -> DataFrame:
+    """Adds __cx, __cy (cell of the coarse grid) and __lv, __fx, __fy (the cell, divided where right rows are crowded)."""
+    at = [F.floor((F.col(c) - o) / size).cast("long") for c, o in zip(xy, origin)]
+    out = df.withColumns({"__cx": at[0], "__cy": at[1]}).withColumns({"__lv": F.lit(0), "__fx": F.col("__cx"), "__fy": F.col("__cy")})
+    for level, cells in enumerate(crowded, 1):
+        part = size / DIVIDED**level
+        inner = {f"__f{a}": F.when(F.col("__c"), F.floor((F.col(c) - o) / part).cast("long")).otherwise(F.col(f"__f{a}")) for a, c, o in zip("xy", xy, origin)}
+        marked = out.join(cells.withColumn("__c", F.lit(True)), [*on, "__lv", "__fx", "__fy"], "left")
+        out = marked.withColumns(inner | {"__lv": F.when(F.col("__c"), level).otherwise(F.col("__lv"))}).drop("__c")
+    return out
+
+
+def nearest_k(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, cell: float | None = None, on: list[str] | None = None, apart: tuple[str, str] | None = None, xy: tuple[str, str] = ("x", "y"), rxy: tuple[str, str] = ("rx", "ry"), within: float | None = None
+) -> DataFrame:
     """Exactly the k nearest right rows of each left row, with distance_m and rank; ties go by the right id.
 
-    `on` (equal columns) and `where` (any condition on a pair) hold before ranking. A round searches the cells around
-    each row; rows whose k-th neighbour is no farther than a cell are done, the others go on with cells twice as large,
-    until one cell spans all rows. Left rows without any neighbour give no row.
+    `on` (equal columns), `apart` (a left and a right column that must differ) and `within` (largest distance) hold before
+    ranking. Left rows without any neighbour give no row, as do rows without coordinates, and null keys match nothing.
+
+    The size of cells follows the density of the right rows (or is given as `cell`), so the pairs of a row follow k and
+    not the table. Cells are compared first, by their counts and extents: of the cells around it, a left cell keeps those
+    that are no farther than the distance at which k right rows are certain. Cells for which that distance reaches
+    beyond the cells looked at go on to a wider ring; only then are rows joined, within the pairs of cells kept.
     """
-    order = Window.partitionBy(left_id).orderBy("distance_m", right_id)
-    box = right.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(rxy) for n, f in (("a", F.min), ("b", F.max))]).first()
-    lbox = left.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(xy) for n, f in (("a", F.min), ("b", F.max))]).first()
-    spans = [max(box[f"b{i}"], lbox[f"b{i}"]) - min(box[f"a{i}"], lbox[f"a{i}"]) for i in (0, 1)] if box["a0"] is not None and lbox["a0"] is not None else [0.0]
-    done, open_, size = None, left, float(cell)
-    for _ in range(max_rounds):
-        last = size > max(spans)
-        pairs = _cells(open_, *xy, size, True).join(_cells(right, *rxy, size, False), [*(on or []), "__cx", "__cy"]).drop("__cx", "__cy")
-        if where is not None:
-            pairs = pairs.where(where)
-        pairs = pairs.withColumn("distance_m", distance(F.col(xy[0]), F.col(xy[1]), F.col(rxy[0]), F.col(rxy[1])))
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    on = on or []
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    left = left.dropna(subset=[*xy, *on])
+    right = right.dropna(subset=[*rxy, *on])
+    none = left.limit(0).join(right.limit(0), on).select(*columns, F.lit(0.0).alias("distance_m"), F.lit(1).alias("rank")) if on else left.limit(0).crossJoin(right.limit(0)).select(*columns, F.lit(0.0).alias("distance_m"), F.lit(1).alias("rank"))
+    grid = _grid(left, right, on, xy, rxy, k)
+    if grid is None:
+        return none
+    ox, oy, size, span = grid
+    size = float(cell or size)
+    crowded: list[DataFrame] = []
+    for level in (0, 1):
+        cells = _celled(right, rxy, (ox, oy), size, crowded, on).where(F.col("__lv") == level).groupBy(*on, "__lv", "__fx", "__fy").count()
+        cells = cells.where(F.col("count") > CROWDED * CELL_ROWS * max(k, 4)).select(*on, "__lv", "__fx", "__fy")
+        if cells.isEmpty():
+            break
+        crowded.append(cut(cells))
+
+    rows = _celled(right, rxy, (ox, oy), size, crowded, on).withColumnsRenamed({"__lv": "__rl", "__fx": "__rx", "__fy": "__ry"})
+    asking = _celled(left, xy, (ox, oy), size, crowded, on)
+    lapart, rapart = ([apart[0]], [apart[1]]) if apart else ([], [])
+    lkey, rkey = [*on, *lapart, "__lv", "__fx", "__fy"], [*on, *rapart, "__rl", "__rx", "__ry"]
+
+    def extent(prefix: str, names: tuple[str, str]) -> list[Column]:
+        return [f(c).alias(f"__{prefix}{a}{i}") for a, c in zip("xy", names) for i, f in enumerate((F.min, F.max))]
+
+    held = cut(rows.groupBy(*rkey, "__cx", "__cy").agg(F.count("*").alias("__n"), *extent("r", rxy)))
+    open_ = cut(asking.groupBy(*lkey, "__cx", "__cy").agg(*extent("l", xy)))
+    c = F.col
+    gap = [F.greatest(F.lit(0.0), c(f"__l{a}0") - c(f"__r{a}1"), c(f"__r{a}0") - c(f"__l{a}1")) for a in "xy"]
+    reach = [F.greatest(F.abs(c(f"__l{a}1") - c(f"__r{a}0")), F.abs(c(f"__r{a}1") - c(f"__l{a}0"))) for a in "xy"]
+    # what rounding may do to a distance must not decide whether a cell is kept
+    slack = 1 + 1e-9
+    order = Window.partitionBy(*lkey).orderBy("__far", *rkey[len(on) :])
+    near, factor = None, 1
+    while True:
+        last = factor * size > span
+        ring = {f"__c{a}": F.floor(c(f"__c{a}") / factor).cast("long") for a in "xy"}
+        steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        here = open_.withColumns({f"__o{a}": v for a, v in zip("xy", ring.values())})
+        border = [v for a, o in zip("xy", (ox, oy)) for v in (c(f"__l{a}0") - o - (c(f"__o{a}") - 1) * factor * size, (c(f"__o{a}") + 2) * factor * size + o - c(f"__l{a}1"))]
+        around = here.withColumn("__edge", F.least(*border)).withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps))
+        around = around.withColumns({f"__c{a}": c(f"__o{a}") + c(f"__d{a}") for a in "xy"}).drop("__dx", "__dy", "__ox", "__oy")
+        met = around.join(held.withColumns(ring), [*on, "__cx", "__cy"])
+        if apart:
+            met = met.where(c(apart[0]) != c(apart[1]))
+        met = met.withColumns({"__near": F.hypot(*gap), "__far": F.hypot(*reach)})
+        bound = F.min(F.when(c("__sum") >= k, c("__far"))).over(Window.partitionBy(*lkey))
+        met = met.withColumn("__sum", F.sum("__n").over(order)).withColumn("__bound", bound * slack)
+        limit = F.coalesce(F.least("__bound", F.lit(within)) if within is not None else c("__bound"), F.lit(float("inf")))
+        settled = F.lit(True) if last else (limit * slack <= c("__edge"))
+        kept = cut(met.where(settled & (c("__near") <= limit * slack)).select(*lkey, *[x for x in rkey if x not in on]))
+        near = kept if near is None else near.unionByName(kept)
         if last:
-            found = ranked
-        else:
-            sure = ranked.groupBy(left_id).agg(F.count("*").alias("__n"), F.max("distance_m").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= size)).select(left_id)
-            found = cut(ranked.join(sure, left_id, "left_semi"))
-            open_ = cut(open_.join(found.select(left_id).distinct(), left_id, "left_anti"))
-        done = found if done is None else done.unionByName(found)
-        if last or open_.isEmpty():
             break
-        size *= 2
-    return done
+        rest = open_.join(kept.select(*lkey).distinct(), lkey, "left_anti")
+        if within is not None:  # nothing lies within reach of what has seen all of it
+            seen = here.select(*lkey, F.least(*border).alias("__edge")).where(c("__edge") >= within).select(*lkey)
+            rest = rest.join(seen, lkey, "left_anti")
+        open_ = cut(rest)
+        if open_.isEmpty():
+            break
+        factor *= 2
+    pairs = asking.drop("__cx", "__cy").join(near, lkey).join(rows.drop("__cx", "__cy"), rkey)
+    pairs = pairs.withColumn("distance_m", distance(c(xy[0]), c(xy[1]), c(rxy[0]), c(rxy[1])))
+    if within is not None:
+        pairs = pairs.where(c("distance_m") <= within)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(left_id).orderBy("distance_m", right_id)))
+    return ranked.where(c("rank") <= k).select(*columns, "distance_m", "rank")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str, size: float, xy: tuple[str, str] = ("x", "y")) -> DataFrame:

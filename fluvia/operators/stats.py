@@ -57,11 +57,82 @@ def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
 
-def theil_sen(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Median slope over all pairs of a group's points, and the intercept at the medians. Pairs stay within a group, so
-    the groups must be short records (a station's readings)."""
-    a = df.select(*by, F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = df.select(*by, F.col(x).alias("x2"), F.col(y).alias("y2"))
-    slopes = a.join(b, by).where("x2 > x1").groupBy(*by).agg(F.median((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("slope"))
-    middle = df.groupBy(*by).agg(F.median(x).alias("mx"), F.median(y).alias("my"))
-    return slopes.join(middle, by).select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
+#: Rows of one side of a chunk of pairs.
+PAIRED_ROWS = 2_000
+
+
+def theil_sen(df: DataFrame, by: list[str], x: str, y: str, z: float = 1.959963984540054) -> DataFrame:
+    """Median slope over all pairs of a group's points, the intercept at the medians, and the slopes low and high between
+    which the true one lies (z: the normal quantile; the default is that of 95 %).
+
+    A long record is one group, but its pairs are made in chunks of PAIRED_ROWS rows against all, in as many tasks; slopes
+    are then sorted, which spills, and picked by their rank. Groups without two different x give no row.
+    """
+    chunks = F.ceil(F.col("__n") / PAIRED_ROWS).cast("int")
+    rows = df.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x is not null and __y is not null")
+    sized = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    a = sized.select(*by, F.pmod(F.xxhash64("__x", "__y"), chunks).cast("int").alias("__k"), F.col("__x").alias("x1"), F.col("__y").alias("y1"))
+    b = sized.select(*by, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__k"), F.col("__x").alias("x2"), F.col("__y").alias("y2"))
+    slopes = a.join(b, [*by, "__k"]).where("x2 > x1").select(*by, ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("s"))
+    counts = slopes.groupBy(*by).agg(F.count("*").alias("nt"))
+
+    def ties(column: str) -> DataFrame:
+        k = F.col("count")
+        return rows.groupBy(*by, column).count().groupBy(*by).agg(F.sum(k * (k - 1) * (2 * k + 5)).alias(f"t{column}"))
+
+    middle = rows.groupBy(*by).agg(F.count("*").alias("n"), F.median("__x").alias("mx"), F.median("__y").alias("my"))
+    spread = middle.join(ties("__x"), by).join(ties("__y"), by).join(counts, by)
+    n = F.col("n")
+    sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("t__x") - F.col("t__y")) / 18.0)
+    ends = spread.withColumns({"hi": F.least(F.rint((F.col("nt") + z * sigma) / 2), F.col("nt") - 1).cast("long"), "lo": F.greatest(F.rint((F.col("nt") - z * sigma) / 2) - 1, F.lit(0)).cast("long")})
+    ranked = slopes.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("s")).cast("long") - 1).join(ends.select(*by, "nt", "lo", "hi"), by)
+    i, nt = F.col("i"), F.col("nt")
+    half = F.avg(F.when((i == F.floor((nt - 1) / 2)) | (i == F.floor(nt / 2)), F.col("s")))
+    found = ranked.groupBy(*by).agg(half.alias("slope"), F.min(F.when(i == F.col("lo"), F.col("s"))).alias("low"), F.min(F.when(i == F.col("hi"), F.col("s"))).alias("high"))
+    return found.join(middle, by).select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "low", "high")
+
+
+def shallow_scores(df: DataFrame, by: list[str], predicted: str, observed: str, weight: str, shallow: float = 5.0) -> DataFrame:
+    """Per group, over rows in which all is known: n, mad, wmad, bias, mean_bias, rmse (the last three and wmad weighted, bias
+    the plain median), and recall, precision and their harmonic mean for the call of shallow water, with 1 for a count of
+    0 and 0 where both are 0."""
+    known = df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull() & F.col(weight).isNotNull())
+    e, w = F.col(predicted) - F.col(observed), F.col(weight)
+    p, o = F.col(predicted) < shallow, F.col(observed) < shallow
+    weighted = lambda v: F.try_divide(F.sum(w * v), F.sum(w))
+    sums = known.groupBy(*by).agg(F.count("*").alias("n"), F.median(F.abs(e)).alias("mad"), weighted(F.abs(e)).alias("wmad"), F.median(e).alias("bias"), weighted(e).alias("mean_bias"), F.sqrt(weighted(e * e)).alias("rmse"), F.count_if(p & o).alias("tp"), F.count_if(o).alias("n_obs_shallow"), F.count_if(p).alias("n_pred_shallow"))
+    recall, precision = F.col("tp") / F.greatest("n_obs_shallow", F.lit(1)), F.col("tp") / F.greatest("n_pred_shallow", F.lit(1))
+    out = sums.withColumns({"shallow_recall": recall, "shallow_precision": precision}).drop("tp")
+    return out.withColumn("shallow_f1", F.coalesce(F.try_divide(2 * F.col("shallow_recall") * F.col("shallow_precision"), F.col("shallow_recall") + F.col("shallow_precision")), F.lit(0.0)))
+
+
+def shallow_skill(df: DataFrame, predicted: str, observed: str, thresholds: tuple[float, ...] = (2.0, 5.0, 10.0)) -> DataFrame:
+    """(threshold, precision, recall, n_obs_shallow): the call of water shallower than each threshold; null where undefined.
+    Each row counts under every threshold, in one pass."""
+    known = df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull())
+    long = known.select(F.col(predicted).alias("p"), F.col(observed).alias("o"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    p, o = F.col("p") < F.col("threshold"), F.col("o") < F.col("threshold")
+    sums = long.groupBy("threshold").agg(F.count_if(p & o).alias("tp"), F.count_if(p).alias("np"), F.count_if(o).alias("n_obs_shallow"))
+    return sums.select("threshold", F.try_divide("tp", "np").alias("precision"), F.try_divide("tp", "n_obs_shallow").alias("recall"), "n_obs_shallow")
+
+
+def unit_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """The column stretched so that its percentiles low and high (shares of 1) become 0 and 1, and clipped to that. A range
+    without width is an error. The one row of percentiles is broadcast."""
+    ends = df.agg(F.percentile(column, F.lit(low)).alias("__a"), F.percentile(column, F.lit(high)).alias("__b"))
+    width = F.when(F.col("__b") > F.col("__a"), F.col("__b") - F.col("__a")).otherwise(F.raise_error(F.lit(f"{column} has no range")).cast("double"))
+    share = (F.col(column) - F.col("__a")) / width
+    stretched = F.when(F.col(column).isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    return df.crossJoin(F.broadcast(ends)).withColumn(column, stretched).drop("__a", "__b")
+
+
+def asserted_join(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
+    """Each left row with `column` of its right row; a left row that finds none, or a null, is an error, not a gap."""
+    joined = left.join(right.select(key, column), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {column} for {key} "), F.col(key).cast("string"))).cast(dict(right.dtypes)[column])
+    return joined.withColumn(column, F.when(F.col(column).isNotNull(), F.col(column)).otherwise(missing))
+
+
+def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the table's rows and how many know each column, as JSON."""
+    return df.agg(F.to_json(F.struct(F.count("*").alias("n_rows"), F.struct(*[F.count(c).alias(c) for c in columns]).alias("known"))).alias("manifest"))

@@ -7,11 +7,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fluvia.functions.hydro import decimal_year
 from fluvia.operators.stats import theil_sen
 
-#: Location classes by rank, and depths in metres that guard a label.
-ACCURACY_RANK = {"survey": 4, "gps": 3, "map": 2, "section": 1}
-SANE_DTW = (-5.0, 500.0)
-SHALLOW_M, DEEP_SCREEN_M, DEEP_WATER_M, ARTESIAN_M, SANE_DEPTH_M = 30.0, 60.0, 60.0, -1.0, 3000.0
-WEIGHTS = {"monitoring": 2.0, "primary": 1.0, "secondary": 0.5, "diagnostic": 0.0}
+#: Location classes by rank, and those that place a well well enough; classes of confinement; depths in
+#: metres that guard a label; weights of the tiers; months of the spring and fall medians.
+ACCURACY_RANK = {"survey_gps": 4, "gps": 3, "map": 2, "plss": 1, "unknown": 0}
+GOOD_LOCATION = ["survey_gps", "gps", "map"]
+CONFINED = ["confined", "likely_confined", "artesian"]
+UNCONFINED = ["unconfined", "unconfined_marginal"]
+SANE_DTW = (-10.0, 500.0)
+SHALLOW_M, DEEP_SCREEN_M, DEEP_WATER_M, ARTESIAN_M, SANE_DEPTH_M = 30.0, 60.0, 60.0, -1.0, 5000.0
+WEIGHTS = {"monitoring": 1.0, "primary": 0.6, "secondary": 0.25, "diagnostic": 0.0}
+SPRING_MONTHS = [4, 5, 6]
+FALL_MONTHS = [9, 10]
 
 
 def admitted(wells: DataFrame, box: tuple[float, float, float, float], classes: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -41,8 +47,8 @@ def series_labels(readings: DataFrame, key: str = "station") -> DataFrame:
         F.max(F.to_date("ts")).alias("date_max"),
         F.median("dtw").alias("dtw_all_median"),
         median(F.col("year").between(2019, 2024)).alias("dtw_2019_2024_median"),
-        median(F.col("month").isin(3, 4, 5)).alias("dtw_spring_median"),
-        median(F.col("month").isin(9, 10, 11)).alias("dtw_fall_median"),
+        median(F.col("month").isin(SPRING_MONTHS)).alias("dtw_spring_median"),
+        median(F.col("month").isin(FALL_MONTHS)).alias("dtw_fall_median"),
         median(F.col("year") >= F.col("last") - 4).alias("dtw_latest5_median"),
         F.max_by("dtw", F.struct("ts", "event_id")).alias("latest_dtw"),
         F.max_by("method", F.struct("ts", "event_id")).alias("latest_method"),
@@ -90,8 +96,8 @@ def tier() -> Column:
     """Tier, weight and reason of a labelled well: the first guard that it fails makes it diagnostic."""
     c = F.col
     known = F.coalesce((c("well_depth") > 0) & (c("well_depth") <= SANE_DEPTH_M), F.lit(False))
-    unconfined = F.coalesce(c("confinement_class").isin("unconfined", "likely_unconfined"), F.lit(False))
-    confined = F.coalesce(c("confinement_class").isin("confined", "likely_confined"), F.lit(False))
+    unconfined = F.coalesce(c("confinement_class").isin(UNCONFINED), F.lit(False))
+    confined = F.coalesce(c("confinement_class").isin(CONFINED), F.lit(False))
     unknown = F.coalesce(c("confinement_class"), F.lit("")).isin("", "unknown")
 
     def diagnostic(reason: str) -> Column:
@@ -109,7 +115,7 @@ def tier() -> Column:
         .when((c("value") > DEEP_WATER_M) & ~unconfined, diagnostic("deep_water_nonphreatic"))
         .when(F.coalesce(c("screen_top") > DEEP_SCREEN_M, F.lit(False)), diagnostic("deep_screen_nonphreatic"))
         .when(F.coalesce(c("override_class") == "pumping", F.lit(False)), diagnostic("pumping_well"))
-        .when(~F.coalesce(c("h_accuracy_class").isin("survey", "gps"), F.lit(False)), diagnostic("poor_location"))
+        .when(~F.coalesce(c("h_accuracy_class").isin(GOOD_LOCATION), F.lit(False)), diagnostic("poor_location"))
         .when(F.coalesce(c("override_class") == "monitoring", F.lit(False)), accepted("primary", F.when(series, WEIGHTS["monitoring"]).otherwise(WEIGHTS["primary"])))
         .when(unconfined | (unknown & known & (c("well_depth") <= SHALLOW_M)) | series, accepted("primary", F.lit(WEIGHTS["primary"])))
         .otherwise(accepted("secondary", F.lit(WEIGHTS["secondary"])))

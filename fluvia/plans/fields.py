@@ -10,7 +10,8 @@ from fluvia.plans.registry import query
 from fluvia.sources.tables import table, view
 
 #: Synthetic codes for parts, so that each class and an unmapped code occur.
-_CODE = "CASE p_size % 6 WHEN 0 THEN 46006 WHEN 1 THEN 46003 WHEN 2 THEN 33600 WHEN 3 THEN 55800 WHEN 4 THEN 42801 ELSE 99999 END"
+_CODE = "CASE p_size % 9 WHEN 0 THEN 46006 WHEN 1 THEN 46003 WHEN 2 THEN 33600 WHEN 3 THEN 55800 WHEN 4 THEN 42801 WHEN 5 THEN 46800 WHEN 6 THEN 33400 WHEN 7 THEN 33601 ELSE 99999 END"
+_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'StreamRiver' WHEN 1 THEN 'ArtificialPath' WHEN 2 THEN 'CanalDitch' END"
 
 
 @query("fx_fields fx_field_daily", _FIELDS + " SELECT fid, rem_mean < 2 AS partitioned, strata, pattern FROM fl")
@@ -26,22 +27,33 @@ def pattern_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "",
     f"""cd AS (SELECT p_partkey, p_size, {_CODE} AS code FROM part),
-    ty AS (SELECT *, CASE WHEN code IN (46006, 55800) THEN 'perennial' WHEN code IN (46000, 46003, 46007) THEN 'intermittent' WHEN code IN (33600, 33601, 33603, 42800, 42801) THEN 'managed' END AS stream_type FROM cd)
+    ty AS (SELECT *, CASE WHEN code IN (46006, 55800) THEN 'perennial' WHEN code IN (46000, 46003, 46007) THEN 'intermittent' WHEN code IN (33400, 33600, 33601, 33602, 33603, 46800) THEN 'managed' END AS stream_type FROM cd)
     SELECT stream_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total_size FROM ty WHERE stream_type IS NOT NULL AND code NOT IN (33601, 46007) GROUP BY 1""",
 )
 def flowline_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes mapped to stream types, unmapped and excluded codes dropped, and the classes counted."""
     coded = table(spark, sf_dir, "part").select("p_size", F.expr(_CODE).alias("code"))
-    typed = coded.where(~F.col("code").isin(33601, 46007)).withColumn("stream_type", fields.map_codes(F.col("code"), fields.STREAM_TYPE_OF_CODE)).where("stream_type is not null")
+    typed = coded.where(~F.col("code").isin(fields.CODES_WITHOUT_SURFACE)).withColumn("stream_type", fields.map_codes(F.col("code"), fields.STREAM_TYPE_OF_CODE)).where("stream_type is not null")
     return typed.groupBy("stream_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("total_size"))
 
 
-@query("", f"SELECT p_partkey, {_CODE} AS code FROM part WHERE {_CODE} = 46006 OR lower(p_type) LIKE '%stream%' OR lower(p_type) LIKE '%brass%'")
+@query(
+    "",
+    f"""cd AS (SELECT p_partkey, {_CODE} AS code, {_KIND} AS kind FROM part)
+    SELECT p_partkey, 'code' AS rule FROM cd WHERE code = 46006 UNION ALL SELECT p_partkey, 'type' FROM cd WHERE kind = 'StreamRiver'
+    UNION ALL SELECT p_partkey, 'no_artificial' FROM cd WHERE kind IS NULL OR kind = 'StreamRiver' UNION ALL SELECT p_partkey, 'both' FROM cd WHERE code = 46006 AND (kind IS NULL OR kind = 'StreamRiver')""",
+)
 def flowline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flowlines kept by code or by a type's text, whatever its case."""
-    coded = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.expr(_CODE).alias("code"))
-    text = F.lower("p_type")
-    return coded.where((F.col("code") == 46006) | text.contains("stream") | text.contains("brass")).select("p_partkey", "code")
+    """Flowlines kept under each rule: by code, by type where there is no code, without artificial ones, and both."""
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CODE).alias("code"), F.expr(_KIND).alias("kind"))
+    kept = {
+        "code": fields.filter_flowlines(lines, "code", "kind", natural_perennial=True),
+        "type": fields.filter_flowlines(lines, None, "kind", natural_perennial=True),
+        "no_artificial": fields.filter_flowlines(lines, "code", "kind", exclude_artificial=True),
+        "both": fields.filter_flowlines(lines, "code", "kind", natural_perennial=True, exclude_artificial=True),
+    }
+    parts = [rows.select("p_partkey", F.lit(rule).alias("rule")) for rule, rows in kept.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 _WIDE = "SELECT point_id, " + ", ".join(f"max(CASE WHEN year = {y} THEN CAST(irr_class AS DOUBLE) END) AS irr_{y}" for y in range(1995, 2002)) + " FROM fx_point_year GROUP BY point_id"
@@ -63,22 +75,12 @@ def irrigation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"irr_mean": F.round("irr_mean", 6), "irr_freq": F.round("irr_freq", 6)})
 
 
-@query(
-    "fx_fields fx_point_year",
-    """s AS (SELECT point_id % 100 AS fid, avg(irr_class) AS m FROM fx_point_year WHERE point_id % 3 = 0 GROUP BY 1)
-    SELECT f.fid, round(s.m, 6) AS irr_obs, coalesce(s.m <= 0.2, false) AS pattern FROM fx_fields f LEFT JOIN s USING (fid)""",
-)
-def field_irrigation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields with those observations that its SQL names; `field_irrigation_all` has all of them."""
-    return _irrigated(view(spark, sf_dir, "fx_fields"), view(spark, sf_dir, "fx_point_year").where("point_id % 3 = 0"))
-
-
 @query(
     "fx_fields fx_point_year",
     """s AS (SELECT point_id % 100 AS fid, avg(irr_class) AS m FROM fx_point_year GROUP BY 1)
     SELECT f.fid, round(s.m, 6) AS irr_obs, coalesce(s.m <= 0.2, false) AS pattern FROM fx_fields f LEFT JOIN s USING (fid)""",
 )
-def field_irrigation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def field_irrigation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields with all their observed irrigation."""
     return _irrigated(view(spark, sf_dir, "fx_fields"), view(spark, sf_dir, "fx_point_year"))
 

@@ -82,3 +82,11 @@ def isotonic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.permutation_importance(_training(spark, sf_dir), ["p1", "x", "y"], "obs_dtw")
+
+
+@query("fx_wells", "b AS (SELECT DISTINCT CAST(floor(x / 2000) AS BIGINT) AS block FROM fx_wells) SELECT count(*) AS n_blocks, 4::BIGINT AS n_folds, CAST(ceil(count(*) / 4) AS BIGINT) AS most, CAST(floor(count(*) / 4) AS BIGINT) AS least FROM b")
+def round_robin_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks dealt to folds in turn, in a seeded order: how many folds, and the most and fewest blocks of one."""
+    folds = models.round_robin_folds(view(spark, sf_dir, "fx_wells").withColumn("block", F.floor(F.col("x") / 2000)), "block", 4)
+    sizes = folds.groupBy("fold").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_folds"), F.max("n").alias("most"), F.min("n").alias("least"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fluvia.operators import network
+from fluvia.operators import network, solvers
 from fluvia.operators.graph import connected_components
 from fluvia.plans.registry import query
 from fluvia.sources.tables import view
@@ -153,22 +153,11 @@ def edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("src", "dst", "direction", F.round(F.log(F.col("lb") / F.col("la")), 6).alias("log_ratio"), (F.col("dst") % 4 - F.col("src") % 4).alias("order_change"), F.round(F.col("za") - F.col("zb"), 6).alias("rel_elev"), F.round(2 / (F.col("la") + F.col("lb")), 9).alias("conductance"))
 
 
-@query("fx_reaches", "t AS (SELECT stream_id AS start, stream_id AS at, 0 AS n FROM fx_reaches WHERE stream_id % 401 = 7 UNION ALL SELECT t.start, f.down_id, n + 1 FROM t JOIN fx_reaches f ON f.stream_id = t.at WHERE f.down_id > 0) SELECT t.at AS stream_id, count(*) AS n_traces, CAST(sum(start * 2) AS BIGINT) AS added FROM t GROUP BY 1")
+@query("fx_reaches", "t AS (SELECT stream_id AS start, stream_id AS at, 0 AS n FROM fx_reaches UNION ALL SELECT t.start, f.down_id, n + 1 FROM t JOIN fx_reaches f ON f.stream_id = t.at WHERE f.down_id > 0) SELECT t.at AS stream_id, count(*) AS n_traces, CAST(sum(start * 2) AS BIGINT) AS added FROM t GROUP BY 1")
 def trace_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inflows followed to the outlet, adding what they bring to every reach on the way."""
-    traced = spark.sql("WITH RECURSIVE t AS (SELECT stream_id AS start, stream_id AS at, 0 AS n FROM {r} WHERE stream_id % 401 = 7 UNION ALL SELECT t.start, f.down_id, n + 1 FROM t JOIN {r} f ON f.stream_id = t.at WHERE f.down_id > 0) SELECT * FROM t", r=_reaches(spark, sf_dir))
-    return traced.groupBy(F.col("at").alias("stream_id")).agg(F.count("*").alias("n_traces"), F.sum(F.col("start") * 2).alias("added"))
-
-
-@query(
-    "fx_reaches",
-    """s AS (SELECT stream_id, length_m, CAST(unnest(generate_series(0, CAST(floor(length_m / 60) AS BIGINT))) AS BIGINT) AS k FROM fx_reaches WHERE stream_id <= 300),
-    p AS (SELECT stream_id, k, k * 60.0::DOUBLE AS s_m FROM s UNION ALL SELECT stream_id, CAST(floor(length_m / 60) AS BIGINT) + 1, length_m FROM fx_reaches WHERE stream_id <= 300 AND length_m > floor(length_m / 60) * 60)
-    SELECT stream_id, k AS station, s_m, lead(k) OVER (PARTITION BY stream_id ORDER BY k) AS next_station, round(s_m - coalesce(lag(s_m) OVER (PARTITION BY stream_id ORDER BY k), 0), 6) AS step_m FROM p""",
-)
-def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stations of the reaches that its SQL names; `all_stations` has those of every reach."""
-    return _stations(_reaches(spark, sf_dir).where("stream_id <= 300"))
+    """An inflow on every reach followed to the outlet, adding what it brings to every reach on the way."""
+    rows = _reaches(spark, sf_dir)
+    return network.brought_down(rows, rows.select("stream_id", (F.col("stream_id") * 2).alias("amount")))
 
 
 @query(
@@ -177,7 +166,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT stream_id, k, k * 60.0::DOUBLE AS s_m FROM s UNION ALL SELECT stream_id, CAST(floor(length_m / 60) AS BIGINT) + 1, length_m FROM fx_reaches WHERE length_m > floor(length_m / 60) * 60)
     SELECT stream_id, k AS station, s_m, lead(k) OVER (PARTITION BY stream_id ORDER BY k) AS next_station, round(s_m - coalesce(lag(s_m) OVER (PARTITION BY stream_id ORDER BY k), 0), 6) AS step_m FROM p""",
 )
-def all_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stations of every reach."""
     return _stations(_reaches(spark, sf_dir))
 
@@ -220,8 +209,8 @@ def primary_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def head_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channel heads per component by relaxation; no SQL expresses the sweeps."""
+    """Channel heads of the whole network by relaxation; no SQL expresses the sweeps."""
     rows = _reaches(spark, sf_dir)
-    groups = connected_components(_edges(spark, sf_dir).where("src % 29 <> 0")).withColumnRenamed("node", "stream_id")
+    groups = connected_components(_edges(spark, sf_dir)).withColumnRenamed("node", "stream_id")
     ready = rows.join(groups, "stream_id").select("component", "stream_id", "down_id", (100 + 10 * F.log2(F.col("stream_id").cast("double"))).alias("bed"), (2 + F.col("relief_m")).alias("r_target_m"), (5 + 2 * F.col("relief_m")).alias("r_max_m"), "length_m", (F.col("seed_strength") >= 0.7).alias("pinned"))
-    return network.solve_heads(ready)
+    return solvers.solve_heads(ready)

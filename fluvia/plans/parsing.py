@@ -22,7 +22,7 @@ def names_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", text.iso_date(compact).alias("iso"), text.iso_date(broken).alias("checked"), text.sanitized(F.concat("o_orderpriority", F.lit(" / "), "o_orderstatus", F.lit("!"))).alias("name"))
 
 
-@query("", "SELECT p_partkey, CAST(month(DATE '2020-01-01' + CAST(p_partkey % 366 AS INT)) AS INT) AS month, CASE WHEN p_partkey % 2 = 0 THEN 'MOD' ELSE 'MYD' END AS platform, printf('h%02dv%02d', p_partkey % 36, p_partkey % 18) AS tile FROM part")
+@query("", "SELECT p_partkey, CAST(month(DATE '2020-01-01' + CAST(p_partkey % 366 AS INT)) AS INT) AS month, CASE WHEN p_partkey % 2 = 0 THEN 'terra' ELSE 'aqua' END AS platform, printf('h%02dv%02d', p_partkey % 36, p_partkey % 18) AS tile FROM part")
 def granule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months, platforms and tiles from granule names."""
     k = F.col("p_partkey")
@@ -32,17 +32,17 @@ def granule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "",
-    """w AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'L1UBH' WHEN 1 THEN 'PUBHh/EM1A' WHEN 2 THEN 'PABJ' WHEN 3 THEN 'R2UBH' WHEN 4 THEN 'PUBA ' ELSE 'PEM1C' END AS code, CASE WHEN p_size > 40 THEN 'spring' WHEN p_size > 20 THEN 'open_water' ELSE 'wetland' END AS cls, p_size * 30000.0 AS area, p_type AS name FROM part)
-    SELECT p_partkey, p_partkey % 6 IN (0, 1) AS persistent, CASE WHEN area >= 1e6 THEN 1.0 WHEN cls = 'spring' THEN 1.0 WHEN cls = 'open_water' THEN 2.0 ELSE 3.0 END + CASE WHEN regexp_matches(name, '(?i)steel|brass') THEN 2.0 ELSE 0.0 END AS sigma FROM w""",
+    """w AS (SELECT p_partkey, p_partkey % 10 AS k, CASE WHEN p_size > 40 THEN 'spring' WHEN p_size > 20 THEN 'open_water' ELSE 'wetland' END AS cls, CASE WHEN p_size % 5 = 0 THEN 'NHDArea_460' ELSE p_type END AS label FROM part)
+    SELECT p_partkey, k IN (0, 3, 5) AS persistent, CASE WHEN label LIKE 'NHDArea%' THEN 2.0 WHEN cls = 'spring' THEN 0.5 WHEN cls = 'open_water' THEN 1.5 ELSE 2.5 END + CASE WHEN regexp_matches(label, '(?i)steel|brass') THEN 1.5 ELSE 0.0 END AS sigma FROM w""",
 )
 def anchor_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wetland codes, and how uncertain an anchor's head is."""
     k = F.col("p_partkey")
-    codes = F.array(*[F.lit(c) for c in ("L1UBH", "PUBHh/EM1A", "PABJ", "R2UBH", "PUBA ", "PEM1C")])
+    codes = F.array(*[F.lit(c) for c in ("L1UBH", "PUBHh/EM1A", "PABJ", "R2UBH", "PUBA ", "PEM1C", "R4SBC", "PFO1Cd", "U", "LUBK")])
     cls = F.when(F.col("p_size") > 40, "spring").when(F.col("p_size") > 20, "open_water").otherwise("wetland")
-    name = F.regexp_replace("p_type", "(?i)steel|brass", "reservoir")
-    sigma = text.head_uncertainty(cls, F.col("p_size") * 30000.0, name)
-    return table(spark, sf_dir, "part").select("p_partkey", text.persistent_wetland(F.get(codes, (k % 6).cast("int"))).alias("persistent"), sigma.cast("double").alias("sigma"))
+    label = F.when(F.col("p_size") % 5 == 0, "NHDArea_460").otherwise(F.regexp_replace("p_type", "(?i)steel|brass", "reservoir"))
+    sigma = text.head_uncertainty(cls, label)
+    return table(spark, sf_dir, "part").select("p_partkey", text.persistent_wetland(F.get(codes, (k % 10).cast("int"))).alias("persistent"), sigma.cast("double").alias("sigma"))
 
 
 @query("", "SELECT l_orderkey, l_linenumber, 'L' || CAST(l_orderkey AS VARCHAR) AS item_id, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0)")
@@ -92,3 +92,31 @@ def export_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of marked-up metadata, and the number of listed entries."""
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"))).cast("long").alias("n_links"))
+
+
+@query(
+    "",
+    """SELECT o_orderkey, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title, -110.5::DOUBLE - o_custkey % 10 AS westbc, CASE WHEN o_orderkey % 4 <> 0 THEN 41.25::DOUBLE + o_custkey % 5 END AS southbc, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS begins, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS ends,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'https://a.example/' || CAST(o_orderkey AS VARCHAR) || ';https://b.example/x' ELSE '' END AS links FROM orders""",
+)
+def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata documents, one for each order, parsed into fields."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
+    links = F.when(key % 2 == 0, F.concat(F.lit("<onlink>https://a.example/"), key.cast("string"), F.lit("</onlink><onlink>https://b.example/x</onlink>"))).otherwise("")
+    south = F.when(key % 4 != 0, F.concat(F.lit("<southbc>"), (41.25 + F.col("o_custkey") % 5).cast("string"), F.lit("</southbc>"))).otherwise("<southbc>unknown</southbc>")
+    xml = F.concat(
+        F.lit("<metadata><idinfo><citation><citeinfo><title> Order "), key.cast("string"), F.lit("</title>"), links, F.lit("</citeinfo></citation><timeperd><timeinfo><rngdates><begdate>"), day, F.lit("</begdate><enddate>"), F.when(key % 3 != 0, day).otherwise("present"),
+        F.lit("</enddate></rngdates></timeinfo></timeperd><spdom><bounding><westbc>"), (-110.5 - F.col("o_custkey") % 10).cast("string"), F.lit("</westbc>"), south, F.lit("</bounding></spdom></idinfo></metadata>"),
+    )
+    parsed = table(spark, sf_dir, "orders").select("o_orderkey", text.metadata_record(xml).alias("m"))
+    return parsed.select("o_orderkey", "m.title", "m.westbc", "m.southbc", "m.begins", "m.ends", F.array_join("m.links", ";").alias("links"))
+
+
+@query("", "SELECT o_custkey, list_aggregate(list_sort(list(CAST(o_orderkey AS VARCHAR))), 'string_agg', ';') AS keys, 'y' || CAST(o_custkey % 7 AS VARCHAR) AS prefix, 'root/y' || CAST(o_custkey % 7 AS VARCHAR) || '/' || CAST(o_custkey AS VARCHAR) AS path FROM orders GROUP BY o_custkey")
+def object_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of object listings, one for each customer, parsed into keys and prefixes; and paths built from parts."""
+    keys = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<Contents><Key>"), F.col("o_orderkey").cast("string"), F.lit("</Key></Contents>")))), "")
+    prefix = F.concat(F.lit("y"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"))
+    page = F.concat(F.lit('<ListBucketResult xmlns="urn:listing">'), F.col("keys"), F.lit("<CommonPrefixes><Prefix>"), prefix, F.lit("</Prefix></CommonPrefixes></ListBucketResult>"))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(keys.alias("keys")).withColumn("page", page)
+    return pages.select("o_custkey", F.array_join(text.listed_keys(F.col("page")), ";").alias("keys"), text.listed_prefixes(F.col("page"))[0].alias("prefix"), text.bucket_path(F.lit("root/"), prefix, F.lit(None).cast("string"), F.lit(""), F.col("o_custkey")).alias("path"))

@@ -16,15 +16,15 @@ py AS (SELECT *, greatest(ndvi_peak_gs - ndvi_p25_gs, 0) AS ndvi_amp_gs, CASE WH
 su AS (SELECT point_id, count(*) AS n_years, count(*) FILTER (WHERE et_valid) AS valid_years, avg(irr_class) AS irr_freq, stddev_samp(irr_class) AS irr_frac_std, count(*) FILTER (WHERE irr_class >= 0.5) AS n_irr_years,
   avg(aet_gs) AS aet_mean, stddev_samp(aet_gs) AS aet_std, avg(CASE WHEN et_valid THEN eto_gs END) AS eto_gs_mean, avg(CASE WHEN et_valid THEN pr_annual END) AS prcp_mean, avg(CASE WHEN et_valid THEN etf END) AS etf_mean,
   stddev_samp(CASE WHEN et_valid THEN etf END) AS etf_std, avg(CASE WHEN et_valid THEN net_et END) AS net_et_mean, avg(ndvi_amp_gs) AS ndvi_amp_mean, avg(ndvi_peak_gs) AS ndvi_peak_mean, stddev_samp(ndvi_amp_gs) AS ndvi_amp_std FROM py GROUP BY point_id),
-bn AS (SELECT *, CASE WHEN rem_at_sample < 0 THEN 'nan' WHEN rem_at_sample < 1 THEN '0-1m' WHEN rem_at_sample < 2 THEN '1-2m' WHEN rem_at_sample < 5 THEN '2-5m' WHEN rem_at_sample < 10 THEN '5-10m' ELSE '10m+' END AS rem_bin,
-  CASE WHEN dist_managed_m <= 250 THEN 'managed' WHEN dist_perennial_m <= 250 THEN 'perennial' WHEN dist_intermittent_m <= 250 THEN 'intermittent' ELSE 'off_corridor' END AS hydro_analog FROM fx_points),
-tb AS (SELECT py.*, su.valid_years, su.irr_freq, su.etf_std, su.ndvi_amp_std, bn.x, bn.y, bn.rem_at_sample, bn.rem_bin, bn.hydro_analog, bn.dist_field_edge_m FROM py JOIN su USING (point_id) JOIN bn USING (point_id)),
-ex AS (SELECT *, CASE WHEN NOT et_valid OR valid_years < 3 THEN 'data_sufficiency' WHEN irr_class >= 0.5 THEN 'year_irrigated' WHEN irr_freq > 0.15 THEN 'purity' WHEN dist_field_edge_m < 30 THEN 'field_edge' END AS reason FROM tb),
+bn AS (SELECT *, CASE WHEN rem_at_sample < 0 THEN 'nan' WHEN rem_at_sample < 1 THEN '0-1 m' WHEN rem_at_sample < 2 THEN '1-2 m' WHEN rem_at_sample < 5 THEN '2-5 m' WHEN rem_at_sample < 10 THEN '5-10 m' ELSE '>10 m' END AS rem_bin,
+  CASE WHEN dist_managed_m <= 500 THEN 'managed_corridor' WHEN dist_perennial_m <= 500 THEN 'perennial_corridor' WHEN dist_intermittent_m <= 1000 THEN 'intermittent_corridor' ELSE 'off_corridor' END AS hydro_analog FROM fx_points),
+tb AS (SELECT py.*, su.valid_years, su.irr_freq, su.irr_frac_std, su.etf_std, su.ndvi_amp_std, bn.x, bn.y, bn.rem_at_sample, bn.rem_bin, bn.hydro_analog, bn.dist_field_edge_m FROM py JOIN su USING (point_id) JOIN bn USING (point_id)),
+ex AS (SELECT *, CASE WHEN NOT coalesce(irr_class IS NOT NULL AND ndvi_peak_gs IS NOT NULL AND et_valid AND etf IS NOT NULL AND valid_years >= 3 AND eto_gs > 0, false) THEN 'data_sufficiency' WHEN NOT coalesce(irr_class <= 0.1, false) THEN 'year_irrigated' WHEN NOT coalesce(irr_freq <= 0.15 AND irr_frac_std <= 0.3, false) THEN 'purity' WHEN NOT coalesce(dist_field_edge_m >= 100, false) THEN 'field_edge' END AS reason FROM tb),
 rc AS (SELECT * FROM tb WHERE et_valid AND irr_class >= 0.5 AND etf > -999 AND eto_gs > 0),
 nb AS (SELECT * FROM (SELECT r.point_id, r.year, d.point_id AS donor_point_id, sqrt((r.x-d.x)*(r.x-d.x)+(r.y-d.y)*(r.y-d.y)) AS distance_m, abs(r.rem_at_sample - d.rem_at_sample) AS rem_delta, r.rem_bin = d.rem_bin AND r.hydro_analog = d.hydro_analog AS same,
   abs(r.ndvi_peak_gs - d.ndvi_peak_gs) AS dp, abs(r.ndvi_amp_gs - d.ndvi_amp_gs) AS da, d.irr_freq, coalesce(d.etf_std, 0) AS es, coalesce(d.ndvi_amp_std, 0) AS ns, d.etf AS target_value,
   row_number() OVER (PARTITION BY r.point_id, r.year ORDER BY sqrt((r.x-d.x)*(r.x-d.x)+(r.y-d.y)*(r.y-d.y)), d.point_id) AS i FROM rc r JOIN ex d ON r.year = d.year AND d.reason IS NULL WHERE sqrt((r.x-d.x)*(r.x-d.x)+(r.y-d.y)*(r.y-d.y)) <= 4000) WHERE i <= 50),
-pr AS (SELECT point_id, year, donor_point_id, distance_m, rem_delta, target_value, exp(-rem_delta / 1.0) * exp(-distance_m / 3000.0) * exp(-(dp / 0.15 + da / 0.15)) * pow(1 - irr_freq, 2.0) * exp(-(es / 0.2 + ns / 0.1)) AS pair_score FROM nb WHERE rem_delta <= 2 AND same),
+pr AS (SELECT point_id, year, donor_point_id, distance_m, rem_delta, target_value, exp(-rem_delta / 1.0) * exp(-distance_m / 3000.0) * exp(-(dp / 0.15 + da / 0.10)) * pow(1 - irr_freq, 2.0) * exp(-(es / 0.15 + ns / 0.08)) AS pair_score FROM nb WHERE rem_delta <= 2 AND same),
 tk AS (SELECT *, pair_score / greatest(sum(pair_score) OVER (PARTITION BY point_id, year), 1e-12) AS pair_weight FROM (SELECT *, row_number() OVER (PARTITION BY point_id, year ORDER BY pair_score DESC, donor_point_id) AS rank FROM pr) WHERE rank <= 7)"""
 
 
@@ -35,8 +35,8 @@ def years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def donor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = years(spark, sf_dir)
-    summary = points.summarize(rows).select("point_id", "valid_years", "irr_freq", "etf_std", "ndvi_amp_std")
-    static = view(spark, sf_dir, "fx_points").withColumns({"rem_bin": points.rem_bin(F.col("rem_at_sample")), "hydro_analog": points.hydro_class()})
+    summary = points.summarize(rows).select("point_id", "valid_years", "irr_freq", "irr_frac_std", "etf_std", "ndvi_amp_std")
+    static = view(spark, sf_dir, "fx_points").withColumns({"rem_bin": points.rem_bin(F.col("rem_at_sample")), "hydro_analog": points.hydro_class(RULES)})
     return rows.join(summary, "point_id").join(static, "point_id").withColumn("reason", points.exclusion_reason(RULES))
 
 
@@ -68,27 +68,28 @@ def point_year_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "",
-    """m AS (SELECT o_custkey AS point_id, CAST(year(o_orderdate) AS INT) AS year, month(o_orderdate) AS mo, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS DOUBLE) AS v FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2, 3),
-    k AS (SELECT point_id, year FROM (SELECT DISTINCT point_id FROM m) CROSS JOIN (SELECT unnest([1996, 1997]) AS year))
+    """m AS (SELECT o_custkey AS point_id, CAST(year(o_orderdate) AS INT) AS year, month(o_orderdate) AS mo, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS DOUBLE) AS v FROM orders GROUP BY 1, 2, 3),
+    k AS (SELECT point_id, year FROM (SELECT DISTINCT point_id FROM m) CROSS JOIN (SELECT unnest(generate_series((SELECT min(year) FROM m), (SELECT max(year) FROM m))) AS year))
     SELECT k.point_id, CAST(k.year AS INT) AS year, count(v) AS aet_n_months, sum(v) AS aet_annual, count(v) FILTER (WHERE mo BETWEEN 4 AND 10) AS aet_gs_n_months, sum(v) FILTER (WHERE mo BETWEEN 4 AND 10) AS aet_gs
     FROM k LEFT JOIN m ON m.point_id = k.point_id AND m.year = k.year GROUP BY 1, 2""",
 )
 def month_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide monthly columns to point years; no month at all gives a null sum and a count of 0."""
-    rows = table(spark, sf_dir, "orders").where(F.year("o_orderdate").isin(1996, 1997))
+    rows = table(spark, sf_dir, "orders")
     value = F.floor("o_totalprice").cast("long")
-    months = [(y, m) for y in (1996, 1997) for m in range(1, 13)]
+    first, last = rows.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    months = [(y, m) for y in range(first, last + 1) for m in range(1, 13)]
     wide = rows.groupBy(F.col("o_custkey").alias("point_id")).agg(*[F.sum(F.when((F.year("o_orderdate") == y) & (F.month("o_orderdate") == m), value)).cast("double").alias(f"eta_{y}_{m:02d}") for y, m in months])
     return points.month_sums(wide, "point_id")
 
 
 _MASKS = """
-mk AS (SELECT *, rem_at_sample <= 2 AS is_low_rem_target, least(dist_perennial_m, dist_intermittent_m, dist_managed_m) <= 250 AS is_riparian_target, dist_field_edge_m <= 60 AS is_field_edge_target, rem_at_sample >= 5 AS is_high_rem_control, (point_id * 7919 + 7) % 100003 AS h FROM fx_points)"""
+mk AS (SELECT *, rem_at_sample < 2 AS is_low_rem_target, least(dist_perennial_m, dist_intermittent_m, dist_managed_m) <= 250 AS is_riparian_target, dist_field_edge_m <= 60 AS is_field_edge_target, rem_at_sample > 5 AS is_high_rem_control, (point_id * 7919 + 7) % 100003 AS h FROM fx_points)"""
 
 
 @query("fx_points", _MASKS + " SELECT point_id, true AS valid, is_low_rem_target, is_riparian_target, is_field_edge_target, is_high_rem_control FROM mk")
 def sample_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = points.sample_masks(view(spark, sf_dir, "fx_points"))
+    out = points.sample_masks(points.nearest_stream(view(spark, sf_dir, "fx_points")))
     return out.select("point_id", "valid", "is_low_rem_target", "is_riparian_target", "is_field_edge_target", "is_high_rem_control")
 
 
@@ -104,7 +105,7 @@ def sample_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    masked = points.sample_masks(view(spark, sf_dir, "fx_points").drop("sample_group"))
+    masked = points.sample_masks(points.nearest_stream(view(spark, sf_dir, "fx_points").drop("sample_group")))
     drawn = points.stratified_sample(masked, [("is_low_rem_target", 40), ("is_riparian_target", 30), ("is_high_rem_control", 20)])
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("point_id")) - 1  # of the few rows drawn
     return drawn.select(F.concat(F.lit("aoi_"), F.lpad(number.cast("string"), 6, "0")).alias("aoi_id"), "point_id", "sample_group", F.round("sampling_weight", 6).alias("sampling_weight"))
@@ -132,7 +133,7 @@ def donor_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ct AS (SELECT *, max(cum) OVER (PARTITION BY point_id, year) AS tot FROM cw),
     ag AS (SELECT point_id, year, count(*) AS n, 1 / sum(pair_weight * pair_weight) AS en, max(pair_weight) AS mw, median(distance_m) AS md, median(rem_delta) AS mr, min_by(target_value, CASE WHEN cum >= 0.5 * tot THEN cum END) AS wm,
       coalesce(sum(target_value * pair_weight) FILTER (WHERE cum >= tot * 0.1 AND cum <= tot * (1 - 0.1)) / sum(pair_weight) FILTER (WHERE cum >= tot * 0.1 AND cum <= tot * (1 - 0.1)), sum(target_value * pair_weight) / sum(pair_weight)) AS wt FROM ct GROUP BY 1, 2),
-    fg AS (SELECT *, concat_ws(';', CASE WHEN en < 3 THEN 'low_effective_n' END, CASE WHEN mw > 0.6 THEN 'dominant_donor' END, CASE WHEN abs(wm - wt) > 0.1 THEN 'estimator_disagreement' END) AS f FROM ag)
+    fg AS (SELECT *, concat_ws(';', CASE WHEN en < 2.5 THEN 'low_effective_n' END, CASE WHEN mw > 0.5 THEN 'dominant_donor' END, CASE WHEN abs(wm - wt) > 0.05 THEN 'estimator_disagreement' END) AS f FROM ag)
     SELECT point_id, year, CASE WHEN n < 3 THEN 'no_donor' WHEN f <> '' THEN 'low_confidence' ELSE 'ok' END AS status, CASE WHEN n < 3 THEN 'insufficient_neighbors' END AS no_donor_reason, CASE WHEN n >= 3 THEN round(wm, 6) END AS background_etf_wmedian,
       CASE WHEN n >= 3 THEN round(wt, 6) END AS background_etf_trimmed, n AS n_donors_used, CASE WHEN n >= 3 THEN round(en, 6) ELSE 0 END AS effective_n, CASE WHEN n >= 3 THEN round(mw, 6) ELSE 0 END AS max_weight,
       CASE WHEN n >= 3 THEN round(md, 6) ELSE 0 END AS median_distance_m, CASE WHEN n >= 3 THEN round(mr, 6) ELSE 0 END AS median_rem_delta, CASE WHEN n >= 3 AND f <> '' THEN f END AS confidence_flag FROM fg""",

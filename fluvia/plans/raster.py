@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluvia.functions import hydro
-from fluvia.operators import network, raster
+from fluvia.operators import raster, solvers
 from fluvia.operators.graph import connected_components
 from fluvia.plans.registry import query
 from fluvia.sources.tables import table, view
@@ -225,14 +225,14 @@ def cell_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirichlet_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smooth surface through anchors of each component; no SQL expresses the solve."""
     cells = _domains(spark, sf_dir).select("component", "r", "c", F.when((F.col("cell") % 17 == 0) | (F.col("cell") == F.col("component")), F.col("elev")).alias("anchor"))
-    return network.dirichlet_surface(cells)
+    return solvers.dirichlet_surface(cells)
 
 
 @query()
 def robust_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A membrane through most observations, below its caps."""
     cells = _domains(spark, sf_dir).select("component", "r", "c", F.when(F.col("cell") % 5 == 0, F.col("elev")).alias("observed"), F.when(F.col("stream") == 1, F.col("elev")).alias("cap"))
-    return network.robust_surface(cells)
+    return solvers.robust_surface(cells)
 
 
 @query("fx_cells", "h AS (SELECT r, c, elev, elev + ((r*3+c*5)%21 - 12) AS head FROM fx_cells) SELECT r, c, round(least(head, elev), 6) AS head, round(elev - least(head, elev), 6) AS dtw, CASE WHEN (r*c)%11 = 0 AND abs((r*3+c*5)%21 - 12) >= 5 THEN elev END AS anchor FROM h")
@@ -250,3 +250,34 @@ def first_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
     v1, v2 = F.when(at % 3 == 0, F.col("elev")), F.when(at % 5 == 0, F.col("elev") + 1)
     best = F.coalesce(F.when(v1.isNotNull(), F.struct(v1.alias("value"), F.lit("t1").alias("tile"))), F.when(v2.isNotNull(), F.struct(v2.alias("value"), F.lit("t2").alias("tile"))))
     return _cells(spark, sf_dir).select("r", "c", best.alias("b")).select("r", "c", "b.value", "b.tile", F.col("b.value").isNull().alias("missing"))
+
+
+@query(
+    "fx_cells",
+    """b AS (SELECT r, c, (r * 3701 + c * 977) % 14500 - 3500 AS dn, CASE WHEN (r + c) % 6 < 5 THEN (r + c) % 6 ELSE 255 END AS rel, (r * 131 + c * 17) % 128 AS qa, 7000 + (r * 53 + c * 29) % 9000 AS red, 7000 + (r * 31 + c * 71) % 20000 AS nir FROM fx_cells),
+    v AS (SELECT *, rel IN (0, 1) AND dn <> -3000 AND dn BETWEEN -2000 AND 10000 AS ok, red * 0.0000275 - 0.2 AS rr, nir * 0.0000275 - 0.2 AS nn FROM b)
+    SELECT r, c, ok AS valid, round(CASE WHEN ok THEN dn * 1e-4 END, 6) AS ndvi, round(CASE WHEN qa & 62 = 0 AND nn + rr <> 0 THEN (nn - rr) / (nn + rr) END, 6) AS clear_ndvi FROM v""",
+)
+def vegetation_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable values of a stored index, scaled; and the index of clear reflectances."""
+    r, c = F.col("r"), F.col("c")
+    at = (r + c) % 6
+    bands = _cells(spark, sf_dir).withColumns({"dn": (r * 3701 + c * 977) % 14500 - 3500, "rel": F.when(at < 5, at).otherwise(255), "qa": (r * 131 + c * 17) % 128, "red": (7000 + (r * 53 + c * 29) % 9000).cast("double"), "nir": (7000 + (r * 31 + c * 71) % 20000).cast("double")})
+    return bands.select("r", "c", hydro.valid_index(F.col("dn"), F.col("rel")).alias("valid"), F.round(hydro.scaled_index(F.col("dn"), F.col("rel")), 6).alias("ndvi"), F.round(hydro.clear_index(F.col("red"), F.col("nir"), F.col("qa")), 6).alias("clear_ndvi"))
+
+
+@query(
+    "fx_cells fx_fields",
+    """w AS (SELECT fid, CAST(floor((cx / 400 - 1.3) / 1.0) AS BIGINT) AS c0, CAST(ceil((cx / 400 + 1.3) / 1.0) AS BIGINT) AS c1, CAST(floor((cy / 4000 - 1.3) / 1.0) AS BIGINT) AS r0, CAST(ceil((cy / 4000 + 1.3) / 1.0) AS BIGINT) AS r1 FROM fx_fields)
+    SELECT fid, c0, c1, r0, r1, count(f.elev) AS n, round(max(f.elev), 6) AS highest, max(CASE WHEN f.elev >= 1000 THEN 1 ELSE 0 END) AS support, count(f.elev) = (c1 - c0) * (r1 - r0) AS complete FROM w LEFT JOIN fx_cells f ON f.c >= c0 AND f.c < c1 AND f.r >= r0 AND f.r < r1 GROUP BY 1, 2, 3, 4, 5""",
+)
+def snapped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows around fields, snapped outwards to the grid; what the raster holds in them, whether any value reaches the
+    support's threshold, and whether the window is complete."""
+    c = F.col
+    edge = {"c0": F.floor(c("cx") / 400 - 1.3), "c1": F.ceil(c("cx") / 400 + 1.3), "r0": F.floor(c("cy") / 4000 - 1.3), "r1": F.ceil(c("cy") / 4000 + 1.3)}
+    windows = view(spark, sf_dir, "fx_fields").select("fid", *[v.cast("long").alias(k) for k, v in edge.items()])
+    over = windows.withColumn("r", F.explode(F.sequence("r0", c("r1") - 1))).withColumn("c", F.explode(F.sequence("c0", c("c1") - 1)))
+    held = over.join(_cells(spark, sf_dir), ["r", "c"], "left").groupBy("fid", "c0", "c1", "r0", "r1")
+    out = held.agg(F.count("elev").alias("n"), F.round(F.max("elev"), 6).alias("highest"), F.max(F.coalesce((c("elev") >= 1000).cast("int"), F.lit(0))).alias("support"))
+    return out.withColumn("complete", c("n") == (c("c1") - c("c0")) * (c("r1") - c("r0")))

@@ -24,14 +24,14 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fx_wells fx_fields", "k AS (SELECT a.well_id, b.fid, sqrt((a.x-b.cx)*(a.x-b.cx)+(a.y-b.cy)*(a.y-b.cy)) AS d FROM fx_wells a CROSS JOIN fx_fields b), n AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, fid) AS i FROM k) SELECT well_id, fid, round(d, 6) AS distance_m, CASE WHEN d <= 900 THEN 'valley' ELSE 'upland' END AS setting FROM n WHERE i = 1")
 def nearest_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly the nearest field of each well, and the setting by that distance."""
-    out = spatial.nearest_k(_wells(spark, sf_dir), _fields(spark, sf_dir), "well_id", "fid", 1, 2000.0)
+    out = spatial.nearest_k(_wells(spark, sf_dir), _fields(spark, sf_dir), "well_id", "fid", 1)
     return out.select("well_id", "fid", F.round("distance_m", 6).alias("distance_m"), F.when(F.col("distance_m") <= 900, "valley").otherwise("upland").alias("setting"))
 
 
 @query("fx_wells fx_fields", "k AS (SELECT a.well_id, b.fid, sqrt((a.x-b.cx)*(a.x-b.cx)+(a.y-b.cy)*(a.y-b.cy)) AS d FROM fx_wells a CROSS JOIN fx_fields b), n AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, fid) AS i FROM k) SELECT well_id, fid, i AS rank, round(d, 6) AS distance_m, d <= 1500 AS is_within FROM n WHERE i <= 3")
 def k_nearest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest, flagged (not dropped) by distance."""
-    out = spatial.nearest_k(_wells(spark, sf_dir), _fields(spark, sf_dir), "well_id", "fid", 3, 3000.0)
+    out = spatial.nearest_k(_wells(spark, sf_dir), _fields(spark, sf_dir), "well_id", "fid", 3)
     return out.select("well_id", "fid", F.col("rank").cast("long").alias("rank"), F.round("distance_m", 6).alias("distance_m"), (F.col("distance_m") <= 1500).alias("is_within"))
 
 
@@ -48,7 +48,7 @@ def distance_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _wells(spark, sf_dir).select("well_id", "x", "y").withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
     left = left.withColumn("key", F.concat_ws("/", F.col("well_id").cast("string"), "kind"))
     right = _fields(spark, sf_dir).withColumnRenamed("nearest_stream_type", "kind")
-    near = spatial.nearest_k(left, right, "key", "fid", 1, 4000.0, on=["kind"]).select("well_id", "kind", "distance_m")
+    near = spatial.nearest_k(left, right, "key", "fid", 1, on=["kind"]).select("well_id", "kind", "distance_m")
     wide = near.groupBy("well_id").agg(*[F.max(F.when(F.col("kind") == k, F.round("distance_m", 6))).alias(f"dist_{k}_m") for k in kinds])
     return _wells(spark, sf_dir).select("well_id").join(wide, "well_id", "left").select("well_id", *[F.coalesce(f"dist_{k}_m", F.lit(float("inf"))).alias(f"dist_{k}_m") for k in kinds])
 
@@ -123,7 +123,7 @@ def wells_near_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crossfit_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold interpolation: neighbours are ranked only among the other folds' wells."""
-    near = spatial.nearest_k(_wells(spark, sf_dir), _wells(spark, sf_dir, "r"), "well_id", "r_id", 8, 2000.0, where=F.col("fold") != F.col("r_fold"))
+    near = spatial.nearest_k(_wells(spark, sf_dir), _wells(spark, sf_dir, "r"), "well_id", "r_id", 8, apart=("fold", "r_fold"))
     return spatial.inverse_distance(near, "well_id", "r_dtw").withColumn("predicted", F.round("predicted", 6))
 
 
@@ -135,7 +135,7 @@ def crossfit_idw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idw_with_coincidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolation in which a coincident well decides alone."""
     wells = _wells(spark, sf_dir, "r").where("r_id % 3 = 0")
-    near = spatial.nearest_k(view(spark, sf_dir, "fx_points").select("point_id", "x", "y"), wells, "point_id", "r_id", 5, 2000.0)
+    near = spatial.nearest_k(view(spark, sf_dir, "fx_points").select("point_id", "x", "y"), wells, "point_id", "r_id", 5)
     weight = 1 / F.pow(F.greatest("distance_m", F.lit(1e-6)), F.lit(2))
     same = F.avg(F.when(F.col("distance_m") < 1e-6, F.col("r_dtw")))
     return near.groupBy("point_id").agg(F.round(F.coalesce(same, F.sum(weight * F.col("r_dtw")) / F.sum(weight)), 6).alias("predicted"))
@@ -184,14 +184,14 @@ def drop_crossing_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fx_wells",
     _SEGMENTS
     + """, c AS (SELECT w.well_id, s.seg, w.x, w.y, s.ax, s.ay, s.bx-s.ax AS dx, s.by-s.ay AS dy, row_number() OVER (PARTITION BY w.well_id ORDER BY sqrt((w.x-(s.ax+s.bx)/2)*(w.x-(s.ax+s.bx)/2)+(w.y-(s.ay+s.by)/2)*(w.y-(s.ay+s.by)/2)), s.seg) AS i FROM fx_wells w JOIN sg s ON s.seg % 2 = 1),
-    p AS (SELECT *, least(greatest(coalesce(((x-ax)*dx+(y-ay)*dy)/nullif(dx*dx+dy*dy, 0), 0), 0), 1) AS t FROM c WHERE i <= 10), d AS (SELECT *, sqrt((x-(ax+t*dx))*(x-(ax+t*dx))+(y-(ay+t*dy))*(y-(ay+t*dy))) AS d FROM p)
+    p AS (SELECT *, least(greatest(coalesce(((x-ax)*dx+(y-ay)*dy)/nullif(dx*dx+dy*dy, 0), 0), 0), 1) AS t FROM c WHERE i <= 50), d AS (SELECT *, sqrt((x-(ax+t*dx))*(x-(ax+t*dx))+(y-(ay+t*dy))*(y-(ay+t*dy))) AS d FROM p)
     SELECT well_id, arg_min(seg, {'d': d, 's': seg}) AS reach, round(min(d), 6) AS distance_m FROM d GROUP BY 1""",
 )
 def nearest_reach_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by midpoints, then exact distances to the segments themselves."""
     c = F.col
     lines = _segments(spark, sf_dir).where("seg % 2 = 1").withColumns({"rx": (c("ax") + c("bx")) / 2, "ry": (c("ay") + c("by")) / 2})
-    near = spatial.nearest_k(_wells(spark, sf_dir).select("well_id", "x", "y"), lines, "well_id", "seg", 10, 3000.0)
+    near = spatial.nearest_k(_wells(spark, sf_dir).select("well_id", "x", "y"), lines, "well_id", "seg", spatial.reach_candidates(1))
     exact = near.withColumn("d", spatial.point_to_segment(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by")))
     return exact.groupBy("well_id").agg(F.min_by("seg", F.struct("d", "seg")).alias("reach"), F.round(F.min("d"), 6).alias("distance_m"))
 
@@ -243,5 +243,29 @@ def anchor_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many wells each anchor is among the two nearest of."""
     rows = _wells(spark, sf_dir).where("confinement_class <> 'confined'").select("well_id", "x", "y")
     anchors = _wells(spark, sf_dir, "r").where("r_class = 'confined'").select("r_id", "rx", "ry")
-    near = spatial.nearest_k(rows, anchors, "well_id", "r_id", 2, 2000.0)
+    near = spatial.nearest_k(rows, anchors, "well_id", "r_id", 2)
     return near.groupBy(F.col("r_id").alias("anchor")).agg(F.count("*").alias("served"), F.round(F.avg("distance_m"), 6).alias("mean_m"))
+
+
+@query(
+    "fx_wells fx_cells",
+    _SEGMENTS
+    + """, p AS (SELECT w.well_id, s.seg, w.x, w.y, s.ax, s.ay, s.bx-s.ax AS dx, s.by-s.ay AS dy FROM fx_wells w JOIN sg s ON s.seg % 2 = 1),
+    q AS (SELECT *, least(greatest(coalesce(((x-ax)*dx+(y-ay)*dy)/nullif(dx*dx+dy*dy, 0), 0), 0), 1) AS t FROM p), d AS (SELECT *, ax+t*dx AS px, ay+t*dy AS py, sqrt((x-(ax+t*dx))*(x-(ax+t*dx))+(y-(ay+t*dy))*(y-(ay+t*dy))) AS d FROM q),
+    b AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, seg) AS i FROM d)
+    SELECT well_id, seg AS reach, CAST(seg % 3 AS BIGINT) AS reach_class, round(d, 6) AS distance_m, round(u.elev - v.elev, 6) AS height_m FROM b LEFT JOIN fx_cells u ON u.c = CAST(floor(x / 401) AS BIGINT) AND u.r = CAST(floor(y / 5003) AS BIGINT) LEFT JOIN fx_cells v ON v.c = CAST(floor(px / 401) AS BIGINT) AND v.r = CAST(floor(py / 5003) AS BIGINT) WHERE i = 1""",
+)
+def height_above_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest reach of each well with its class, and how high the well's ground lies above the nearest place on it."""
+    c = F.col
+    lines = _segments(spark, sf_dir).where("seg % 2 = 1").withColumns({"rx": (c("ax") + c("bx")) / 2, "ry": (c("ay") + c("by")) / 2})
+    near = spatial.nearest_k(_wells(spark, sf_dir).select("well_id", "x", "y"), lines, "well_id", "seg", spatial.reach_candidates(1))
+    dx, dy = c("bx") - c("ax"), c("by") - c("ay")
+    t = F.least(F.greatest(F.coalesce(F.try_divide((c("x") - c("ax")) * dx + (c("y") - c("ay")) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    placed = near.withColumn("t", t).withColumns({"px": c("ax") + c("t") * dx, "py": c("ay") + c("t") * dy}).withColumn("d", spatial.distance(c("x"), c("y"), c("px"), c("py")))
+    best = placed.groupBy("well_id").agg(F.min_by(F.struct("seg", "x", "y", "px", "py", "d"), F.struct("d", "seg")).alias("b")).select("well_id", "b.*")
+    cells = view(spark, sf_dir, "fx_cells")
+    for x, y, name in (("x", "y", "own"), ("px", "py", "bed")):
+        ground = cells.select(F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("elev").alias(name))
+        best = best.withColumns({"__r": F.floor(c(y) / 5003).cast("long"), "__c": F.floor(c(x) / 401).cast("long")}).join(ground, ["__r", "__c"], "left").drop("__r", "__c")
+    return best.select("well_id", c("seg").alias("reach"), (c("seg") % 3).alias("reach_class"), F.round("d", 6).alias("distance_m"), F.round(c("own") - c("bed"), 6).alias("height_m"))

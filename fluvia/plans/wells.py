@@ -139,7 +139,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABELS = """
 lb AS (SELECT station, count(*) AS n_obs_used, count(DISTINCT year(ts)) AS n_years, min(CAST(ts AS DATE)) AS date_min, max(CAST(ts AS DATE)) AS date_max, median(dtw) AS dtw_all_median, median(CASE WHEN year(ts) BETWEEN 2019 AND 2024 THEN dtw END) AS dtw_2019_2024_median,
-  median(CASE WHEN month(ts) IN (3, 4, 5) THEN dtw END) AS dtw_spring_median, median(CASE WHEN month(ts) IN (9, 10, 11) THEN dtw END) AS dtw_fall_median, median(CASE WHEN year(ts) >= ly - 4 THEN dtw END) AS dtw_latest5_median,
+  median(CASE WHEN month(ts) IN (4, 5, 6) THEN dtw END) AS dtw_spring_median, median(CASE WHEN month(ts) IN (9, 10) THEN dtw END) AS dtw_fall_median, median(CASE WHEN year(ts) >= ly - 4 THEN dtw END) AS dtw_latest5_median,
   arg_max(dtw, {'t': ts, 'e': event_id}) AS latest_dtw, arg_max(method, {'t': ts, 'e': event_id}) AS latest_method, arg_min(dtw, CASE WHEN method = 'driller_report' THEN event_id END) AS driller_dtw
   FROM (SELECT *, max(year(ts)) OVER (PARTITION BY station) AS ly FROM rd WHERE dtw IS NOT NULL) GROUP BY station)"""
 _NUMBERS = ["dtw_all_median", "dtw_2019_2024_median", "dtw_spring_median", "dtw_fall_median", "dtw_latest5_median", "latest_dtw", "driller_dtw"]
@@ -155,17 +155,22 @@ def well_series_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fx_stations",
     _READINGS
     + """, t AS (SELECT station, year(ts) + (dayofyear(ts) - 1) / 365.25 AS t, dtw FROM rd WHERE dtw IS NOT NULL AND station IN (SELECT station FROM rd GROUP BY station HAVING count(DISTINCT year(ts)) >= 5)),
-    s AS (SELECT a.station, median((b.dtw - a.dtw) / (b.t - a.t)) AS slope FROM t a JOIN t b ON a.station = b.station AND b.t > a.t GROUP BY 1), m AS (SELECT station, median(t) AS mt, median(dtw) AS md FROM t GROUP BY 1)
-    SELECT station, round(slope, 6) AS slope, round(md - slope * mt, 4) AS intercept FROM s JOIN m USING (station)""",
+    p AS (SELECT a.station, (b.dtw - a.dtw) / (b.t - a.t) AS s FROM t a JOIN t b ON a.station = b.station AND b.t > a.t), s AS (SELECT station, median(s) AS slope, list(s ORDER BY s) AS v, count(*) AS nt FROM p GROUP BY 1),
+    m AS (SELECT station, median(t) AS mt, median(dtw) AS md, count(*) AS n FROM t GROUP BY 1), tx AS (SELECT station, sum(k * (k - 1) * (2 * k + 5)) AS tx FROM (SELECT station, count(*) AS k FROM t GROUP BY station, t) GROUP BY 1), ty AS (SELECT station, sum(k * (k - 1) * (2 * k + 5)) AS ty FROM (SELECT station, count(*) AS k FROM t GROUP BY station, dtw) GROUP BY 1),
+    e AS (SELECT *, 1.959963984540054 * sqrt((n * (n - 1) * (2 * n + 5) - tx - ty) / 18.0) AS w FROM s JOIN m USING (station) JOIN tx USING (station) JOIN ty USING (station)),
+    i AS (SELECT *, v[1 + CAST(greatest(round_even((nt - w) / 2, 0) - 1, 0) AS BIGINT)] AS low, v[1 + CAST(least(round_even((nt + w) / 2, 0), nt - 1) AS BIGINT)] AS high FROM e)
+    SELECT station, round(slope, 6) AS slope, round(md - slope * mt, 4) AS intercept, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 OR high < 0 THEN round(md - slope * mt + slope * 2022, 4) END AS adjusted_2022 FROM i""",
 )
 def well_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wells.series_trends(readings(spark, sf_dir))
-    return out.select("station", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    certain = (F.col("low") > 0) | (F.col("high") < 0)  # the interval leaves out no trend
+    adjusted = F.when(certain, F.round(F.col("intercept") + F.col("slope") * 2022, 4))
+    return out.select("station", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), adjusted.alias("adjusted_2022"))
 
 
 _RECORDS = """
-rc AS (SELECT c_custkey AS source_well_id, c_custkey % 400 AS canonical_id, 'src' || CAST(c_custkey % 3 AS VARCHAR) AS source, CASE c_custkey % 5 WHEN 0 THEN 'survey' WHEN 1 THEN 'gps' WHEN 2 THEN 'map' WHEN 3 THEN 'section' END AS h_accuracy_class,
-  CASE c_custkey % 4 WHEN 0 THEN 'unconfined' WHEN 1 THEN 'confined' WHEN 2 THEN 'unknown' END AS confinement_class, CASE (c_custkey * 7) % 6 WHEN 0 THEN 'domestic' WHEN 1 THEN 'pumping' WHEN 2 THEN 'monitoring' WHEN 3 THEN 'domestic' END AS well_class,
+rc AS (SELECT c_custkey AS source_well_id, c_custkey % 400 AS canonical_id, 'src' || CAST(c_custkey % 3 AS VARCHAR) AS source, CASE c_custkey % 5 WHEN 0 THEN 'survey_gps' WHEN 1 THEN 'gps' WHEN 2 THEN 'map' WHEN 3 THEN 'plss' END AS h_accuracy_class,
+  CASE c_custkey % 7 WHEN 0 THEN 'unconfined' WHEN 1 THEN 'confined' WHEN 2 THEN 'unknown' WHEN 3 THEN 'artesian' WHEN 4 THEN 'unconfined_marginal' WHEN 5 THEN 'likely_unconfined' END AS confinement_class, CASE (c_custkey * 7) % 6 WHEN 0 THEN 'domestic' WHEN 1 THEN 'pumping' WHEN 2 THEN 'monitoring' WHEN 3 THEN 'domestic' END AS well_class,
   CASE WHEN c_custkey % 50 = 0 THEN 'monitoring' END AS well_use, CASE WHEN c_custkey % 3 <> 0 THEN CAST((c_custkey * 11) % 120 AS DOUBLE) END AS well_depth, CASE WHEN c_custkey % 4 = 0 THEN CAST((c_custkey * 13) % 90 AS DOUBLE) END AS screen_top,
   c_custkey % 7 = 0 AS has_time_series, c_custkey % 2 = 0 AS is_static_only FROM customer)"""
 
@@ -184,8 +189,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.alias("source_well_id"),
         (c % 400).alias("canonical_id"),
         F.concat(F.lit("src"), (c % 3).cast("string")).alias("source"),
-        pick(c % 5, {0: "survey", 1: "gps", 2: "map", 3: "section"}).alias("h_accuracy_class"),
-        pick(c % 4, {0: "unconfined", 1: "confined", 2: "unknown"}).alias("confinement_class"),
+        pick(c % 5, {0: "survey_gps", 1: "gps", 2: "map", 3: "plss"}).alias("h_accuracy_class"),
+        pick(c % 7, {0: "unconfined", 1: "confined", 2: "unknown", 3: "artesian", 4: "unconfined_marginal", 5: "likely_unconfined"}).alias("confinement_class"),
         pick((c * 7) % 6, {0: "domestic", 1: "pumping", 2: "monitoring", 3: "domestic"}).alias("well_class"),
         F.when(c % 50 == 0, "monitoring").alias("well_use"),
         F.when(c % 3 != 0, ((c * 11) % 120).cast("double")).alias("well_depth"),
@@ -196,7 +201,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLLAPSED = """
-od AS (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY CASE h_accuracy_class WHEN 'survey' THEN 4 WHEN 'gps' THEN 3 WHEN 'map' THEN 2 WHEN 'section' THEN 1 ELSE 0 END DESC, source_well_id) AS i FROM rc),
+od AS (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY CASE h_accuracy_class WHEN 'survey_gps' THEN 4 WHEN 'gps' THEN 3 WHEN 'map' THEN 2 WHEN 'plss' THEN 1 ELSE 0 END DESC, source_well_id) AS i FROM rc),
 md AS (SELECT canonical_id, well_class AS m FROM (SELECT canonical_id, well_class, row_number() OVER (PARTITION BY canonical_id ORDER BY count(*) DESC, well_class) AS k FROM rc WHERE well_class IS NOT NULL GROUP BY 1, 2) WHERE k = 1),
 cl AS (SELECT canonical_id, string_agg(source || ':' || CAST(source_well_id AS VARCHAR), ';' ORDER BY source || ':' || CAST(source_well_id AS VARCHAR)) AS source_ids, count(*) AS n_members, string_agg(DISTINCT source, ';' ORDER BY source) AS sources,
   max(CASE WHEN i = 1 THEN h_accuracy_class END) AS h_accuracy_class, max(CASE WHEN i = 1 THEN confinement_class END) AS confinement_class, arg_min(well_class, CASE WHEN well_class IS NOT NULL THEN i END) AS well_class, arg_min(well_depth, CASE WHEN well_depth IS NOT NULL THEN i END) AS well_depth,
@@ -221,10 +226,10 @@ def well_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _LABELS
     + """, pk AS (SELECT cc.*, lb.station, CASE WHEN n_years >= 2 THEN coalesce(dtw_2019_2024_median, dtw_latest5_median, dtw_all_median) WHEN driller_dtw IS NOT NULL AND (is_static_only OR n_years <= 1) THEN driller_dtw ELSE coalesce(latest_dtw, dtw_all_median) END AS value,
       CASE WHEN n_years >= 2 THEN CASE WHEN dtw_2019_2024_median IS NOT NULL THEN 'ts_2019_2024_median' WHEN dtw_latest5_median IS NOT NULL THEN 'ts_latest5_median' ELSE 'ts_all_median' END WHEN driller_dtw IS NOT NULL AND (is_static_only OR n_years <= 1) THEN 'static_driller_report' WHEN latest_dtw IS NOT NULL THEN 'static_manual' ELSE 'static_single' END AS kind FROM cc JOIN lb ON lb.station = cc.canonical_id),
-    tr AS (SELECT *, CASE WHEN value IS NULL OR NOT (value BETWEEN -5 AND 500) THEN 'no_usable_dtw' WHEN confinement_class = 'confined' THEN 'confined_aquifer' WHEN value < -1 THEN 'artesian_above_surface' WHEN well_depth > 0 AND well_depth <= 3000 AND value > well_depth THEN 'dtw_below_well_bottom'
-      WHEN value > 60 AND coalesce(confinement_class <> 'unconfined', true) THEN 'deep_water_nonphreatic' WHEN screen_top > 60 THEN 'deep_screen_nonphreatic' WHEN override_class = 'pumping' THEN 'pumping_well' WHEN coalesce(h_accuracy_class NOT IN ('survey', 'gps'), true) THEN 'poor_location' ELSE '' END AS exclusion_reason FROM pk)
-    SELECT canonical_id, kind, round(value, 6) AS value, exclusion_reason, CASE WHEN exclusion_reason <> '' THEN 'diagnostic' WHEN override_class = 'monitoring' OR confinement_class = 'unconfined' OR (coalesce(confinement_class, '') IN ('', 'unknown') AND well_depth > 0 AND well_depth <= 30) OR has_time_series THEN 'primary' ELSE 'secondary' END AS tier,
-      CASE WHEN exclusion_reason <> '' THEN 0.0::DOUBLE WHEN override_class = 'monitoring' THEN CASE WHEN has_time_series THEN 2.0 ELSE 1.0 END WHEN confinement_class = 'unconfined' OR (coalesce(confinement_class, '') IN ('', 'unknown') AND well_depth > 0 AND well_depth <= 30) OR has_time_series THEN 1.0 ELSE 0.5 END AS weight FROM tr""",
+    tr AS (SELECT *, CASE WHEN value IS NULL OR NOT (value BETWEEN -10 AND 500) THEN 'no_usable_dtw' WHEN confinement_class IN ('confined', 'likely_confined', 'artesian') THEN 'confined_aquifer' WHEN value < -1 THEN 'artesian_above_surface' WHEN well_depth > 0 AND well_depth <= 5000 AND value > well_depth THEN 'dtw_below_well_bottom'
+      WHEN value > 60 AND coalesce(confinement_class NOT IN ('unconfined', 'unconfined_marginal'), true) THEN 'deep_water_nonphreatic' WHEN screen_top > 60 THEN 'deep_screen_nonphreatic' WHEN override_class = 'pumping' THEN 'pumping_well' WHEN coalesce(h_accuracy_class NOT IN ('survey_gps', 'gps', 'map'), true) THEN 'poor_location' ELSE '' END AS exclusion_reason FROM pk)
+    SELECT canonical_id, kind, round(value, 6) AS value, exclusion_reason, CASE WHEN exclusion_reason <> '' THEN 'diagnostic' WHEN override_class = 'monitoring' OR confinement_class IN ('unconfined', 'unconfined_marginal') OR (coalesce(confinement_class, '') IN ('', 'unknown') AND well_depth > 0 AND well_depth <= 30) OR has_time_series THEN 'primary' ELSE 'secondary' END AS tier,
+      CASE WHEN exclusion_reason <> '' THEN 0.0::DOUBLE WHEN override_class = 'monitoring' THEN CASE WHEN has_time_series THEN 1.0 ELSE 0.6 END WHEN confinement_class IN ('unconfined', 'unconfined_marginal') OR (coalesce(confinement_class, '') IN ('', 'unknown') AND well_depth > 0 AND well_depth <= 30) OR has_time_series THEN 0.6 ELSE 0.25 END AS weight FROM tr""",
 )
 def well_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels picked from readings, and the decision which wells may train."""
@@ -411,3 +416,57 @@ def lowest_of_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum over all rasters that cover a point, null where none does."""
     value = F.least(F.when(F.col("x") < 9000, F.col("obs_dtw")), F.when(F.col("y") < 9000, F.col("obs_dtw") * 0.8))
     return view(spark, sf_dir, "fx_wells").select("well_id", F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)).alias("covered"), value.alias("lowest"))
+
+
+@query(
+    "fx_wells",
+    _PREDICTED
+    + """, q AS (SELECT fold, wt, p2 AS p, obs_dtw AS o, p2 - obs_dtw AS e FROM w WHERE p2 IS NOT NULL),
+    s AS (SELECT fold, count(*) AS n, median(abs(e)) AS mad, sum(wt * abs(e)) / sum(wt) AS wmad, median(e) AS bias, sum(wt * e) / sum(wt) AS mean_bias, sqrt(sum(wt * e * e) / sum(wt)) AS rmse, count(*) FILTER (WHERE p < 20 AND o < 20) AS tp, count(*) FILTER (WHERE o < 20) AS n_obs_shallow, count(*) FILTER (WHERE p < 20) AS n_pred_shallow FROM q GROUP BY 1),
+    r AS (SELECT *, tp / greatest(n_obs_shallow, 1) AS rc, tp / greatest(n_pred_shallow, 1) AS pr FROM s)
+    SELECT fold, n, round(mad, 6) AS mad, round(wmad, 6) AS wmad, round(bias, 6) AS bias, round(mean_bias, 6) AS mean_bias, round(rmse, 6) AS rmse, n_obs_shallow, n_pred_shallow, round(rc, 6) AS shallow_recall, round(pr, 6) AS shallow_precision, round(coalesce(2 * rc * pr / nullif(rc + pr, 0), 0), 6) AS shallow_f1 FROM r""",
+)
+def shallow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of a product per fold, with the harmonic mean of recall and precision."""
+    out = stats.shallow_scores(predicted(spark, sf_dir), ["fold"], "p2", "obs_dtw", "wt", 20.0)
+    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
+@query(
+    "fx_wells",
+    _PREDICTED
+    + """, t AS (SELECT unnest([2.0::DOUBLE, 5.0::DOUBLE, 10.0::DOUBLE]) AS threshold), s AS (SELECT threshold, count(*) FILTER (WHERE p2 < threshold AND obs_dtw < threshold) AS tp, count(*) FILTER (WHERE p2 < threshold) AS np, count(*) FILTER (WHERE obs_dtw < threshold) AS n_obs_shallow FROM w, t WHERE p2 IS NOT NULL GROUP BY 1)
+    SELECT threshold, round(tp / nullif(np, 0), 6) AS precision, round(tp / nullif(n_obs_shallow, 0), 6) AS recall, n_obs_shallow FROM s""",
+)
+def shallow_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of shallow water at three depths."""
+    return stats.shallow_skill(predicted(spark, sf_dir), "p2", "obs_dtw").withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+@query("fx_wells", _PREDICTED + " SELECT well_id, round(CASE WHEN p2 * 2 + 1 >= 30 THEN p1 ELSE p2 * 2 + 1 END, 6) AS dtw, coalesce(p2 * 2 + 1 >= 30, false) AS gated FROM w")
+def regime_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised predictions brought back to depths; deep ones take the other head's."""
+    depth = F.col("p2") * 2 + 1
+    deep = F.coalesce(depth >= 30, F.lit(False))
+    return predicted(spark, sf_dir).select("well_id", F.round(F.when(deep, F.col("p1")).otherwise(depth), 6).alias("dtw"), deep.alias("gated"))
+
+
+@query("fx_wells", _PREDICTED + " SELECT w.well_id, fold, round(p2, 6) AS p2, 's' || CAST(w.well_id % 3 AS VARCHAR) AS source FROM w WHERE p2 IS NOT NULL")
+def asserted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariates with their predictions and labels: a well without a label would be an error."""
+    rows = predicted(spark, sf_dir)
+    covariates, folds = rows.select("well_id", "fold"), rows.where("p2 is not null").select("well_id", "p2")
+    labels = rows.select("well_id", F.concat(F.lit("s"), (F.col("well_id") % 3).cast("string")).alias("source"))
+    return stats.asserted_join(covariates.join(folds, "well_id"), labels, "well_id", "source").withColumn("p2", F.round("p2", 6))
+
+
+@query("fx_wells", _PREDICTED + """ SELECT '{"n_rows":' || CAST(count(*) AS VARCHAR) || ',"known":{"p1":' || CAST(count(p1) AS VARCHAR) || ',"p2":' || CAST(count(p2) AS VARCHAR) || '}}' AS manifest FROM w""")
+def coverage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of a feature table know each feature."""
+    return stats.manifest(predicted(spark, sf_dir), ["p1", "p2"])
+
+
+@query("fx_wells", "e AS (SELECT quantile_cont(obs_dtw, 0.02) AS a, quantile_cont(obs_dtw, 0.98) AS b FROM fx_wells) SELECT well_id, round(least(greatest((obs_dtw - a) / (b - a), 0), 1), 6) AS obs_dtw FROM fx_wells, e")
+def unit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values between two percentiles stretched to 0 and 1."""
+    return stats.unit_range(view(spark, sf_dir, "fx_wells").select("well_id", "obs_dtw"), "obs_dtw", 0.02, 0.98).withColumn("obs_dtw", F.round("obs_dtw", 6))

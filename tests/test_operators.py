@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvia.functions import binning, hydro, text
-from fluvia.operators import et, fields, network, points, raster, spatial, stats, wells
+from fluvia.operators import et, fields, network, points, raster, solvers, spatial, stats, wells
 from fluvia.sources.tables import bind, missing_to_null
 
 
@@ -45,7 +45,7 @@ def test_out_of_fold_never_uses_its_own_block(spark):
     rows = [(i, 0.0, float(i), 10.0, 0) for i in range(3)] + [(10 + i, 100.0, float(i), 90.0, 1) for i in range(3)]
     q = spark.createDataFrame(rows, "id long, x double, y double, v double, fold int")
     r = q.toDF("rid", "rx", "ry", "rv", "rfold")
-    near = spatial.nearest_k(q, r, "id", "rid", 2, 1.0, where=F.col("fold") != F.col("rfold"))
+    near = spatial.nearest_k(q, r, "id", "rid", 2, 1.0, apart=("fold", "rfold"))
     assert {x.id: round(x.predicted, 6) for x in spatial.inverse_distance(near, "id", "rv").collect()} == {0: 90, 1: 90, 2: 90, 10: 10, 11: 10, 12: 10}
 
 
@@ -81,19 +81,19 @@ def test_hops_and_distance(spark):
 
 def test_dirichlet_is_linear_between_two_anchors(spark):
     rows = [(1, 0, c, 10.0 if c == 0 else 20.0 if c == 10 else None) for c in range(11)] + [(2, 5, c, None) for c in range(3)]
-    out = {(r.component, r.c): r.value for r in network.dirichlet_surface(spark.createDataFrame(rows, "component long, r long, c long, anchor double")).collect()}
+    out = {(r.component, r.c): r.value for r in solvers.dirichlet_surface(spark.createDataFrame(rows, "component long, r long, c long, anchor double")).collect()}
     assert all(out[1, c] == pytest.approx(10 + c, abs=1e-4) for c in range(11)) and out[2, 0] is None
 
 
 def test_robust_surface_obeys_its_cap_and_shrugs_off_an_outlier(spark):
     rows = [(1, r, c, 500.0 if (r, c) == (2, 2) else 10.0 if (r + c) % 2 == 0 else None, 8.0 if c == 0 else None) for r in range(5) for c in range(5)]
-    out = {(r.r, r.c): r.value for r in network.robust_surface(spark.createDataFrame(rows, "component long, r long, c long, observed double, cap double")).collect()}
+    out = {(r.r, r.c): r.value for r in solvers.robust_surface(spark.createDataFrame(rows, "component long, r long, c long, observed double, cap double")).collect()}
     assert all(out[r, 0] <= 8.0 for r in range(5)) and abs(out[0, 4] - 10) < 3 and out[1, 1] < 60
 
 
 def test_head_solve_stays_in_its_bounds(spark):
     rows = [(1, i, i - 1 if i > 1 else None, 100.0 + i, 3.0, 5.0, 100.0, i == 1) for i in range(1, 30)]
-    out = {r.stream_id: r for r in network.solve_heads(spark.createDataFrame(rows, "component long, stream_id long, down_id long, bed double, r_target_m double, r_max_m double, length_m double, pinned boolean")).collect()}
+    out = {r.stream_id: r for r in solvers.solve_heads(spark.createDataFrame(rows, "component long, stream_id long, down_id long, bed double, r_target_m double, r_max_m double, length_m double, pinned boolean")).collect()}
     assert out[1].head_depth_m == 0 and all(0 <= r.head_depth_m <= 5 + 1e-9 for r in out.values())
     assert all(out[i].channel_head_m >= out[i - 1].channel_head_m for i in range(2, 30)) and out[2].n_rounds < 500
 

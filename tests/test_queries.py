@@ -48,12 +48,12 @@ def test_flagship_has_rows(spark):
 def test_every_reach_has_stations(spark):
     sf_dir = "/root/testdata/sf0.01"
     reaches = view(spark, sf_dir, "fx_reaches")
-    got = registry.queries()["all_stations"](spark, sf_dir)
+    got = registry.queries()["stations"](spark, sf_dir)
     assert got.select("stream_id").distinct().count() == reaches.count() > 300
     assert got.count() == reaches.selectExpr("sum(floor(length_m / 60) + 1 + cast(length_m > floor(length_m / 60) * 60 as int)) AS n").first().n
 
 
 def test_all_observations_of_a_field_are_averaged(spark):
     seen = view(spark, SF, "fx_point_year").selectExpr("point_id % 100 AS fid", "irr_class").toPandas().groupby("fid").irr_class.mean()
-    for r in registry.queries()["field_irrigation_all"](spark, SF).collect():
+    for r in registry.queries()["field_irrigation_join"](spark, SF).collect():
         assert (r.irr_obs is None) == (r.fid not in seen.index) and (r.irr_obs is None or abs(r.irr_obs - seen[r.fid]) < 1e-5)
