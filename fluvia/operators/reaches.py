@@ -141,7 +141,9 @@ def strips(at: DataFrame, parts: DataFrame, key: str, box: tuple[float, float, f
     rays = rays.select(key, "station", "side", "x", "y", "dx", "dy")
     other = parts.select(c(key).alias("target"), *[c(n).alias(f"o{n}") for n in ("ax", "ay", "bx", "by")])
     met = radius_join(rays, other, reach + longest, rxy=("oax", "oay")).where(c(key) != c("target"))
-    met = met.withColumn("t", segment_crossing(c("x"), c("y"), c("x") + c("dx"), c("y") + c("dy"), c("oax"), c("oay"), c("obx"), c("oby"))).where(c("t") * reach >= least)
+    met = met.withColumn("t", segment_crossing(c("x"), c("y"), c("x") + c("dx"), c("y") + c("dy"), c("oax"), c("oay"), c("obx"), c("oby"), 1e-9))
+    # lines that meet the ray in one place are told apart by their ids and not by rounding
+    met = met.withColumn("t", F.round("t", 9)).where(c("t") * reach >= least)
     first = met.groupBy(key, "station", "side").agg(F.min(F.struct("t", "target")).alias("h"))
     x0, y0, x1, y1 = box
     leaves = F.least(*[F.when(c(d) > 0, (F.lit(hi) - c(p)) / c(d)).when(c(d) < 0, (F.lit(lo) - c(p)) / c(d)) for p, d, lo, hi in (("x", "dx", x0, x1), ("y", "dy", y0, y1))])

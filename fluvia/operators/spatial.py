@@ -174,13 +174,14 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return crossings % 2 == 1
 
 
-def segment_crossing(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """The share of the way from a to b at which segment ab meets segment cd, or null. Parallel segments do not meet."""
+def segment_crossing(ax, ay, bx, by, cx, cy, dx, dy, slack: float = 0.0) -> Column:
+    """The share of the way from a to b at which segment ab meets segment cd, or null. Parallel segments do not meet. With
+    slack, ends that miss each other by no more than that share of a segment meet."""
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     det = rx * sy - ry * sx
     t = F.try_divide((cx - ax) * sy - (cy - ay) * sx, det)
     u = F.try_divide((cx - ax) * ry - (cy - ay) * rx, det)
-    return F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), t)
+    return F.when((t >= -slack) & (t <= 1 + slack) & (u >= -slack) & (u <= 1 + slack), t)
 
 
 def point_to_segment(px, py, ax, ay, bx, by) -> Column:

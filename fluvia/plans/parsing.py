@@ -115,7 +115,7 @@ def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("", "SELECT o_custkey, list_aggregate(list_sort(list(CAST(o_orderkey AS VARCHAR))), 'string_agg', ';') AS keys, 'y' || CAST(o_custkey % 7 AS VARCHAR) AS prefix, 'root/y' || CAST(o_custkey % 7 AS VARCHAR) || '/' || CAST(o_custkey AS VARCHAR) AS path FROM orders GROUP BY o_custkey")
 def object_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of object listings, one for each customer, parsed into keys and prefixes; and paths built from parts."""
-    keys = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<Contents><Key>"), F.col("o_orderkey").cast("string"), F.lit("</Key></Contents>")))), "")
+    keys = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("o_orderkey").cast("string"))), lambda k: F.concat(F.lit("<Contents><Key>"), k, F.lit("</Key></Contents>"))), "")
     prefix = F.concat(F.lit("y"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"))
     page = F.concat(F.lit('<ListBucketResult xmlns="urn:listing">'), F.col("keys"), F.lit("<CommonPrefixes><Prefix>"), prefix, F.lit("</Prefix></CommonPrefixes></ListBucketResult>"))
     pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(keys.alias("keys")).withColumn("page", page)

@@ -123,7 +123,7 @@ _STRIPS = (
     + _STATIONS.replace("0.4::DOUBLE", "2.0::DOUBLE")
     + """, ry AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY s, sd) - 1 AS BIGINT) // 2 AS station, CAST(sd AS INT) AS side, x, y, nx * sd * 5.0::DOUBLE AS dx, ny * sd * 5.0::DOUBLE AS dy FROM st, (SELECT unnest([1, -1]) AS sd) q),
     cr AS (SELECT ry.k, station, side, sg.k AS target, ((sg.x0-x)*(sg.y1-sg.y0)-(sg.y0-y)*(sg.x1-sg.x0)) / nullif(dx*(sg.y1-sg.y0)-dy*(sg.x1-sg.x0), 0) AS t, ((sg.x0-x)*dy-(sg.y0-y)*dx) / nullif(dx*(sg.y1-sg.y0)-dy*(sg.x1-sg.x0), 0) AS u FROM ry JOIN sg ON sg.k <> ry.k AND abs(sg.x0 - x) <= 10 AND abs(sg.y0 - y) <= 10),
-    ht AS (SELECT k, station, side, min(t) AS t, arg_min(target, {'t': t, 'k': target}) AS target FROM cr WHERE t >= 0 AND t <= 1 AND u >= 0 AND u <= 1 AND t * 5 >= 1e-6 GROUP BY 1, 2, 3),
+    ht AS (SELECT k, station, side, min(round(t, 9)) AS t, arg_min(target, {'t': round(t, 9), 'k': target}) AS target FROM cr WHERE t >= -1e-9 AND t <= 1 + 1e-9 AND u >= -1e-9 AND u <= 1 + 1e-9 AND round(t, 9) * 5 >= 1e-6 GROUP BY 1, 2, 3),
     ed AS (SELECT ry.*, ht.t, ht.target, greatest(least(CASE WHEN dx > 0 THEN (50 - x) / dx WHEN dx < 0 THEN (0 - x) / dx END, CASE WHEN dy > 0 THEN (1000000 - y) / dy WHEN dy < 0 THEN (0 - y) / dy END), 0) AS edge FROM ry LEFT JOIN ht USING (k, station, side)),
     hp AS (SELECT *, t IS NOT NULL AND (edge IS NULL OR t <= edge) AS crossed FROM ed),
     sr AS (SELECT k, station, side, x, y, CASE WHEN crossed THEN 'interreach' WHEN coalesce(edge <= 1, false) THEN 'edge' ELSE 'naked' END AS hit_type, CASE WHEN crossed THEN target END AS target, CASE WHEN crossed THEN t WHEN coalesce(edge <= 1, false) THEN edge ELSE 1 END * 5 AS hit_m FROM hp)"""
