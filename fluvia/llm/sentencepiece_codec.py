@@ -6,11 +6,12 @@ they make; with byte fallback, the blank marker and the normaliser's character m
 decoded by it, whole texts at a time.
 
 Where no piece goes on past a blank marker, the words of many texts are told apart by numpy, each different word of a
-slice is encoded once, all of them as one text, and the ids of texts are gathered from those of their words. Texts with
+slice that is not known yet is encoded once, many as one text, and the ids of texts are gathered from those of their
+words; a bounded number of words stays known from slice to slice. Texts with
 runs of blanks, markers of their own or blanks at an end are encoded whole, as all texts are by models of other kinds.
 
-Parity is verified for everything that is encoded: each different word of each slice, and each text that is encoded
-whole, also goes through the original library. A word (or such a text) on which the libraries differ gets the original's
+Parity is verified for everything that is encoded: each word, and each text that is encoded whole, also goes through the
+original library. A word (or such a text) on which the libraries differ gets the original's
 ids, wherever it stands, and the rows that hold it are marked; so ids never depend on how rows fall into tasks.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from fluvia.llm.token_count import by_bytes
 
 MARK = "▁"
 #: Bytes of text whose words are encoded together, unless a single text has more.
-SLICE_BYTES = 500_000
+SLICE_BYTES = 1_000_000
+#: Words of earlier slices whose ids a task remembers; with more, only those of the last slice.
+KNOWN_WORDS = 150_000
 #: UTF-8 bytes of one batch of whole texts, and ids of one decoding batch, unless a single text has more.
 BATCH_BYTES = 200_000
 DECODED_IDS = 50_000
@@ -68,6 +72,8 @@ class Codec:
         self.whole = Tokenizer(built)
         self.whole.normalizer = normalizers.Sequence(steps)
         self._words, self._starts = None, None
+        # words known: their hashes in order, where the ids of each begin, the ids, and whether the libraries agree
+        self._known = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
         pieces = [p.piece for p in spec.pieces]
         if rule.escape_whitespaces and rule.add_dummy_prefix and not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and _marks_lead(pieces):
             from tokenizers import pre_tokenizers
@@ -115,9 +121,8 @@ class Codec:
         start, end, row, name = words.start[mine], words.end[mine], words.row[mine], words.hash[mine]
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64), np.ones(rows, bool)
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        distinct = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
-        ids, at, same = self._encode_words(distinct)
+        names, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        at, ids, same = self._look_up(names, start[first], end[first], raw)
         sizes = np.diff(at)[inverse]
         begin = _text.starts(sizes)
         gathered = ids[np.repeat(at[:-1][inverse] - begin[:-1], sizes) + np.arange(begin[-1])]
@@ -126,13 +131,35 @@ class Codec:
         agreed[row[~same[inverse]]] = False
         return gathered, counts, agreed
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, names: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word begin, the ids, and agreement; words (by their hashes, in order) that are not known yet
+        are encoded and verified first."""
+        known, at, ids, same = self._known
+        place = np.searchsorted(known, names)
+        new = np.flatnonzero(known[np.minimum(place, len(known) - 1)] != names) if len(known) else np.arange(len(names))
+        if len(new):
+            words = [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())]
+            new_ids, new_at, new_same = self._encode_words(words, end[new] - start[new])
+            every = np.concatenate([known, names[new]])
+            sizes = np.concatenate([np.diff(at), np.diff(new_at)])
+            begin, flat = np.concatenate([at[:-1], new_at[:-1] + len(ids)]), np.concatenate([ids, new_ids])
+            order = np.argsort(every)
+            self._known = known, at, ids, same = every[order], *_laid_out(begin[order], sizes[order], flat), np.concatenate([same, new_same])[order]
+            place = np.searchsorted(known, names)
+        out = *_laid_out(at[place], np.diff(at)[place], ids), same[place]
+        if len(known) > KNOWN_WORDS:
+            self._known = names, *out
+        return out
+
+    def _encode_words(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words without blanks or markers, where each word's begin, and whether the libraries agree on each.
 
         Many words are encoded as one text: the ids of a word begin with a piece that begins with a marker, and no other
         piece does.
         """
-        runs = list(by_bytes(words, BATCH_BYTES // 8))
+        ends = np.searchsorted(np.cumsum(sizes), np.arange(1, 1 + sizes.sum() // (BATCH_BYTES // 8)) * (BATCH_BYTES // 8))
+        cuts = [0, *np.unique(ends[(ends > 0) & (ends < len(words))]).tolist(), len(words)]
+        runs = [words[a:b] for a, b in zip(cuts, cuts[1:])]
         found = []
         for group in range(0, len(runs), 8):
             encoded = self._words.encode_batch_fast([" ".join(run) for run in runs[group : group + 8]], add_special_tokens=False)
@@ -144,7 +171,7 @@ class Codec:
         checked = 0
         for run in runs:
             wanted = self.original.encode(run, num_threads=1)
-            flat = np.fromiter((i for x in wanted for i in x), np.int32)
+            flat = np.fromiter(chain.from_iterable(wanted), np.int32)
             sizes = np.fromiter(map(len, wanted), np.int64, len(run))
             part = at[checked : checked + len(run) + 1]
             if not (np.array_equal(np.diff(part), sizes) and np.array_equal(ids[part[0] : part[-1]], flat)):
@@ -169,14 +196,24 @@ class Codec:
     def decode(self, column: pa.Array) -> pa.Array:
         """Texts of whole id sequences (null counts as none); ids must be those of the model."""
         ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        flat = column.flatten().to_numpy(zero_copy_only=False)
         out, first = [], 0
         while first < len(column):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DECODED_IDS, side="right")))
-            out.append(pa.array(self._pieces.decode_batch([x or [] for x in column.slice(first, last - first).to_pylist()], skip_special_tokens=False), pa.string()))
+            begin = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begin + DECODED_IDS, side="right")))
+            ids = flat[begin : int(ends[last - 1])].tolist()
+            places = [0, *(ends[first:last] - begin).tolist()]
+            out.append(pa.array(self._pieces.decode_batch([ids[a:b] for a, b in zip(places, places[1:])], skip_special_tokens=False), pa.string()))
             first = last
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
+def _laid_out(begin: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the given beginnings and sizes, laid one after the other: where each begins now, and all of them."""
+    at = _text.starts(sizes)
+    return at, flat[np.repeat(begin - at[:-1], sizes) + np.arange(at[-1])]
+
+
 def _marks_lead(pieces: list[str]) -> bool:
     """Whether markers stand only at the beginning of pieces, so that no piece goes on past one after other characters."""
     return not any(MARK in p.lstrip(MARK) for p in pieces)
