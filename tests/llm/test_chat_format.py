@@ -1,6 +1,7 @@
 """Folding, rendering and reading back, against a plain fold."""
 
 import hashlib
+from decimal import Decimal
 
 from fluvia.llm import chat_format as cf
 
@@ -62,9 +63,7 @@ def test_empty_table(spark):
 
 
 def test_other_kinds_are_skipped_and_other_ids_kept(spark):
-    from decimal import Decimal
-
     rows = [(Decimal("1.5"), 0, 0, "message", "user", "hi"), (Decimal("1.5"), 0, 1, "ping", "user", "x"), (Decimal("1.5"), 1, 0, "message", "assistant", "yo"), (Decimal("2.5"), 0, 0, "ping", None, None)]
     df = spark.createDataFrame(rows, "conv_id decimal(10,1), turn long, seq long, kind string, role string, text string")
-    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    out = {r.conv_id: r for r in cf.read_back(cf.format_conversations(df)).collect()}
     assert out[Decimal("1.5")].n_turns == 2 and out[Decimal("1.5")].loss_chars == 2 and out[Decimal("2.5")].n_turns == 0
