@@ -94,8 +94,8 @@ class Page:
         self.runs: list[tuple[str | None, bool, bool]] = []
         #: (hash, first run, run after the last, body around it or None outside articles) of every removable subtree
         self.subtrees: list[tuple[int, int, int, int | None]] = []
-        #: (first run, run after the last) of elements that a class, id, role or form names as furniture
-        self.named: list[tuple[int, int]] = []
+        #: (first run, run after the last, in an article or main element) of what a class, id, role or form names as furniture
+        self.named: list[tuple[int, int, bool]] = []
         #: subtrees of the article or main element that is open
         self._inner: list[tuple[int, int, int]] = []
         self._stack: list[_Element] = [_Element("#root", False, False, 0)]
@@ -193,7 +193,7 @@ class Page:
         # an article in another one is a comment or a card, which its class may delete
         holds = e.holds or e.tag in ("main", "body", "html") or (e.tag == "article" and self._articles == 0)
         if e.named and not holds:
-            self.named.append((e.first, len(self.runs)))
+            self.named.append((e.first, len(self.runs), e.content))
         above.holds |= holds
         if e.tag in _BLOCK:
             if not holds and any(not x.isspace() for x in e.seen):
@@ -232,7 +232,9 @@ class Page:
         elements if they do, else all."""
         sizes = [0, *accumulate(len(r[0].strip()) if r[0] else 0 for r in self.runs)]
         removed = [(a, b) for name, a, b, _ in self.subtrees if name in templates]
-        removed += [(a, b) for a, b in self.named if 2 * (sizes[b] - sizes[a]) <= sizes[-1]]
+        # beside an article with text, furniture goes whatever its size
+        told = any(text is not None and (article or main) and not text.isspace() for text, article, main in self.runs)
+        removed += [(a, b) for a, b, inside in self.named if (told and not inside) or 2 * (sizes[b] - sizes[a]) <= sizes[-1]]
         depth = [0] * (len(self.runs) + 1)
         for a, b in removed:
             depth[a] += 1

@@ -102,3 +102,8 @@ def test_deep_and_unclosed_pages_take_linear_time():
         began = time.process_time()
         html_extract.Page(page).main_text(frozenset())
         assert time.process_time() - began < 5, page[:30]
+
+
+def test_furniture_larger_than_a_short_article_goes():
+    assert text('<body><div class="ad">Buy this one thing now, it is on offer today only</div><article><p>Short.</p></article></body>') == "Short."
+    assert text('<body><div class="related">All the text that this page has stands in here</div><p>x</p></body>').startswith("All the text")
