@@ -40,12 +40,9 @@ def test_odd_rows_and_clashing_columns(spark):
     assert len(last) == 7 and all(r.round_trip and r.parity for r in last) and [r.n_pieces for r in last if r.doc_id in (5, 6)] == [0, 0]
 
 
-def test_run_keeps_only_what_is_read(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        assert out.count() > 0 and out.columns == ["doc_id", "n_pieces", "ids", "round_trip", "parity"]
-        (folder,) = tmp_path.glob("pipeline-*")
-        assert [p.name for p in folder.iterdir()] == ["3"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_run_keeps_only_what_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and out.columns == ["doc_id", "n_pieces", "ids", "round_trip", "parity"]
+    (folder,) = tmp_path.glob("pipeline-*")
+    assert [p.name for p in folder.iterdir()] == ["3"]
