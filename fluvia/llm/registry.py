@@ -13,6 +13,7 @@ from fluvia.llm._frames import join_checked, learning_row, local_table, small_ba
 from fluvia.llm.decontaminate import find_contamination
 from fluvia.llm.html_extract import extract_main_text
 from fluvia.llm.jaccard_join import near_duplicates
+from fluvia.llm.packing import pack
 from fluvia.llm.quality_rules import apply_rules
 from fluvia.llm.sharding import shuffle_to_shards
 from fluvia.llm.token_count import token_counts
@@ -91,6 +92,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this module
 
@@ -98,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, op12_packing, pipeline)}
 
 
 #: The same digests from the texts alone: the template puts 6 + 1 marks around the role and 8 after the text.
