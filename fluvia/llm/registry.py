@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fluvia.llm import chat_format, language_id, quality_classifier, sentencepiece_codec
 from fluvia.llm._frames import join_checked, learning_row, local_table, small_batches
 from fluvia.llm.decontaminate import find_contamination
+from fluvia.llm.divergence import audit
 from fluvia.llm.html_extract import extract_main_text
 from fluvia.llm.jaccard_join import near_duplicates
 from fluvia.llm.packing import pack
@@ -96,6 +97,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this module
 
@@ -103,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, op12_packing, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, op12_packing, op13_source_divergence_audit, pipeline)}
 
 
 #: The same digests from the texts alone: the template puts 6 + 1 marks around the role and 8 after the text.
@@ -149,5 +154,24 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+gk AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gn AS (SELECT lang, source, sum(n) AS n FROM gk GROUP BY lang, source),
+p AS (SELECT gk.lang, gk.source, gk.term, gk.n, 1 + CAST(1000000000 AS HUGEINT) * (gk.n + 5) // (gn.n + 5 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (gk.total + 5) // (v.n + 5 * v.v) AS q
+  FROM gk JOIN gn USING (lang, source) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_decontamination": _OP9}
+    return {"op1_chat_formatting": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_decontamination": _OP9, "op13_source_divergence_audit": _OP13}
