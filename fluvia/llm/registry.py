@@ -15,6 +15,7 @@ from fluvia.llm.divergence import audit
 from fluvia.llm.html_extract import extract_main_text
 from fluvia.llm.jaccard_join import near_duplicates
 from fluvia.llm.packing import pack
+from fluvia.llm.prefix_trie import numbered, prefix_trie, with_donor_openings
 from fluvia.llm.quality_rules import apply_rules
 from fluvia.llm.sharding import shuffle_to_shards
 from fluvia.llm.token_count import token_counts
@@ -93,6 +94,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*with_donor_openings(numbered(_table(spark, sf_dir, "conversations")), 20, 4))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, op12_packing, op13_source_divergence_audit, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_token_counts, op6_sentencepiece_codec, op7_sharding, op8_quality_rules, op9_decontamination, op10_language_id, op11_conversation_prefix_trie, op12_packing, op13_source_divergence_audit, pipeline)}
 
 
 #: The same digests from the texts alone: the template puts 6 + 1 marks around the role and 8 after the text.
@@ -154,6 +159,21 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+#: crc32 byte by byte: eight halvings after each digit of the id.
+_OP11 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY i) AS s, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda k, b: CASE WHEN b >= 0 THEN xor(k, b) ELSE xor(k >> 1, 3988292384 * (k & 1)) END), 4294967295) % 4 AS h FROM t GROUP BY conv_id),
+b AS (SELECT c.conv_id, CASE WHEN d.s IS NULL THEN c.s[c.h + 1 : len(c.s)] ELSE list_concat(d.s[1 : c.h], c.s[c.h + 1 : len(c.s)]) END AS s FROM c LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, s[1 : d] AS k, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(generate_series(0, len(s))) AS d FROM b)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends, CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM p GROUP BY k, d),
+ch AS (SELECT k[1 : d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children FROM n LEFT JOIN ch ON ch.d = n.d AND ch.k = n.k),
+a AS (SELECT m.*, unnest(generate_series(0, d)) AS up FROM m),
+u AS (SELECT k[1 : up] AS k, up AS d, sum((n_convs - 1) * w) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM a GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u ON u.d = m.d AND u.k = m.k LEFT JOIN m q ON m.d > 0 AND q.d = m.d - 1 AND q.k = m.k[1 : m.d - 1]
+"""
 _OP13 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
@@ -174,4 +194,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_decontamination": _OP9, "op13_source_divergence_audit": _OP13}
+    return {"op1_chat_formatting": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_decontamination": _OP9, "op11_conversation_prefix_trie": _OP11, "op13_source_divergence_audit": _OP13}
