@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluvia.operators import models
+from fluvia.operators import boosting, interpolation, models, spatial
 from fluvia.operators.stats import standard_scores
 from fluvia.plans.registry import query
 from fluvia.plans.wells import _PREDICTED, predicted
@@ -90,3 +90,51 @@ def round_robin_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = models.round_robin_folds(view(spark, sf_dir, "fx_wells").withColumn("block", F.floor(F.col("x") / 2000)), "block", 4)
     sizes = folds.groupBy("fold").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_folds"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+_AWAY = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
+
+
+@query(
+    "fx_wells fx_points",
+    f"""k AS (SELECT a.point_id, b.obs_dtw AS v, CAST(b.well_id % 4 AS DOUBLE) / 2 AS w, {_AWAY} AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY {_AWAY}, b.well_id) AS i FROM fx_points a JOIN fx_wells b ON true),
+    g AS (SELECT point_id, count(*) AS n_neighbours, avg(v) AS plain, avg(v) FILTER (WHERE d <= 1e-6) AS same, sum(w) FILTER (WHERE d <= 1e-6) AS same_w, sum(w * v) FILTER (WHERE d <= 1e-6) AS same_v,
+      sum(w / pow(d + 1e-6, 2)) AS all_w, sum(w / pow(d + 1e-6, 2) * v) AS all_v FROM k WHERE i <= 5 GROUP BY 1)
+    SELECT point_id, n_neighbours, round(coalesce(CASE WHEN same_w > 0 THEN same_v / same_w END, same, CASE WHEN all_w > 0 THEN all_v / all_w END, plain), 6) AS predicted FROM g""",
+)
+def weighted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point from its five nearest wells, by distance and the wells' weights, a fourth of which are 0."""
+    taught = view(spark, sf_dir, "fx_wells").select(F.col("well_id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("obs_dtw").alias("v"), ((F.col("well_id") % 4).cast("double") / 2).alias("w"))
+    near = spatial.nearest_k(view(spark, sf_dir, "fx_points").select("point_id", "x", "y"), taught, "point_id", "r_id", 5)
+    return interpolation.weighted_idw(near, ["point_id"], "v", "w").withColumn("predicted", F.round("predicted", 6))
+
+
+@query()
+def thin_plate_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well by a thin plate through its 16 nearest of other folds; a solve per well is not SQL."""
+    return interpolation.crossfit(view(spark, sf_dir, "fx_wells"), "well_id", "obs_dtw", "fold", 16, method="thin_plate")
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wells with a water table under a plane of ground, and what a shallow model says of it."""
+    c = F.col
+    rows = view(spark, sf_dir, "fx_wells").withColumns({"block": F.floor(c("x") / 4000) * 10 + F.floor(c("y") / 4000), "dem_m": 900 + c("x") / 200 + (c("well_id") * 31 % 50), "wt": (c("well_id") % 3 + 1).cast("double")})
+    rows = rows.withColumns({"fold": F.pmod(c("block"), F.lit(4)).cast("int"), "obs_wte_m": c("dem_m") - c("obs_dtw"), "fac_dtw_m": c("obs_dtw") * 0.7 + (c("well_id") * 13 % 20)})
+    return rows.withColumn("fac_wte_m", c("dem_m") - c("fac_dtw_m"))
+
+
+@query()
+def block_out_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well by boosted histograms of the other blocks' wells, beside random folds' predictions."""
+    rows = _blocked(spark, sf_dir)
+    features = ["fac_dtw_m", "dem_m", "x", "y"]
+    blocked = boosting.leave_one_block_out(rows, "well_id", "block", features, "obs_dtw", "wt", 5)
+    dealt = boosting.random_folds(rows.drop("fold"), "well_id", 5)
+    random = boosting.leave_one_block_out(dealt, "well_id", "fold", features, "obs_dtw", "wt", 1)
+    return blocked.join(random.select("well_id", "fold", F.col("prediction").alias("random_prediction")), "well_id")
+
+
+@query()
+def nested_residual_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well's regional prior, and what a residual model adds that has seen none of its fold's labels."""
+    return interpolation.nested_residuals(_blocked(spark, sf_dir), "well_id", "fold", "block", ["fac_dtw_m", "x", "y"], 8, "wt")
