@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("evapotranspiration", "fields", "points", "wells", "spatial", "network", "raster", "models", "parsing", "reaches")
+_MODULES = ("evapotranspiration", "fields", "points", "wells", "spatial", "network", "raster", "models", "parsing", "reaches", "shapes")
 
 
 def query(views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
