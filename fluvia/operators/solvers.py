@@ -1,4 +1,4 @@
-"""Relaxation on networks and rasters in blocks: heads of reaches, smooth and robust surfaces.
+"""Relaxation on rasters in blocks, smooth and robust surfaces; blocks of networks.
 
 A domain is cut into blocks of bounded size. In each Spark round every block is solved by itself against what its
 neighbours held before, in one pandas group; blocks exchange their borders through a join, and rounds go on until nothing
@@ -44,71 +44,6 @@ def network_blocks(reaches: DataFrame) -> DataFrame:
     return cut(at.select("stream_id", "block"))
 
 
-def _relaxed(rows: pd.DataFrame, tolerance: float, rounds: int, slope: float, smooth: float) -> pd.DataFrame:
-    """Sweeps over one block in ascending bed elevation; rows that are not its own keep their heads."""
-    rows = rows.sort_values(["bed", "stream_id"]).reset_index(drop=True)
-    place = {int(x): i for i, x in enumerate(rows.stream_id)}
-    own = rows.own.to_numpy(bool)
-    down = [place.get(int(d), -1) if pd.notna(d) else -1 for d in rows.down_id]
-    around: list[list[int]] = [[] for _ in down]
-    for i, d in enumerate(down):
-        if d >= 0:
-            around[i].append(d)
-            around[d].append(i)
-    bed = rows.bed.to_numpy(float)
-    target = bed - rows.r_target_m.to_numpy(float)
-    lowest, rise = bed - rows.r_max_m.to_numpy(float), slope * rows.length_m.to_numpy(float)
-    still = rows.pinned.to_numpy(bool) | ~own
-    head = rows["head"].to_numpy(float).copy()
-    for _ in range(rounds):
-        moved = 0.0
-        for i in np.flatnonzero(~still).tolist():
-            new = target[i]
-            if around[i]:
-                new = (1 - smooth) * new + smooth * float(np.mean(head[around[i]]))
-            if down[i] >= 0:
-                new = max(new, head[down[i]] + rise[i])
-            new = min(bed[i], max(lowest[i], new))
-            moved = max(moved, abs(new - head[i]))
-            head[i] = new
-        if moved <= tolerance / 10:
-            break
-    return pd.DataFrame({"stream_id": rows.stream_id, "new": head})[own]
-
-
-def solve_heads(reaches: DataFrame, tolerance: float = 0.01, rounds: int = 500, slope: float = 1e-4, smooth: float = 0.5) -> DataFrame:
-    """Heads by relaxation: towards the target below the bed and the neighbours' mean, never above the bed, never below
-    bed - r_max, and never below the downstream head plus a floor slope; pinned reaches keep their bed.
-
-    reaches: component, stream_id, down_id, bed, r_target_m, r_max_m, length_m, pinned. Gives component, stream_id,
-    channel_head_m, head_depth_m and n_rounds (of all blocks). Ends when no head moves by more than the tolerance in a
-    round; not to have ended after MOST_ROUNDS is an error.
-    """
-    facts = ["stream_id", "down_id", "bed", "r_target_m", "r_max_m", "length_m", "pinned"]
-    start = F.when(F.col("pinned"), F.col("bed")).otherwise(F.col("bed") - F.col("r_target_m"))
-    own = cut(reaches.join(network_blocks(reaches), "stream_id").select("component", *facts, "block"))
-    # what a block sees of its neighbours: both ends of every edge that leaves it
-    ends = own.select(F.col("stream_id").alias("a"), F.col("down_id").alias("b"), F.col("block").alias("ba")).join(own.select(F.col("stream_id").alias("b"), F.col("block").alias("bb")), "b").where("ba <> bb")
-    seen = ends.select(F.col("ba").alias("block"), F.col("b").alias("stream_id")).unionByName(ends.select(F.col("bb").alias("block"), F.col("a").alias("stream_id"))).distinct()
-    members = cut(own.select(*facts, "block", F.lit(True).alias("own")).unionByName(seen.join(own.select(*facts), "stream_id").select(*facts, "block", F.lit(False).alias("own"))))
-    state = cut(own.select("stream_id", start.alias("head")))
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        return _relaxed(rows, tolerance, rounds, slope, smooth)
-
-    used = 0
-    for used in range(1, MOST_ROUNDS + 1):
-        solved = members.join(state, "stream_id").groupBy("block").applyInPandas(solve, "stream_id long, new double")
-        both = cut(state.join(solved, "stream_id"))
-        moved = both.agg(F.max(F.abs(F.col("new") - F.col("head")))).first()[0]
-        state = both.select("stream_id", F.col("new").alias("head"))
-        if moved is None or moved <= tolerance or seen.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"heads not settled after {MOST_ROUNDS} rounds")
-    return own.join(state, "stream_id").select("component", "stream_id", F.col("head").alias("channel_head_m"), (F.col("bed") - F.col("head")).alias("head_depth_m"), F.lit(used).cast("long").alias("n_rounds"))
-
-
 def _grid(cells: DataFrame) -> DataFrame:
     """Cells with how many neighbours they have in their component, and the blocks in whose reach they lie: their own, and
     those that they lie no more than OVERLAP cells away from."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fluvia.operators import network, solvers
+from fluvia.operators import heads, network
 from fluvia.operators.graph import connected_components
 from fluvia.plans.registry import query
 from fluvia.sources.tables import view
@@ -210,7 +210,7 @@ def primary_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def head_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel heads of the whole network by relaxation; no SQL expresses the sweeps."""
-    rows = _reaches(spark, sf_dir)
-    groups = connected_components(_edges(spark, sf_dir)).withColumnRenamed("node", "stream_id")
-    ready = rows.join(groups, "stream_id").select("component", "stream_id", "down_id", (100 + 10 * F.log2(F.col("stream_id").cast("double"))).alias("bed"), (2 + F.col("relief_m")).alias("r_target_m"), (5 + 2 * F.col("relief_m")).alias("r_max_m"), "length_m", (F.col("seed_strength") >= 0.7).alias("pinned"))
-    return solvers.solve_heads(ready)
+    c = F.col
+    bed = 100 + 10 * F.log2(c("stream_id").cast("double"))
+    ready = _reaches(spark, sf_dir).select("stream_id", "down_id", (bed + c("relief_m") / 2).alias("up_elev_m"), (bed - c("relief_m") / 2).alias("down_elev_m"), "length_m", c("seed_strength").alias("wetness"), F.when(c("seed_strength") >= 0.7, 1.0).otherwise(0.0).alias("support_fraction"), (2 + c("relief_m")).alias("r_target_m"), (5 + 2 * c("relief_m")).alias("r_max_m"))
+    return heads.solve_channel_heads(ready)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvia.functions import binning, hydro, text
-from fluvia.operators import et, fields, network, points, raster, solvers, spatial, stats, wells
+from fluvia.operators import et, fields, heads, network, points, raster, solvers, spatial, stats, wells
 from fluvia.sources.tables import bind, missing_to_null
 
 
@@ -92,10 +92,10 @@ def test_robust_surface_obeys_its_cap_and_shrugs_off_an_outlier(spark):
 
 
 def test_head_solve_stays_in_its_bounds(spark):
-    rows = [(1, i, i - 1 if i > 1 else None, 100.0 + i, 3.0, 5.0, 100.0, i == 1) for i in range(1, 30)]
-    out = {r.stream_id: r for r in solvers.solve_heads(spark.createDataFrame(rows, "component long, stream_id long, down_id long, bed double, r_target_m double, r_max_m double, length_m double, pinned boolean")).collect()}
-    assert out[1].head_depth_m == 0 and all(0 <= r.head_depth_m <= 5 + 1e-9 for r in out.values())
-    assert all(out[i].channel_head_m >= out[i - 1].channel_head_m for i in range(2, 30)) and out[2].n_rounds < 500
+    rows = [(i, i - 1 if i > 1 else None, 100.5 + i, 99.5 + i, 100.0, 0.0, 1.0 if i == 1 else 0.0, 3.0, 5.0) for i in range(1, 30)]
+    out = {r.stream_id: r for r in heads.solve_channel_heads(spark.createDataFrame(rows, "stream_id long, down_id long, up_elev_m double, down_elev_m double, length_m double, wetness double, support_fraction double, r_target_m double, r_max_m double")).collect()}
+    assert out[1].head_depth_m == 0 and all(0 <= r.h_upper_m - r.channel_head_m <= 5 + 1e-9 for r in out.values())
+    assert all(out[i].head_depth_m > 2.5 for i in range(2, 30)) and out[2].n_rounds < 50
 
 
 def test_donor_year_that_is_missing_gives_nulls_that_are_not_clamped(spark):

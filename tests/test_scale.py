@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.operators import graph, network, solvers, spatial, stats
+from fluvia.lineage import cut
+from fluvia.operators import graph, heads, network, solvers, spatial, stats
 
 
 def scattered(spark, n, clustered, seed):
@@ -108,14 +109,14 @@ def test_heads_in_blocks_are_those_of_the_whole(spark, monkeypatch):
     rng = np.random.default_rng(6)
     n = 40
     down = [None, *[int(rng.integers(max(1, i - 4), i)) for i in range(2, n + 1)]]
-    rows = [(1, i + 1, down[i], 100.0 + i * 0.2 + float(rng.uniform(0, 1)), float(rng.uniform(1, 4)), float(rng.uniform(4, 9)), float(rng.uniform(50, 500)), bool(rng.uniform() < 0.05) or i == 0) for i in range(n)]
-    df = spark.createDataFrame(rows, "component long, stream_id long, down_id long, bed double, r_target_m double, r_max_m double, length_m double, pinned boolean")
+    rows = [(i + 1, down[i], 100.0 + i * 4 + float(rng.uniform(0, 9)), float(rng.uniform(1, 4)), float(rng.uniform(4, 90)), float(rng.uniform(50, 500)), float(rng.uniform() < 0.05 or i == 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "stream_id long, down_id long, up_elev_m double, r_target_m double, r_max_m double, length_m double, support_fraction double").withColumns({"down_elev_m": F.col("up_elev_m"), "wetness": F.lit(0.1)})
     monkeypatch.setattr(solvers, "BLOCK_LEVELS", 6)
     assert solvers.network_blocks(df).select("block").distinct().count() > 2
-    blocks = {r.stream_id: r.channel_head_m for r in solvers.solve_heads(df, tolerance=1e-3).collect()}
-    monkeypatch.setattr(solvers, "network_blocks", lambda reaches: reaches.select("stream_id", F.lit(0).cast("long").alias("block")))
-    whole = {r.stream_id: r.channel_head_m for r in solvers.solve_heads(df, tolerance=1e-3).collect()}
-    assert len(blocks) == n and all(blocks[i] == pytest.approx(whole[i], abs=2e-2) for i in whole)
+    blocks = {r.stream_id: r.channel_head_m for r in heads.solve_channel_heads(df).collect()}
+    monkeypatch.setattr(heads, "network_blocks", lambda reaches: cut(reaches.select("stream_id", F.lit(0).cast("long").alias("block"))))
+    whole = {r.stream_id: r.channel_head_m for r in heads.solve_channel_heads(df).collect()}
+    assert len(blocks) == n and all(blocks[i] == pytest.approx(whole[i], abs=1e-3) for i in whole)
 
 
 def test_surfaces_in_blocks_are_those_of_the_whole(spark, monkeypatch):
