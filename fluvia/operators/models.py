@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fluvia.lineage import cut
+
 
 def balanced_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): groups by falling size (then name), each to the fold with fewest rows so far. Only the groups' counts
@@ -81,7 +83,7 @@ def out_of_fold(rows: DataFrame, columns: list[str], target: str, kind: str, fol
     """Predictions of each fold by a model fitted on the others. kind: boosted, ridge or isotonic (on the first column)."""
     if kind == "ridge":
         return ridge_out_of_fold(rows, columns, target)
-    data = assembled(rows, columns).persist()
+    data = cut(assembled(rows, columns))
     parts = []
     for fold in folds:
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)

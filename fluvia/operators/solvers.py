@@ -11,13 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluvia.lineage import cut
+from fluvia.lineage import cut, drop
 
 #: Levels of a network, from a reach upwards, that one block holds.
 BLOCK_LEVELS = 8
 #: Cells along the side of a raster block, and by how many cells it is solved beyond its own.
 BLOCK_CELLS = 128
 OVERLAP = 32
+#: Coarse cells whose corrections are solved together.
+COARSE_MOST = 50_000
 MOST_ROUNDS = 10_000
 
 
@@ -59,93 +61,185 @@ def _grid(cells: DataFrame) -> DataFrame:
 
 def _neighbours(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbouring cells of one block."""
-    place = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows.r, rows.c))}
-    pairs = np.array([(i, j) for (r, c), i in place.items() for j in (place.get((r + 1, c)), place.get((r, c + 1))) if j is not None], np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    r, c = rows.r.to_numpy(np.int64), rows.c.to_numpy(np.int64)
+    r, c = r - r.min(initial=0), c - c.min(initial=0)
+    place = np.full((r.max(initial=0) + 2, c.max(initial=0) + 2), -1, np.int64)
+    place[r, c] = np.arange(len(r))
+    pairs = [(np.flatnonzero(other >= 0), other[other >= 0]) for other in (place[r + 1, c], place[r, c + 1])]
+    return tuple(np.concatenate(x) for x in zip(*pairs))
 
 
-def _smooth(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Conjugate gradients on one block; anchors, and cells on its rim, keep their values."""
+def _solved(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """One block by conjugate gradients: (degree + w) x - sum of neighbours = load for every free cell. Fixed cells, and cells
+    on the block's rim, keep their values. `off` is the largest residual that the block's own cells came with."""
     rows = rows.reset_index(drop=True)
     a, b = _neighbours(rows)
     x = rows["value"].to_numpy(float).copy()
-    degree = np.bincount(np.r_[a, b], minlength=len(x)).astype(float)
-    free = rows.anchor.isna().to_numpy() & (degree == rows.degree.to_numpy(float))
+    n = len(x)
+    degree, w, load = (rows[c].to_numpy(float) for c in ("degree", "w", "load"))
+    free = ~rows["fixed"].to_numpy(bool) & (np.bincount(np.r_[a, b], minlength=n) == degree)
+    diagonal = degree + w
 
     def apply(v: np.ndarray) -> np.ndarray:
-        y = degree * v
-        y -= np.bincount(a, v[b], minlength=len(v)) + np.bincount(b, v[a], minlength=len(v))
-        return np.where(free, y, 0.0)
-
-    residual = -apply(x)
-    direction = scaled = residual / np.maximum(degree, 1)
-    norm = float(residual @ scaled)
-    for _ in range(20 * len(x)):
+        return np.where(free, diagonal * v - np.bincount(a, v[b], n) - np.bincount(b, v[a], n), 0.0)
+
+    residual = np.where(free, load, 0.0) - apply(x)
+    own = rows.own.to_numpy(bool)
+    off = float(np.abs(residual[own]).max(initial=0.0))
+    scaled = residual / np.maximum(diagonal, 1e-30)
+    direction, norm = scaled, float(residual @ scaled)
+    for _ in range(20 * n):
         if np.abs(residual).max(initial=0.0) <= tolerance or norm == 0:
             break
         along = apply(direction)
         step = norm / float(direction @ along)
         x, residual = x + step * direction, residual - step * along
-        scaled = residual / np.maximum(degree, 1)
+        scaled = residual / np.maximum(diagonal, 1e-30)
         norm, before = float(residual @ scaled), norm
         direction = scaled + norm / before * direction
-    return rows[["component", "r", "c"]].assign(new=x)[rows.own.to_numpy(bool)]
+    return rows[["component", "r", "c"]].assign(value=x, off=off)[own]
+
+
+def _coarse(facts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(cells with their coarse cell, pairs of free neighbours in different coarse cells) of components that several blocks
+    share. Coarse cells are blocks, or squares of blocks where there would be more than COARSE_MOST of them."""
+    block = [F.floor(F.col(c) / BLOCK_CELLS) for c in ("r", "c")]
+    free = facts.where("not fixed").withColumns({"p": block[0], "q": block[1]})
+    held = cut(free.groupBy("component", "p", "q").agg(F.count("*").alias("n")))
+    shared = held.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    held = held.join(shared, "component")
+    side = 1
+    while held.select("component", F.floor(F.col("p") / side), F.floor(F.col("q") / side)).distinct().count() > COARSE_MOST:
+        side *= 2
+    if held.isEmpty():
+        return None
+    at = free.join(shared, "component", "left_semi").withColumns({"p": F.floor(F.col("p") / side), "q": F.floor(F.col("q") / side)}).select("component", "r", "c", "p", "q")
+    at = cut(at)
+    size = BLOCK_CELLS * side
+    rim = lambda c: (F.col(c) % size == 0) | (F.col(c) % size == size - 1)
+    edge = at.where(rim("r") | rim("c"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in ((0, 1), (1, 0))]))
+    near = edge.withColumn("s", steps).select("component", "r", "c", "p", "q", (F.col("r") + F.col("s.a")).alias("r2"), (F.col("c") + F.col("s.b")).alias("c2"))
+    other = edge.select("component", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+    pairs = near.join(other, ["component", "r2", "c2"]).where("p <> p2 or q <> q2")
+    return at, cut(pairs)
+
+
+def _corrected(state: DataFrame, facts: DataFrame, coarse: tuple[DataFrame, DataFrame], to_fixed: DataFrame) -> DataFrame:
+    """The state after one number per coarse cell has been added to its free cells, so that what is missing from each adds
+    up to nothing. As many numbers as there are coarse cells reach the driver."""
+    at, pairs = coarse
+    key = ["component", "r", "c"]
+    x = state.select(*key, "value")
+    mine = at.join(facts.select(*key, "w", "load"), key).join(x, key)
+    inner = mine.groupBy("component", "p", "q").agg(F.sum(F.col("load") - F.col("w") * F.col("value")).alias("miss"), F.sum("w").alias("weight"))
+    y = x.select("component", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("value").alias("value2"))
+    flux = pairs.join(x, key).join(y, ["component", "r2", "c2"])
+    across = flux.groupBy("component", "p", "q", "p2", "q2").agg(F.sum(F.col("value2") - F.col("value")).alias("flow"), F.count("*").alias("ties")).collect()
+    walls = {tuple(r[:3]): r for r in to_fixed.join(at, key).join(x, key).join(y, ["component", "r2", "c2"]).groupBy("component", "p", "q").agg(F.sum(F.col("value2") - F.col("value")).alias("flow"), F.count("*").alias("ties")).collect()}
+    rows = inner.collect()
+    place = {tuple(r[:3]): i for i, r in enumerate(rows)}
+    miss, diagonal = np.array([r.miss for r in rows]), np.array([r.weight for r in rows])
+    for k, i in place.items():
+        if k in walls:
+            miss[i] += walls[k].flow
+            diagonal[i] += walls[k].ties
+    a = np.array([place[r.component, r.p, r.q] for r in across], np.int64)
+    b = np.array([place[r.component, r.p2, r.q2] for r in across], np.int64)
+    ties, flow = np.array([float(r.ties) for r in across]), np.array([r.flow for r in across])
+    n = len(rows)
+    miss = miss + np.bincount(a, flow, n) - np.bincount(b, flow, n)
+    diagonal = diagonal + np.bincount(a, ties, n) + np.bincount(b, ties, n)
+    add, residual = np.zeros(n), miss.copy()
+    scaled = residual / np.maximum(diagonal, 1e-30)
+    direction, norm = scaled, float(residual @ scaled)
+    for _ in range(4 * n + 100):
+        if norm <= 1e-30 or np.abs(residual).max() <= 1e-12 * max(1.0, np.abs(miss).max()):
+            break
+        along = diagonal * direction - np.bincount(a, ties * direction[b], n) - np.bincount(b, ties * direction[a], n)
+        bent = float(direction @ along)
+        if bent <= 0:
+            break
+        add, residual = add + norm / bent * direction, residual - norm / bent * along
+        scaled = residual / np.maximum(diagonal, 1e-30)
+        norm, before = float(residual @ scaled), norm
+        direction = scaled + norm / before * direction
+    table = state.sparkSession.createDataFrame([(*k, float(add[i])) for k, i in place.items()], "component long, p long, q long, add double")
+    moved = at.join(table, ["component", "p", "q"]).select(*key, "add")
+    return state.join(moved, key, "left").select(*key, (F.col("value") + F.coalesce("add", F.lit(0.0))).alias("value"))
 
 
-def _rounds(members: DataFrame, state: DataFrame, solve, tolerance: float) -> DataFrame:
-    """Solves blocks until the state (component, r, c, value) moves by no more than the tolerance."""
+def _settled(facts: DataFrame, state: DataFrame, tolerance: float) -> tuple[DataFrame, int]:
+    """The state once no residual of the system exceeds the tolerance, and the rounds that took. facts: component, r, c, w,
+    load, fixed. A round corrects coarse cells, then solves every block against what its neighbours hold."""
     key = ["component", "r", "c"]
-    alone = members.where("not own").isEmpty()
-    for _ in range(MOST_ROUNDS):
-        solved = members.join(state, key).groupBy("component", "br", "bc").applyInPandas(solve, "component long, r long, c long, new double")
-        both = cut(state.join(solved, key))
-        moved = both.agg(F.max(F.abs(F.col("new") - F.col("value")))).first()[0]
-        state = both.select(*key, F.col("new").alias("value"))
-        if alone or moved is None or moved <= tolerance:
-            return state
+    members = _grid(facts)
+    coarse = _coarse(facts)
+    to_fixed = None
+    if coarse:
+        near = coarse[0].withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])))
+        near = near.select(*key, (F.col("r") + F.col("s.a")).alias("r2"), (F.col("c") + F.col("s.b")).alias("c2"))
+        walls = facts.where("fixed").select("component", F.col("r").alias("r2"), F.col("c").alias("c2"))
+        to_fixed = cut(near.join(walls, ["component", "r2", "c2"]))
+    state = cut(state)
+    for used in range(1, MOST_ROUNDS + 1):
+        now = _corrected(state, facts, coarse, to_fixed) if coarse else state
+        solved = members.join(now, key).groupBy("component", "br", "bc").applyInPandas(lambda rows: _solved(rows, tolerance / 10), "component long, r long, c long, value double, off double")
+        state = cut(solved, replaces=state)
+        off = state.agg(F.max("off")).first()[0]
+        if coarse is None or off is None or off <= tolerance:
+            drop(members, *(coarse or ()), *([to_fixed] if coarse else []))
+            return state.drop("off"), used
     raise RuntimeError(f"surface not settled after {MOST_ROUNDS} rounds")
 
 
-def dirichlet_surface(cells: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """The smooth surface through anchors of each component of cells (component, r, c, anchor or null): every other cell is
-    the mean of its neighbours in the domain. Components without an anchor are null."""
+def dirichlet_surface(cells: DataFrame, tolerance: float = 1e-6, mound: float = 0.0) -> DataFrame:
+    """(component, r, c, value): the surface through anchors of each component of cells (component, r, c, anchor or null).
+
+    Every other cell exceeds the mean of its neighbours in the domain by `mound` shared out over them: neighbours' sum less
+    degree times value is -mound. Nothing flows where the domain ends. Components without an anchor are null.
+    """
     mean = cells.groupBy("component").agg(F.avg("anchor").alias("__m")).where("__m is not null")
-    anchored = cells.join(mean, "component")
-    state = cut(anchored.select("component", "r", "c", F.coalesce("anchor", "__m").alias("value")))
-    out = _rounds(_grid(anchored.drop("__m")), state, lambda rows: _smooth(rows, tolerance), 10 * tolerance)
-    return cells.select("component", "r", "c").join(out, ["component", "r", "c"], "left")
+    anchored = cut(cells.join(mean, "component"))
+    fixed = F.col("anchor").isNotNull()
+    facts = cut(anchored.select("component", "r", "c", F.lit(0.0).alias("w"), F.lit(float(mound)).alias("load"), fixed.alias("fixed")))
+    state, _ = _settled(facts, anchored.select("component", "r", "c", F.coalesce("anchor", "__m").alias("value")), tolerance)
+    return cells.select("component", "r", "c").join(state, ["component", "r", "c"], "left")
 
 
-def _drawn(rows: pd.DataFrame, sweeps: int) -> pd.DataFrame:
-    """Red-black sweeps on one block under its caps; cells on its rim keep their values."""
-    rows = rows.reset_index(drop=True)
-    a, b = _neighbours(rows)
-    count = np.bincount(np.r_[a, b], minlength=len(rows)).astype(float)
-    free = count == rows.degree.to_numpy(float)
-    seen, w, cap = rows.observed.fillna(0.0).to_numpy(float), rows["w"].to_numpy(float), rows.cap.fillna(np.inf).to_numpy(float)
-    even = ((rows.r + rows.c) % 2 == 0).to_numpy()
-    x = rows["value"].to_numpy(float).copy()
-    for _ in range(sweeps):
-        last = x.copy()
-        for colour in (even & free, ~even & free):
-            total = np.bincount(a, x[b], minlength=len(x)) + np.bincount(b, x[a], minlength=len(x)) + w * seen
-            x = np.where(colour, np.minimum(total / np.maximum(count + w, 1e-12), cap), x)
-        if np.abs(x - last).max(initial=0.0) < 1e-6:
-            break
-    return rows[["component", "r", "c"]].assign(new=x)[rows.own.to_numpy(bool)]
+# The smallest ridge, which keeps a component of caps alone solvable, and the wells of a cell that count.
+RIDGE = 1e-9
+MOST_WELLS = 10
+
 
+def robust_surface(cells: DataFrame, smoothness: float = 1.0, scale: float = 10.0, cap_weight: float = 1e3, iterations: int = 8, tolerance: float = 1e-6) -> DataFrame:
+    """(component, r, c, value): a membrane drawn to observations, which far outliers and caps from below do not move.
 
-def robust_surface(cells: DataFrame, scale: float = 3.0, weight: float = 4.0, iterations: int = 8, sweeps: int = 300, tolerance: float = 1e-4) -> DataFrame:
-    """A membrane drawn to observations by Cauchy weights, reweighted `iterations` times, and never above a cell's cap.
-    cells: component, r, c, observed or null, cap or null. Cells of a component without an observation are null."""
+    cells: component, r, c, observed or null, cap or null, and n, the wells of a cell (at most MOST_WELLS count; 1 where the
+    column is absent). It is solved once by the wells' counts alone; then `iterations` times, with each observation's weight
+    times 1 / (1 + (miss / scale)^2), and with a weight of `cap_weight` towards the cap wherever the surface last lay above
+    it. Components with neither an observation nor a cap are null.
+    """
     key = ["component", "r", "c"]
-    mean = cells.groupBy("component").agg(F.avg("observed").alias("__m")).where("__m is not null")
-    known = cells.join(mean, "component")
-    members = _grid(known.drop("__m"))
-    state = cut(known.select(*key, F.least("__m", "cap").alias("value")))
-    weights = known.select(*key, F.when(F.col("observed").isNotNull(), F.lit(weight)).otherwise(0.0).alias("w"))
+    if "n" not in cells.columns:
+        cells = cells.withColumn("n", F.when(F.col("observed").isNotNull(), 1))
+    has = (F.col("observed").isNotNull() & (F.coalesce("n", F.lit(0)) > 0)).alias("has")
+    kept = cells.groupBy("component").agg(F.max(has | F.col("cap").isNotNull()).alias("k"), F.avg("observed").alias("start")).where("k").drop("k")
+    count = F.when(has, F.least(F.col("n"), F.lit(MOST_WELLS)).cast("double")).otherwise(0.0)
+    known = cut(cells.join(kept, "component").select(*key, count.alias("count"), F.when(has, F.col("observed")).alias("observed"), F.col("cap").cast("double").alias("cap"), F.coalesce("start", F.lit(0.0)).alias("start")))
+
+    def solve(well: Column, cap: Column, rows: DataFrame, state: DataFrame) -> DataFrame:
+        w, load = (well + cap + RIDGE) / smoothness, (well * F.coalesce("observed", F.lit(0.0)) + cap * F.coalesce("cap", F.lit(0.0))) / smoothness
+        facts = cut(rows.select(*key, w.alias("w"), load.alias("load"), F.lit(False).alias("fixed")))
+        out, _ = _settled(facts, state, tolerance)
+        drop(facts)
+        return out
+
+    none = F.lit(0.0)
+    state = solve(F.col("count"), none, known, known.select(*key, F.col("start").alias("value")))
     for _ in range(iterations):
-        state = _rounds(members.join(weights, key), state, lambda rows: _drawn(rows, sweeps), tolerance)
+        rows = known.join(state, key)
         off = (F.col("value") - F.col("observed")) / scale
-        weights = cut(known.select(*key, "observed").join(state, key).select(*key, F.coalesce(F.lit(weight) / (1 + off * off), F.lit(0.0)).alias("w")))
+        weight = F.coalesce(F.col("count") / (1 + off * off), none)
+        state = solve(weight, F.when(F.col("value") > F.col("cap"), F.lit(cap_weight)).otherwise(none), rows, state)
     return cells.select(*key).join(state, key, "left")

@@ -5,7 +5,7 @@ from fluvia.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", 4)
+    session = build_session("local[4]", 4, **{"spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -70,14 +70,25 @@ def test_permuting_tells_what_matters(rows):
     assert out["p"] > out["q"] > 1 and abs(out["noise"]) < 0.2
 
 
-def test_boosted_and_clusters_beat_a_guess(spark, rows):
+def test_boosted_beats_a_guess(rows):
     full = rows.where("p is not null")
     out = models.out_of_fold(full, ["p", "q"], "y", "boosted", [0, 1, 2, 3])
     assert out.count() == full.count()
     errors = out.agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("e")).first().e
     assert errors < 0.6 * full.agg(F.avg(F.abs(F.col("y") - 55)).alias("e")).first().e
-    three = spark.createDataFrame([(i, float(i % 3 * 50 + i % 7), float(i % 3 * 50 + i % 5)) for i in range(120)], "point_id long, a double, b double")
+
+
+def groups_of_three(spark):
+    return spark.createDataFrame([(i, float(i % 3 * 50 + i % 7), float(i % 3 * 50 + i % 5)) for i in range(120)], "point_id long, a double, b double")
+
+
+def test_clusters_find_three_groups(spark):
+    three = groups_of_three(spark)
     sweep = {r.k: r for r in models.clusters(three, ["a", "b"], 4).collect()}
     assert sweep[3].silhouette > max(sweep[2].silhouette, sweep[4].silhouette) and sweep[3].davies_bouldin < sweep[2].davies_bouldin
+
+
+def test_mixture_finds_three_groups(spark):
+    three = groups_of_three(spark)
     parts = models.mixture(three, ["a", "b"], "point_id", 3).collect()
     assert len({(r.point_id % 3, r.component) for r in parts}) == 3

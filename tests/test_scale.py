@@ -117,17 +117,3 @@ def test_heads_in_blocks_are_those_of_the_whole(spark, monkeypatch):
     monkeypatch.setattr(heads, "network_blocks", lambda reaches: cut(reaches.select("stream_id", F.lit(0).cast("long").alias("block"))))
     whole = {r.stream_id: r.channel_head_m for r in heads.solve_channel_heads(df).collect()}
     assert len(blocks) == n and all(blocks[i] == pytest.approx(whole[i], abs=1e-3) for i in whole)
-
-
-def test_surfaces_in_blocks_are_those_of_the_whole(spark, monkeypatch):
-    rng = np.random.default_rng(7)
-    held = [(1, r, c) for r in range(22) for c in range(25) if (r, c) not in {(5, 5), (5, 6), (6, 5)}]
-    anchored = spark.createDataFrame([(k, r, c, float(rng.uniform(0, 50)) if rng.uniform() < 0.06 else None) for k, r, c in held], "component long, r long, c long, anchor double")
-    drawn = spark.createDataFrame([(k, r, c, float(rng.uniform(0, 20)) if rng.uniform() < 0.2 else None, 12.0 if rng.uniform() < 0.1 else None) for k, r, c in held], "component long, r long, c long, observed double, cap double")
-    got = {}
-    for size, overlap in ((8, 4), (1_000, 4)):
-        monkeypatch.setattr(solvers, "BLOCK_CELLS", size)
-        monkeypatch.setattr(solvers, "OVERLAP", overlap)
-        got[size] = [{(x.r, x.c): x.value for x in out.collect()} for out in (solvers.dirichlet_surface(anchored), solvers.robust_surface(drawn, iterations=2, sweeps=3000))]
-    for one, whole, near in zip(got[8], got[1_000], (1e-3, 2e-2)):
-        assert len(one) == len(held) and all(one[k] == pytest.approx(whole[k], abs=near) for k in whole)
