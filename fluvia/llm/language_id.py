@@ -181,8 +181,19 @@ def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Automata:
     langs, long, share = zip(*shares)
     limits = local_table(docs.sparkSession, lang=pa.array(langs, pa.string()), long=pa.array(long, pa.bool_()), share=pa.array(share, pa.int64()))
     few = rows.join(F.broadcast(limits), ["lang", "long"]).where(F.pmod("h", F.lit(_HASHES)) < F.col("share"))
-    order = Window.partitionBy("lang").orderBy("long", "h", "id")
-    chosen = few.select("lang", "long", "h", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_ROWS).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("long", "h")
+
+    def least(some: DataFrame) -> DataFrame:
+        """The rows with the smallest hashes of each language, each once however often it is repeated."""
+        return some.select("lang", "long", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_ROWS).select("lang", "h").distinct()
+
+    chosen = least(few)
+    # where rows repeat, a share of the hashes may hold fewer different rows than wanted, or none: all hashes are looked at
+    found = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    thin = sorted({k for k, _, s in shares if s < _HASHES and found.get(k, 0) < FIT_ROWS})
+    if thin:
+        few = few.where(~F.col("lang").isin(thin)).unionByName(rows.where(F.col("lang").isin(thin)).withColumn("share", F.lit(_HASHES).cast("long")))
+        chosen = least(few)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +208,8 @@ def fit(docs: DataFrame, text: str, lang: str, doc_id: str) -> Automata:
                     langs.append(batch.column(0)[k].as_py())
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "text": pa.array(texts, pa.binary())})
 
-    found = join_checked(few, chosen, ["lang", "h"], "left_semi").select("lang", "text", "h").mapInArrow(read, "lang string, text binary")
+    once = join_checked(few, chosen, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = once.select("lang", "text", "h").mapInArrow(read, "lang string, text binary")
     sample: dict[str, list[bytes]] = {}
     # rows that repeat an id and text are learned once
     for row in sorted(found.distinct().collect(), key=lambda r: (r["lang"], bytes(r["text"]))):

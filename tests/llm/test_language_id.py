@@ -126,3 +126,12 @@ def test_automata_of_many_languages_are_refused(monkeypatch):
     monkeypatch.setattr(lid, "MODEL_BYTES", 100)
     with pytest.raises(ValueError):
         lid._learned({"aa": [b"some text"], "bb": [b"other text"]}, {})
+
+
+def test_many_copies_of_few_rows_are_learned(spark):
+    said = {lang: [f"{a} {b} {c} {a}{b}" for a, b, c in (parts[:3], parts[3:])] for lang, parts in {f"l{k}": [f"{chr(97 + k * 4 + j)}{chr(98 + k * 4 + j)}" * 2 for j in range(6)] for k in range(4)}.items()}
+    rows = spark.createDataFrame([(i, t, lang) for lang, texts in said.items() for i, t in enumerate(texts)], "doc_id long, text string, lang string").crossJoin(spark.range(5000).select())
+    model = lid.fit(rows.select("doc_id", "text", "lang"), "text", "lang", "doc_id")
+    assert sorted(model.languages) == sorted(said)
+    asked = spark.createDataFrame([(i, t, lang) for lang, texts in said.items() for i, t in enumerate(texts)], "doc_id long, text string, want string")
+    assert all(r.lang_pred == r.want for r in lid.identify(asked, model).collect())
