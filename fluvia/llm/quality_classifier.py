@@ -98,13 +98,20 @@ def fit(labelled: DataFrame, row_id: str = "id") -> np.ndarray:
     ratios = class_ratios(labelled)
     shared = labelled.sparkSession.sparkContext.broadcast(ratios)
     # the rows with the smallest hashes: a share of all hashes that holds them first, of which only the numbers are compared
-    hashed = labelled.withColumn("h", F.xxhash64(row_id, "text", "label"))
+    every = labelled.withColumn("h", F.xxhash64(row_id, "text", "label")).withColumn("o", F.pmod(F.xxhash64("h"), F.lit(1 << 62)))
     count = labelled.count()
-    if count > 2 * FIT_ROWS:
-        hashed = hashed.where(F.pmod("h", F.lit(_HASHES)) < max(1, 2 * FIT_ROWS * _HASHES // count))
-    order = F.pmod(F.xxhash64("h"), F.lit(1 << 62))
-    last = hashed.select(order.alias("o")).orderBy("o").limit(FIT_ROWS).agg(F.max("o")).first()[0]
-    chosen = hashed.withColumn("o", order).where(F.col("o") <= F.lit(last)).select("text", "label", "o")
+    hashed = every if count <= 2 * FIT_ROWS else every.where(F.pmod("h", F.lit(_HASHES)) < max(1, 2 * FIT_ROWS * _HASHES // count))
+
+    def least(some: DataFrame):
+        """How many different rows have the smallest hashes, FIT_ROWS at most, and the largest of these."""
+        return some.select("o").distinct().orderBy("o").limit(FIT_ROWS).agg(F.count("*").alias("n"), F.max("o").alias("last")).first()
+
+    found = least(hashed)
+    if count > 2 * FIT_ROWS and found["n"] < FIT_ROWS:  # rows repeat: the share holds too few different ones
+        hashed, found = every, least(every)
+    last = found["last"]
+    # a row that is repeated is learned once
+    chosen = hashed.where(F.col("o") <= F.lit(last)).groupBy("o").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("text", "label", "o")
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

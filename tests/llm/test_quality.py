@@ -120,3 +120,18 @@ def test_without_labels(spark):
     model = quality_classifier.fit(spark.createDataFrame([], "id long, text string, label int"))
     out = quality_classifier.score_quality(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), model).first()
     assert out.score == pytest.approx(0.5)
+
+
+def test_many_copies_of_two_rows_are_learned(spark):
+    two = spark.createDataFrame([(1, "plain words of good prose in a row", 1), (2, "BUY NOW $$$ click click click", 0)], "id long, text string, label int")
+    copies = two.crossJoin(spark.range(100_000).select())
+    model = quality_classifier.fit(copies)
+    got = {r.id: r.score for r in quality_classifier.score_quality(two, model).collect()}
+    assert got[1] > 0.6 and got[2] < 0.4
+
+
+def test_labels_that_contradict_each_other(spark):
+    same = [(k, "one and the same text", k % 2) for k in range(40)]
+    model = quality_classifier.fit(spark.createDataFrame(same, "id long, text string, label int"))
+    got = quality_classifier.score_quality(spark.createDataFrame(same, "id long, text string, label int"), model).collect()
+    assert len({r.score for r in got}) == 1 and 0.3 < got[0].score < 0.7
