@@ -36,7 +36,7 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
 )
-_GONE = frozenset("head script style noscript template title iframe object embed svg math canvas audio video nav footer aside button select textarea input menu dialog search xmp noembed noframes map".split())
+_GONE = frozenset("head script style noscript template title iframe object embed svg canvas audio video nav footer aside button select textarea input menu dialog search xmp noembed noframes map".split())
 #: Elements of running text: inside an article they are never templates by themselves.
 _PROSE = frozenset("blockquote body caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html legend li p pre summary tbody tfoot thead tr".split())
 #: What tells a hash inside an article from the same one outside.

@@ -107,3 +107,9 @@ def test_deep_and_unclosed_pages_take_linear_time():
 def test_furniture_larger_than_a_short_article_goes():
     assert text('<body><div class="ad">Buy this one thing now, it is on offer today only</div><article><p>Short.</p></article></body>') == "Short."
     assert text('<body><div class="related">All the text that this page has stands in here</div><p>x</p></body>').startswith("All the text")
+
+
+def test_formulas_stay_in_the_text(spark):
+    html = "<html><body><article><p>Euler: <math><mi>e</mi><mo>=</mo></math> is known.</p></article></body></html>"
+    out = html_extract.extract_main_text(spark.createDataFrame([(1, "http://a.example/1", html)], "page_id long, url string, html string")).first()
+    assert out.text == "Euler: e= is known."
