@@ -130,7 +130,8 @@ def smoothed_grade(at: DataFrame, key: str, value: str = "e", window: int = 5) -
 
 
 def strips(at: DataFrame, parts: DataFrame, key: str, box: tuple[float, float, float, float], reach: float, longest: float, least: float = 1e-6) -> DataFrame:
-    """(key, station, side, x, y, hit_type, target, hit_m) of a ray to either side (1 left, -1 right) of every station.
+    """(key, station, side, x, y, hit_type, target, hit_m, ex, ey) of a ray to either side (1 left, -1 right) of every
+    station, which ends at (ex, ey).
 
     interreach: the ray meets another line first, at least `least` away; edge: it leaves the box first; naked: neither
     within `reach`. `longest` is the length of the longest segment, by which rays and segments are brought together.
@@ -150,7 +151,9 @@ def strips(at: DataFrame, parts: DataFrame, key: str, box: tuple[float, float, f
     out = rays.join(first, [key, "station", "side"], "left").withColumn("edge", F.greatest(leaves, F.lit(0.0)))
     crossed = c("h.t").isNotNull() & (c("edge").isNull() | (c("h.t") <= c("edge")))
     outside = ~crossed & F.coalesce(c("edge") <= 1, F.lit(False))
-    return out.select(key, "station", "side", "x", "y", F.when(crossed, "interreach").when(outside, "edge").otherwise("naked").alias("hit_type"), F.when(crossed, c("h.target")).alias("target"), (F.when(crossed, c("h.t")).when(outside, c("edge")).otherwise(1.0) * reach).alias("hit_m"))
+    share = F.when(crossed, c("h.t")).when(outside, c("edge")).otherwise(1.0)
+    kind = F.when(crossed, "interreach").when(outside, "edge").otherwise("naked")
+    return out.select(key, "station", "side", "x", "y", kind.alias("hit_type"), F.when(crossed, c("h.target")).alias("target"), (share * reach).alias("hit_m"), (c("x") + share * c("dx")).alias("ex"), (c("y") + share * c("dy")).alias("ey"))
 
 
 def wedges(rays: DataFrame, key: str) -> DataFrame:
@@ -161,6 +164,35 @@ def wedges(rays: DataFrame, key: str) -> DataFrame:
     return rays.withColumns(after).where(alike).select(key, "side", "station", F.col("__station").alias("next_station"), "hit_type", "target")
 
 
+def wedge_rings(rays: DataFrame, key: str) -> DataFrame:
+    """(key, side, station, next_station, hit_type, target, area, rings): what lies between neighbouring strips that hit
+    alike; rays run from their base (x, y) to their end (ex, ey).
+
+    A ring is base, end, next end, next base. Where strips cross, or the line of ends crosses that of bases, the ring would
+    cross itself; then the two triangles that meet in the crossing are the rings. Wedges without area give no row.
+    """
+    order = Window.partitionBy(key, "side").orderBy("station")
+    c, place = F.col, lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    after = {f"__{n}": F.lead(n).over(order) for n in ("station", "hit_type", "target", "x", "y", "ex", "ey")}
+    alike = (c("hit_type") == c("__hit_type")) & ((c("hit_type") != "interreach") | (c("target") == c("__target")))
+    both = rays.withColumns(after).where(alike)
+    base, end, next_end, next_base = place(c("x"), c("y")), place(c("ex"), c("ey")), place(c("__ex"), c("__ey")), place(c("__x"), c("__y"))
+    strips = segment_crossing(c("x"), c("y"), c("ex"), c("ey"), c("__x"), c("__y"), c("__ex"), c("__ey"), -1e-9)
+    ends = segment_crossing(c("ex"), c("ey"), c("__ex"), c("__ey"), c("x"), c("y"), c("__x"), c("__y"), -1e-9)
+    both = both.withColumns({"__t": strips, "__u": ends})
+    p = place(c("x") + c("__t") * (c("ex") - c("x")), c("y") + c("__t") * (c("ey") - c("y")))
+    q = place(c("ex") + c("__u") * (c("__ex") - c("ex")), c("ey") + c("__u") * (c("__ey") - c("ey")))
+    # sides that only touch at their ends, to within rounding, do not cross
+    rings = F.when(c("__t").isNotNull(), F.array(F.array(base, p, next_base), F.array(end, p, next_end))).when(c("__u").isNotNull(), F.array(F.array(base, end, q), F.array(next_end, next_base, q))).otherwise(F.array(F.array(base, end, next_end, next_base)))
+
+    def area(ring):
+        n = F.size(ring)
+        return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + ring[i]["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * ring[i]["y"])) / 2
+
+    made = both.withColumn("rings", rings).withColumn("area", F.aggregate("rings", F.lit(0.0), lambda s, ring: s + area(ring)))
+    return made.where("area > 1e-6").select(key, "side", "station", c("__station").alias("next_station"), "hit_type", "target", "area", "rings")
+
+
 def lowered(rays: DataFrame, key: str, heads: DataFrame) -> DataFrame:
     """Strips (base_elev_m, endpoint_elev_m, hit_type, target) below their ground by the solved depths (key, head_depth_m):
     the base by that of its own line, the end by that of the line it hits; other ends lie level with the base. Lines

@@ -152,6 +152,30 @@ def wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaches.wedges(_strips(spark, sf_dir), "k")
 
 
+def _triangle(*places: str) -> str:
+    """SQL of a triangle's area; each place is `x|y`."""
+    (ax, ay), (bx, by), (cx, cy) = (p.split("|") for p in places)
+    return f"abs(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax})) / 2"
+
+
+@query(
+    "",
+    _STRIPS
+    + f""", en AS (SELECT sr.*, sr.x + hp.dx * hit_m / 5 AS ex, sr.y + hp.dy * hit_m / 5 AS ey FROM sr JOIN hp USING (k, station, side)),
+    w AS (SELECT *, lead(station) OVER w AS next_station, lead(hit_type) OVER w AS h, lead(target) OVER w AS g, lead(x) OVER w AS fx, lead(y) OVER w AS fy, lead(ex) OVER w AS gx, lead(ey) OVER w AS gy FROM en WINDOW w AS (PARTITION BY k, side ORDER BY station)),
+    d AS (SELECT *, (ex - x) * (gy - fy) - (ey - y) * (gx - fx) AS d1, (gx - ex) * (fy - y) - (gy - ey) * (fx - x) AS d2 FROM w WHERE hit_type = h AND (hit_type <> 'interreach' OR target = g)),
+    t AS (SELECT *, ((fx - x) * (gy - fy) - (fy - y) * (gx - fx)) / nullif(d1, 0) AS t1, ((fx - x) * (ey - y) - (fy - y) * (ex - x)) / nullif(d1, 0) AS u1, ((x - ex) * (fy - y) - (y - ey) * (fx - x)) / nullif(d2, 0) AS t2, ((x - ex) * (gy - ey) - (y - ey) * (gx - ex)) / nullif(d2, 0) AS u2 FROM d),
+    q AS (SELECT *, coalesce(t1 BETWEEN 1e-9 AND 1 - 1e-9 AND u1 BETWEEN 1e-9 AND 1 - 1e-9, false) AS c1, coalesce(t2 BETWEEN 1e-9 AND 1 - 1e-9 AND u2 BETWEEN 1e-9 AND 1 - 1e-9, false) AS c2, x + t1 * (ex - x) AS px, y + t1 * (ey - y) AS py, ex + t2 * (gx - ex) AS qx, ey + t2 * (gy - ey) AS qy FROM t),
+    a AS (SELECT *, CASE WHEN c1 THEN {_triangle("x|y", "px|py", "fx|fy")} + {_triangle("ex|ey", "px|py", "gx|gy")} WHEN c2 THEN {_triangle("x|y", "ex|ey", "qx|qy")} + {_triangle("gx|gy", "fx|fy", "qx|qy")}
+      ELSE abs(x * ey - ex * y + ex * gy - gx * ey + gx * fy - fx * gy + fx * y - x * fy) / 2 END AS area FROM q)
+    SELECT k, side, station, next_station, hit_type, target, round(area, 5) AS area, CASE WHEN c1 OR c2 THEN 2 ELSE 1 END AS n_rings FROM a WHERE area > 1e-6""",
+)
+def wedge_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas between neighbouring strips that hit alike, and of how many rings they are made."""
+    made = reaches.wedge_rings(_strips(spark, sf_dir), "k")
+    return made.select("k", "side", "station", "next_station", "hit_type", "target", F.round("area", 5).alias("area"), F.size("rings").alias("n_rings"))
+
+
 @query(
     "",
     _STRIPS
