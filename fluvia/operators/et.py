@@ -65,3 +65,14 @@ def spread_months(daily: DataFrame, monthly: DataFrame) -> DataFrame:
     """Replaces aet of a daily table by the month's total divided by the month's days. monthly: fid, year, month, total."""
     keyed = daily.drop("aet").withColumns({"year": F.year("d"), "month": F.month("d")})
     return keyed.join(monthly, ["fid", "year", "month"], "left").withColumn("aet", F.col("total") / days_in_month(F.col("d"))).drop("total")
+
+
+def daily_by_centroid(fields: DataFrame, centroids: DataFrame, daily: DataFrame, start: str, end: str) -> DataFrame:
+    """(fid, gfid, distance_m, and daily's columns): each field's days between the dates (both included) from the grid point
+    nearest to its centre; ties go to the lower gfid. Fields share a grid point's days, which are read once.
+
+    fields: fid, cx, cy; centroids: gfid, gx, gy; daily: gfid, d and values. A field of which no day is known has one row
+    with null values."""
+    near = nearest_k(fields.select("fid", "cx", "cy"), centroids, "fid", "gfid", 1, xy=("cx", "cy"), rxy=("gx", "gy")).select("fid", "gfid", "distance_m")
+    days = daily.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return near.join(days, "gfid", "left")

@@ -7,6 +7,7 @@ memory follows k. Folds are columns of that join (`apart`), not one search per f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -176,3 +177,78 @@ def nested_residuals(rows: DataFrame, key: str, fold: str, group: str, static: l
     hybrid = F.col("prior") + F.col("residual_hat")
     out = rows.select(key).join(out, key, "left").withColumn("hybrid_wte", hybrid)
     return out.withColumn("hybrid_dtw", F.when(F.col("hybrid_wte").isNotNull(), F.greatest(F.col("dem_m") - F.col("hybrid_wte"), F.lit(0.0)))).drop("dem_m")
+
+
+# How methods are named, and the ladder of methods tried when none are given.
+_IDW_NAME, _PLATE_NAME = "idw_k{k}_p{power}", "rbf_tps_s{smoothing}"
+LADDER_K, LADDER_POWER, LADDER_SMOOTHING = (16, 32, 64), (2.0,), (25.0, 100.0, 400.0)
+
+
+class Method(NamedTuple):
+    """An interpolator by its name: k neighbours, and a power (idw) or a smoothing (thin_plate)."""
+
+    name: str
+    family: str
+    k: int
+    power: float | None = None
+    smoothing: float | None = None
+
+
+def idw_method(k: int, power: float) -> Method:
+    """Powers are named without their point: 2 for 2.0, 15 for 1.5."""
+    tag = str(int(power)) if float(power).is_integer() else str(power).replace(".", "")
+    return Method(_IDW_NAME.format(k=k, power=tag), "idw", k, power=float(power))
+
+
+def plate_method(smoothing: float, k: int = 32) -> Method:
+    return Method(_PLATE_NAME.format(smoothing=int(smoothing)), "thin_plate", k, smoothing=float(smoothing))
+
+
+def parsed_method(name: str) -> Method | None:
+    """The method of a name, or None. Smoothings may also be written `smooth100`."""
+    parts = name.split("_")
+    try:
+        if parts[0] == "idw" and len(parts) == 3:
+            tag = parts[2].removeprefix("p")
+            return idw_method(int(parts[1].removeprefix("k")), float(tag) if len(tag) < 2 else float(tag) / 10)
+        if parts[:2] == ["rbf", "tps"] and len(parts) == 3:
+            return plate_method(float(parts[2].removeprefix("smooth").removeprefix("s")))
+    except ValueError:
+        pass
+    return None
+
+
+def method_grid(names: list[str] | None = None, families: tuple[str, ...] = ("idw", "thin_plate"), ks=LADDER_K, powers=LADDER_POWER, smoothings=LADDER_SMOOTHING) -> list[Method]:
+    """The named methods, those that cannot be read left out; without any, all of the families' parameters."""
+    named = [m for m in map(parsed_method, names or []) if m]
+    if named:
+        return named
+    out = [idw_method(k, p) for k in ks for p in powers] if "idw" in families else []
+    return out + ([plate_method(s) for s in smoothings] if "thin_plate" in families else [])
+
+
+def crossfit_methods(rows: DataFrame, key: str, value: str, fold: str, methods: list[Method], weight: str | None = None) -> DataFrame:
+    """(key, method, predicted): every row by every method from rows of other folds. Neighbours are looked for once, as many
+    as the widest method wants; the others take the first of them."""
+    taught = _teaching(rows, key, value, weight, F.col(fold).alias("__fold"))
+    most = max(m.k for m in methods)
+    pairs = cut(spatial.nearest_k(rows.select(key, "x", "y", fold), taught, key, "__id", most, apart=(fold, "__fold"), rxy=("__x", "__y")))
+    out = None
+    for m in methods:
+        near = pairs.where(F.col("rank") <= m.k)
+        told = _interpolated(near, [key], weight, "idw", power=m.power) if m.family == "idw" else _interpolated(near, [key], weight, "thin_plate", smoothing=m.smoothing)
+        part = told.select(key, F.lit(m.name).alias("method"), "predicted")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def diagnostics(rows: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """(key, method, wte, dtw_raw, dtw, head_above_ground_m, residual_wte, residual_dtw, fac_minus_wte, fac_minus_dtw) of each
+    method's water table. rows: obs_wte_m, target_dtw_m, dem_m, fac_wte_m, fac_dtw_m."""
+    c, zero = F.col, F.lit(0.0)
+    both = predicted.join(rows.select(key, "obs_wte_m", "target_dtw_m", "dem_m", "fac_wte_m", "fac_dtw_m"), key)
+    raw = c("dem_m") - c("predicted")
+    # a missing prediction is missing throughout
+    dtw = F.when(raw.isNotNull(), F.greatest(raw, zero))
+    above = F.when(raw.isNotNull(), F.greatest(-raw, zero))
+    return both.select(key, "method", c("predicted").alias("wte"), raw.alias("dtw_raw"), dtw.alias("dtw"), above.alias("head_above_ground_m"), (c("obs_wte_m") - c("predicted")).alias("residual_wte"), (c("target_dtw_m") - dtw).alias("residual_dtw"), (c("fac_wte_m") - c("predicted")).alias("fac_minus_wte"), (c("fac_dtw_m") - dtw).alias("fac_minus_dtw"))

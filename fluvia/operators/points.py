@@ -222,3 +222,14 @@ def usable_features(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = clean.agg(*[F.count(c).alias(c) for c in there]).first()
     used = [c for c in there if counts[c]]
     return clean.select("point_id", *used).dropna("any", subset=used)
+
+
+# The order in which sample groups claim a point.
+GROUP_PRIORITY = ("riparian", "field_interior", "low_rem", "field_edge", "high_rem_control", "base")
+
+
+def first_by_priority(rows: DataFrame, key: str, group: str, priority: tuple[str, ...] = GROUP_PRIORITY) -> DataFrame:
+    """Each key's row of the group that comes first; groups that the list does not name come last, by their names."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(group)), F.lit(0))
+    order = Window.partitionBy(key).orderBy(F.when(place > 0, place).otherwise(len(priority) + 1), group)
+    return rows.withColumn("__i", F.row_number().over(order)).where("__i = 1").drop("__i")

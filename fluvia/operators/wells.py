@@ -167,3 +167,18 @@ def cleaned(text: Column) -> Column:
     """A number from text; what is none, or not finite, is null."""
     number = text.try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+# What makes a depth to water usable, and where.
+ADMITTED_CLASSES = ("unconfined", "unconfined_marginal")
+DEEPEST_DTW = 1000.0
+LAND_BOX = (-125.0, 24.0, -66.0, 50.0)
+
+
+def admitted(rows: DataFrame, depth: str = "mean_dtw", box: tuple[float, float, float, float] = LAND_BOX) -> DataFrame:
+    """Wells of unconfined classes with a known depth of at least 0 and below DEEPEST_DTW, and with known coordinates within
+    the box (west, south, east, north; borders included)."""
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    west, south, east, north = box
+    usable = F.col("confinement_class").isin(*ADMITTED_CLASSES) & known(depth) & (F.col(depth) >= 0) & (F.col(depth) < DEEPEST_DTW)
+    return rows.where(usable & known("longitude") & known("latitude") & F.col("longitude").between(west, east) & F.col("latitude").between(south, north))

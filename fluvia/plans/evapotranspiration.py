@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fluvia.functions import hydro
 from fluvia.operators import et, fields
 from fluvia.plans.registry import query
-from fluvia.sources.tables import view
+from fluvia.sources.tables import table, view
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -104,3 +104,18 @@ def climate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     elevation = F.col("rem_at_sample") * 100
     p = hydro.air_pressure(elevation)
     return points.select("point_id", F.round(p, 6).alias("pressure"), F.round(hydro.air_pressure(elevation, "gas"), 6).alias("pressure_gas"), F.round(hydro.vapour_pressure(p, F.lit(0.008)), 6).alias("vapour"), F.round(hydro.kelvin_to_celsius(270 + F.col("rem_at_sample")), 6).alias("celsius"))
+
+
+@query(
+    "fx_fields fx_field_daily",
+    """g AS (SELECT n_nationkey AS gfid, (n_nationkey % 5) * 4200.0 AS gx, CAST(floor(n_nationkey / 5) AS BIGINT) * 4200.0 AS gy FROM nation),
+    n AS (SELECT fid, gfid, sqrt((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)) AS d FROM fx_fields, g QUALIFY row_number() OVER (PARTITION BY fid ORDER BY sqrt((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)), gfid) = 1),
+    c AS (SELECT fid % 25 AS gfid, d, sum(eto) AS eto, sum(prcp) AS prcp FROM fx_field_daily WHERE d BETWEEN DATE '1994-01-01' AND DATE '1995-12-31' GROUP BY 1, 2)
+    SELECT n.fid, n.gfid, round(n.d, 6) AS distance_m, c.d, c.eto, c.prcp FROM n LEFT JOIN c ON c.gfid = n.gfid""",
+)
+def climate_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field's daily climate from the nearest point of a shared grid."""
+    k = F.col("n_nationkey")
+    grid = table(spark, sf_dir, "nation").select(k.alias("gfid"), ((k % 5) * 4200.0).alias("gx"), (F.floor(k / 5) * 4200.0).alias("gy"))
+    daily = view(spark, sf_dir, "fx_field_daily").groupBy((F.col("fid") % 25).alias("gfid"), "d").agg(F.sum("eto").alias("eto"), F.sum("prcp").alias("prcp"))
+    return et.daily_by_centroid(view(spark, sf_dir, "fx_fields"), grid, daily, "1994-01-01", "1995-12-31").withColumn("distance_m", F.round("distance_m", 6))

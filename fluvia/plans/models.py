@@ -138,3 +138,23 @@ def block_out_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_residual_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every well's regional prior, and what a residual model adds that has seen none of its fold's labels."""
     return interpolation.nested_residuals(_blocked(spark, sf_dir), "well_id", "fold", "block", ["fac_dtw_m", "x", "y"], 8, "wt")
+
+
+_DIAGNOSED = "round(wte, 6) AS wte, round(dem_m - wte, 6) AS dtw_raw, round(greatest(dem_m - wte, 0), 6) AS dtw, round(greatest(wte - dem_m, 0), 6) AS head_above_ground_m, round(obs_wte_m - wte, 6) AS residual_wte, round(obs_dtw - greatest(dem_m - wte, 0), 6) AS residual_dtw, round(fac_wte_m - wte, 6) AS fac_minus_wte, round(fac_dtw_m - greatest(dem_m - wte, 0), 6) AS fac_minus_dtw"
+
+
+@query(
+    "fx_wells",
+    f"""b AS (SELECT well_id, x, y, obs_dtw, CAST(floor(x / 4000) * 10 + floor(y / 4000) AS BIGINT) % 4 AS fold, 900 + x / 200 + well_id * 31 % 50 AS dem_m, CAST(well_id % 3 + 1 AS DOUBLE) AS wt, obs_dtw * 0.7 + well_id * 13 % 20 AS fac_dtw_m FROM fx_wells),
+    w AS (SELECT *, dem_m - obs_dtw AS obs_wte_m, dem_m - fac_dtw_m AS fac_wte_m FROM b),
+    k AS (SELECT a.well_id, b.obs_wte_m AS v, b.wt, {_AWAY} AS d, row_number() OVER (PARTITION BY a.well_id ORDER BY {_AWAY}, b.well_id) AS i FROM w a JOIN w b ON a.fold <> b.fold),
+    m AS (SELECT unnest(['idw_k16_p2', 'idw_k4_p15']) AS method, unnest([16, 4]) AS k, unnest([2.0, 1.5]) AS p),
+    p AS (SELECT well_id, method, coalesce(sum(wt * v) FILTER (WHERE d <= 1e-6) / sum(wt) FILTER (WHERE d <= 1e-6), sum(wt / pow(d + 1e-6, p) * v) / sum(wt / pow(d + 1e-6, p))) AS wte FROM k JOIN m ON k.i <= m.k GROUP BY 1, 2)
+    SELECT well_id, method, {_DIAGNOSED} FROM p JOIN w USING (well_id)""",
+)
+def method_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well's water table by each of several named methods, out of fold, and what it says of depths and residuals."""
+    rows = _blocked(spark, sf_dir).withColumn("target_dtw_m", F.col("obs_dtw"))
+    methods = interpolation.method_grid(["idw_k16_p2", "idw_k4_p15", "no_such_method"])
+    out = interpolation.diagnostics(rows, interpolation.crossfit_methods(rows, "well_id", "obs_wte_m", "fold", methods, "wt"), "well_id")
+    return out.select("well_id", "method", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("well_id", "method")])

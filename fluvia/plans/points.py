@@ -160,3 +160,19 @@ def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "fx_points").withColumn("cluster", F.col("point_id") % 5)
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("rem_at_sample"), 6).alias("rem_mean"), F.round(F.stddev_samp("rem_at_sample"), 6).alias("rem_std"), F.round(F.avg("dist_perennial_m"), 6).alias("dist_mean"), F.round(F.stddev_samp("dist_perennial_m"), 6).alias("dist_std"))
+
+
+_CLAIMS = "cl AS (SELECT point_id, unnest(['base', CASE WHEN point_id % 2 = 0 THEN 'low_rem' END, CASE WHEN point_id % 3 = 0 THEN 'field_edge' END, CASE WHEN point_id % 7 = 0 THEN 'riparian' END, CASE WHEN point_id % 5 = 0 THEN 'another' END]) AS sample_group FROM fx_points)"
+
+
+@query(
+    "fx_points",
+    _CLAIMS
+    + """ SELECT point_id, sample_group FROM cl WHERE sample_group IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY CASE sample_group WHEN 'riparian' THEN 1 WHEN 'field_interior' THEN 2 WHEN 'low_rem' THEN 3 WHEN 'field_edge' THEN 4 WHEN 'high_rem_control' THEN 5 WHEN 'base' THEN 6 ELSE 7 END, sample_group) = 1""",
+)
+def claimed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point once, for the group that comes first of those that drew it."""
+    k = F.col("point_id")
+    drawn = F.array(F.lit("base"), *[F.when(k % n == 0, name) for n, name in ((2, "low_rem"), (3, "field_edge"), (7, "riparian"), (5, "another"))])
+    claims = view(spark, sf_dir, "fx_points").select("point_id", F.explode(drawn).alias("sample_group")).where("sample_group is not null")
+    return points.first_by_priority(claims, "point_id", "sample_group")

@@ -470,3 +470,21 @@ def coverage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values between two percentiles stretched to 0 and 1."""
     return stats.unit_range(view(spark, sf_dir, "fx_wells").select("well_id", "obs_dtw"), "obs_dtw", 0.02, 0.98).withColumn("obs_dtw", F.round("obs_dtw", 6))
+
+
+@query(
+    "",
+    """w AS (SELECT c_custkey AS well_id, CASE c_custkey % 3 WHEN 0 THEN 'unconfined' WHEN 1 THEN 'unconfined_marginal' ELSE 'confined' END AS confinement_class, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal / 8 END AS mean_dtw, CAST(c_custkey % 80 AS DOUBLE) - 140 AS longitude, CAST(c_custkey % 40 AS DOUBLE) + 15 AS latitude FROM customer)
+    SELECT well_id, round(mean_dtw, 6) AS mean_dtw FROM w WHERE confinement_class IN ('unconfined', 'unconfined_marginal') AND mean_dtw >= 0 AND mean_dtw < 1000 AND longitude BETWEEN -125 AND -66 AND latitude BETWEEN 24 AND 50""",
+)
+def admitted_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wells whose class, depth and place make them usable."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("well_id"),
+        F.when(k % 3 == 0, "unconfined").when(k % 3 == 1, "unconfined_marginal").otherwise("confined").alias("confinement_class"),
+        F.when(k % 11 != 0, F.col("c_acctbal").cast("double") / 8).alias("mean_dtw"),
+        ((k % 80).cast("double") - 140).alias("longitude"),
+        ((k % 40).cast("double") + 15).alias("latitude"),
+    )
+    return wells.admitted(rows).select("well_id", F.round("mean_dtw", 6).alias("mean_dtw"))

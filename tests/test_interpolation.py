@@ -130,3 +130,26 @@ def test_one_group_outside_teaches_itself(spark):
     got = I.nested(frame(spark, rows), "id", "obs_wte_m", "fold", "block", 4, 3).collect()
     at = {r[0]: r[3] for r in rows}
     assert len(got) == len(rows) and all(r.predicted == pytest.approx(at[r.id]) for r in got)
+
+
+def test_method_names_and_grids():
+    for k, p, name in ((16, 2.0, "idw_k16_p2"), (32, 1.5, "idw_k32_p15"), (64, 3.0, "idw_k64_p3")):
+        assert I.idw_method(k, p).name == name and I.parsed_method(name) == I.idw_method(k, p)
+    assert I.parsed_method("rbf_tps_smooth100") == I.plate_method(100.0) and I.parsed_method("rbf_tps_s25").smoothing == 25
+    assert all(I.parsed_method(x) is None for x in ("idw_kx_p2", "idw_k3", "rbf_tps", "kriging", ""))
+    assert [m.name for m in I.method_grid()] == ["idw_k16_p2", "idw_k32_p2", "idw_k64_p2", "rbf_tps_s25", "rbf_tps_s100", "rbf_tps_s400"]
+    assert [m.name for m in I.method_grid(["nothing"], families=("idw",), ks=(4,), powers=(1.5, 2.0))] == ["idw_k4_p15", "idw_k4_p2"]
+
+
+def test_methods_share_their_neighbours(spark):
+    rows = wells(60)
+    df = frame(spark, rows)
+    methods = [I.idw_method(3, 1.5), I.idw_method(7, 2.0), I.plate_method(100.0, 8)]
+    got = {(r.method, r.id): r.predicted for r in I.crossfit_methods(df, "id", "obs_wte_m", "fold", methods, "w").collect()}
+    assert len(got) == 3 * len(rows)
+    for m in methods:
+        for r in rows:
+            near = nearest(rows, r, m.k, lambda q: q[6] != r[6])
+            at = {q[0]: q for q in rows}
+            want = plain_idw(near, m.power) if m.family == "idw" else plain_plate(r[1] / 1000, r[2] / 1000, [(at[i][1] / 1000, at[i][2] / 1000, v) for _, i, v, _ in near], 100.0)
+            assert got[m.name, r[0]] == pytest.approx(want, rel=1e-7)
