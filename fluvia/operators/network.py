@@ -1,19 +1,82 @@
 """Reach networks: hops, stream order, decaying influence, shortest paths, pruning, head targets and the head solve.
 
-Graph rounds are joins on edge tables. Each round cuts its lineage, so plans stay short; rounds follow the depth of the
-network, and a change count ends them.
+Graph rounds are joins on edge tables. Each round cuts its lineage, so plans stay short. Where reaches drain to one other
+at most, rounds follow the logarithm of the network's depth; braided networks are relaxed until nothing changes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fluvia.lineage import cut
+from fluvia.lineage import cut, drop
+
+
+def _single(edges: DataFrame, end: str) -> bool:
+    """Whether no value stands twice at this end of the edges."""
+    return edges.groupBy(end).count().where("count > 1").isEmpty()
+
+
+def _doubled(state: DataFrame, carried: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column], pull: bool, max_rounds: int) -> DataFrame:
+    """(node, best) of a table (node, to, step, best) in which every node points at one other, or none: the greatest label
+    among a node's own and those that come along pointers, from the nodes that lead to it (or, with `pull`, from those
+    that it leads to).
+
+    Labels and steps are structs; a greater label is a better one, null is none. `carried` takes a label over a step,
+    `joined` makes one step of two. Each round a pointer skips as far again as it did, so rounds follow the logarithm of
+    the longest way, with one row for each node. On a circle they end once every way without a repeat is done; to go
+    round must not better a label.
+    """
+    state = cut(state)
+    best, step = F.col("best"), F.col("step")
+    for done in range(state.count().bit_length()):
+        going = state.where("to is not null")
+        if going.isEmpty():
+            break
+        if done == max_rounds:
+            raise RuntimeError(f"pointers not followed to their ends after {max_rounds} rounds")
+        if pull:
+            beyond = state.select(F.col("node").alias("to"), F.col("to").alias("__next"), F.col("step").alias("__more"), F.col("best").alias("__theirs"))
+            moved = state.join(beyond, "to", "left").withColumn("__got", F.when(F.col("__theirs").isNotNull(), carried(F.col("__theirs"), step)))
+        else:
+            sent = going.where("best is not null").groupBy(F.col("to").alias("node")).agg(F.max(carried(best, step)).alias("__got"))
+            beyond = going.select(F.col("node").alias("to"), F.col("to").alias("__next"), F.col("step").alias("__more"))
+            moved = state.join(sent, "node", "left").join(beyond, "to", "left")
+        further = F.when(F.col("__next").isNotNull(), joined(step, F.col("__more")))
+        state = cut(moved.select("node", F.col("__next").alias("to"), further.alias("step"), F.greatest(best, "__got").alias("best")), replaces=state)
+    return state.select("node", "best")
+
+
+def _pointing(edges: DataFrame, at: str, to: str, starts: DataFrame, label: Column, length: Column) -> DataFrame:
+    """Nodes of edges with one edge at each `at`, and the starts (node), as `_doubled` wants them."""
+    nodes = edges.select(F.col(at).alias("node")).unionByName(edges.select(F.col(to).alias("node"))).unionByName(starts.select("node")).distinct()
+    ahead = edges.select(F.col(at).alias("node"), F.col(to).alias("to"), F.struct(length.alias("w")).alias("step"))
+    return nodes.join(ahead, "node", "left").join(starts.select("node").distinct().withColumn("best", F.struct(label.alias("near"))), "node", "left")
+
+
+def _farther(label: Column, step: Column) -> Column:
+    return F.struct((label["near"] - step["w"]).alias("near"))
+
+
+def _longer(a: Column, b: Column) -> Column:
+    return F.struct((a["w"] + b["w"]).alias("w"))
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, hops): fewest directed steps (src to dst) from any seed; nodes out of reach have no row. Level by level."""
+    """(node, hops): fewest directed steps (src to dst) from any seed; nodes out of reach have no row.
+
+    Where every node has one edge out, as reaches have that drain to one other, or one edge in, pointers are doubled.
+    Other networks, and bounded searches, go level by level.
+    """
+    if most is None:
+        edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+        for at, to, pull in (("src", "dst", False), ("dst", "src", True)):
+            if _single(edges, at):
+                found = _doubled(_pointing(edges, at, to, seeds, F.lit(0), F.lit(1)), _farther, _longer, pull, 64)
+                return found.where("best is not null").select("node", (-F.col("best.near")).alias("hops"))
     reached = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier, step = reached, 0
     while most is None or step < most:
@@ -30,31 +93,53 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFra
 
 def stream_order(reaches: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(stream_id, strahler) of reaches with a down_id: 0 without upstream reaches; one more than the largest order above
-    only where at least two reaches share it. Reaches on a cycle, and below one, stay 0."""
-    edges = cut(reaches.select("stream_id", "down_id"))
-    above = edges.groupBy(F.col("down_id").alias("stream_id")).agg(F.count("*").alias("n_up"))
-    all_ = cut(edges.select("stream_id").join(above, "stream_id", "left").withColumn("n_up", F.coalesce("n_up", F.lit(0))))
-    frontier = all_.where("n_up = 0").select("stream_id", F.lit(0).alias("strahler"))
-    done = frontier
-    # what each reach has received so far: orders above it, as a running top and its count
-    pending = None
-    for round_ in range(max_rounds):
-        sent = frontier.join(edges, "stream_id").where("down_id is not null").select(F.col("down_id").alias("stream_id"), F.col("strahler").alias("top"), F.lit(1).alias("n_top"), F.lit(1).alias("got"))
-        received = sent if pending is None else pending.unionByName(sent)
-        best = received.groupBy("stream_id").agg(F.max("top").alias("best"))
-        merged = received.join(best, "stream_id").groupBy("stream_id").agg(F.max("best").alias("top"), F.sum(F.when(F.col("top") == F.col("best"), F.col("n_top")).otherwise(0)).alias("n_top"), F.sum("got").alias("got"))
-        merged = cut(merged.join(all_, "stream_id"))
-        frontier = cut(merged.where("got = n_up").select("stream_id", (F.col("top") + (F.col("n_top") >= 2).cast("int")).cast("int").alias("strahler")))
-        pending = merged.where("got < n_up").select("stream_id", "top", "n_top", "got")
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier)
-        if round_ % 8 == 7:
-            done = cut(done)
+    only where at least two reaches share it. Reaches on a cycle, and below one, stay 0.
+
+    The network is contracted, and the order of a reach is the step that removes it: each step takes all reaches that
+    nothing is left above, and all below them that only a single line of reaches is left above. At most half as many
+    branches are left after a step, so steps are as many as orders. The lines are found by doubled pointers, so the
+    rounds of a step follow the logarithm of its longest line.
+    """
+    left = reaches.select("stream_id", "down_id")
+    orders, kept, rounds, order = [], [], 0, 0
+    while True:
+        above = left.groupBy(F.col("down_id").alias("stream_id")).agg(F.count("*").alias("n"), F.min("stream_id").alias("only"))
+        counted = cut(left.join(above, "stream_id", "left").select("stream_id", "down_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("up")))
+        kept.append(counted)
+        seen = counted.agg(F.count_if(F.col("n") == 0).alias("tops"), F.count_if(F.col("n") == 1).alias("lined")).first()
+        rounds += 1
+        if not seen["tops"]:
+            break  # nothing is left, or only what lies on and below circles
+        if rounds > max_rounds:
+            raise RuntimeError(f"stream order not settled after {max_rounds} rounds")
+        gone, stay = counted.where("n = 0").select("stream_id"), counted.where("n > 1").select("stream_id", "down_id")
+        if seen["lined"]:
+            # ends: true under a top, false under a branching, null where the line has not been followed to its end
+            beyond = counted.select(F.col("stream_id").alias("up"), F.when(F.col("n") != 1, F.col("n") == 0).alias("ends"))
+            lines = cut(counted.where("n = 1").select("stream_id", "down_id", "up").join(beyond, "up"))
+            for _ in range((seen["lined"] - 1).bit_length()):
+                if lines.where("ends is null").isEmpty():
+                    break
+                rounds += 1
+                if rounds > max_rounds:
+                    raise RuntimeError(f"stream order not settled after {max_rounds} rounds")
+                beyond = lines.select(F.col("stream_id").alias("up"), F.col("up").alias("__next"), "ends")
+                further = lines.where("ends is null").drop("ends").join(beyond, "up").select("stream_id", "down_id", F.col("__next").alias("up"), "ends")
+                lines = cut(lines.where("ends is not null").unionByName(further), replaces=lines)
+            kept.append(lines)
+            gone = gone.unionByName(lines.where("ends").select("stream_id"))
+            stay = stay.unionByName(lines.where("not coalesce(ends, false)").select("stream_id", "down_id"))
+        orders.append(gone.withColumn("strahler", F.lit(order)))
+        left = stay
+        order += 1
+    solved = reaches.select("stream_id")
+    if orders:
+        solved = solved.join(reduce(DataFrame.unionByName, orders), "stream_id", "left")
     else:
-        raise RuntimeError(f"stream order not settled after {max_rounds} rounds")
-    solved = cut(done)
-    return all_.select("stream_id").join(solved, "stream_id", "left").select("stream_id", F.coalesce("strahler", F.lit(0)).alias("strahler"))
+        solved = solved.withColumn("strahler", F.lit(0))
+    out = cut(solved.select("stream_id", F.coalesce("strahler", F.lit(0)).alias("strahler")))
+    drop(*kept)
+    return out
 
 
 def decay_influence(reaches: DataFrame, edges: DataFrame, distance_scale: float, elevation_scale: float | None, strahler_scale: float, max_rounds: int = 10_000) -> DataFrame:
@@ -62,14 +147,43 @@ def decay_influence(reaches: DataFrame, edges: DataFrame, distance_scale: float,
 
     A pulled weight is multiplied by exp(-length / scale - relief / elevation_scale) of the pulling reach; the scale grows
     by strahler_scale for each order above 1. Reaches without any influence have weight 0, seed -1, and nulls. Equal
-    weights keep the nearer seed, then the lower id. Rounds run until nothing improves.
+    weights keep the nearer seed, then the lower id. Where every reach pulls from one other, or is pulled from by one,
+    pointers are doubled; in other networks rounds run until nothing improves.
     """
     scale = distance_scale * (1 + strahler_scale * F.greatest(F.coalesce("strahler", F.lit(0)) - 1, F.lit(0)))
-    drop = -F.col("length_m") / scale
+    drop_ = -F.col("length_m") / scale
     if elevation_scale is not None:
-        drop = drop - F.coalesce("relief_m", F.lit(0.0)) / elevation_scale
-    own = cut(reaches.select("stream_id", "length_m", F.coalesce("relief_m", F.lit(0.0)).alias("relief_m"), F.exp(drop).alias("decay"), "seed_strength"))
-    pulls = cut(edges.select("stream_id", "source_id").join(own.select("stream_id", "length_m", "relief_m", "decay"), "stream_id"))
+        drop_ = drop_ - F.coalesce("relief_m", F.lit(0.0)) / elevation_scale
+    own = cut(reaches.select("stream_id", "length_m", F.coalesce("relief_m", F.lit(0.0)).alias("relief_m"), F.exp(drop_).alias("decay"), "seed_strength"))
+    pulls = cut(edges.select("stream_id", "source_id").distinct().join(own.select("stream_id", "length_m", "relief_m", "decay"), "stream_id"))
+    zero = F.lit(0.0)
+    for at, to, pull in (("stream_id", "source_id", True), ("source_id", "stream_id", False)):
+        if _single(pulls, at):
+            state = _strongest(own, pulls.select(F.col(at).alias("node"), F.col(to).alias("to"), F.struct("decay", "length_m", "relief_m").alias("step")), pull, max_rounds)
+            break
+    else:
+        state = _strongest_by_rounds(own, pulls, max_rounds)
+    return own.select("stream_id").join(state, "stream_id", "left").select("stream_id", F.coalesce("weight", zero).alias("weight"), F.coalesce("seed", F.lit(-1)).alias("seed"), "dist", "gain")
+
+
+def _strongest(own: DataFrame, ahead: DataFrame, pull: bool, max_rounds: int) -> DataFrame:
+    def label(weight: Column, near: Column, low: Column, lost: Column) -> Column:
+        return F.when(weight > 0, F.struct(weight.alias("weight"), near.alias("near"), low.alias("low"), lost.alias("lost")))
+
+    def carried(b: Column, s: Column) -> Column:
+        return label(b["weight"] * s["decay"], b["near"] - s["length_m"], b["low"], b["lost"] - s["relief_m"])
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct((a["decay"] * b["decay"]).alias("decay"), (a["length_m"] + b["length_m"]).alias("length_m"), (a["relief_m"] + b["relief_m"]).alias("relief_m"))
+
+    zero = F.lit(0.0)
+    seeded = own.select(F.col("stream_id").alias("node"), label(F.col("seed_strength"), zero, -F.col("stream_id"), zero).alias("best"))
+    best = _doubled(seeded.join(ahead, "node", "left").select("node", "to", "step", "best"), carried, joined, pull, max_rounds)
+    # 0.0 - x keeps a distance of nothing from becoming -0.0
+    return best.where("best is not null").select(F.col("node").alias("stream_id"), F.col("best.weight").alias("weight"), (-F.col("best.low")).alias("seed"), (zero - F.col("best.near")).alias("dist"), (zero - F.col("best.lost")).alias("gain"))
+
+
+def _strongest_by_rounds(own: DataFrame, pulls: DataFrame, max_rounds: int) -> DataFrame:
     zero = F.lit(0.0)
     state = own.where("seed_strength > 0").select("stream_id", F.col("seed_strength").alias("weight"), F.col("stream_id").alias("seed"), zero.alias("dist"), zero.alias("gain"))
     first = state = moved = cut(state)
@@ -84,12 +198,23 @@ def decay_influence(reaches: DataFrame, edges: DataFrame, distance_scale: float,
         state = cut(state.join(moved.select("stream_id"), "stream_id", "left_anti").unionByName(moved), replaces=state if state is not first else None)
     else:
         raise RuntimeError(f"influence not settled after {max_rounds} rounds")
-    return own.select("stream_id").join(state, "stream_id", "left").select("stream_id", F.coalesce("weight", zero).alias("weight"), F.coalesce("seed", F.lit(-1)).alias("seed"), "dist", "gain")
+    return state
 
 
 def network_distance(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(node, dist): the shortest undirected way over edges (src, dst, w >= 0) to any source, by relaxing frontiers."""
-    both = cut(edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    """(node, dist): the shortest undirected way over edges (src, dst, w >= 0) to any source.
+
+    Where every node has one edge out (or one in), a shortest way first follows such edges and then goes against them, so
+    distances are handed on along doubled pointers, then pulled back. Other networks are relaxed from frontiers.
+    """
+    once = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    for at, to in (("src", "dst"), ("dst", "src")):
+        if _single(once, at):
+            state = cut(_pointing(once, at, to, sources, F.lit(0.0), F.col("w").cast("double")))
+            near = _doubled(state, _farther, _longer, False, max_rounds)
+            found = _doubled(state.drop("best").join(near, "node"), _farther, _longer, True, max_rounds)
+            return found.where("best is not null").select("node", (F.lit(0.0) - F.col("best.near")).alias("dist"))
+    both = cut(once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
     first = state = moved = cut(sources.select("node").distinct().withColumn("dist", F.lit(0.0)))
     for _ in range(max_rounds):
         offered = moved.withColumnRenamed("node", "src").join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
