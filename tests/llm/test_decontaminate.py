@@ -74,3 +74,27 @@ def test_clashing_columns_are_replaced(spark):
     b = spark.createDataFrame([("x", "b c", 1), (None, "b c", 2), ("x", "b c", 3)], "item_id string, text string, n_words int")
     row = find_contamination(d, b).first()
     assert (row.n_hit, row.n_items, list(row.item_ids), row.contaminated) == (2, 2, ["", "x"], True)
+
+
+def test_repeated_and_long_items(spark, sf, monkeypatch):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect()]
+    long = " ".join(f"w{i * 7919 % 997}{'x' * (i % 3)}" for i in range(2_500))
+    words = long.split()
+    docs += [(2000 + k, "at " + " ".join(words[k * 120 : k * 120 + 11 + k]) + " end") for k in range(20)] + [(3000, " ".join(words[990:1010])), (3001, docs[0][1])]
+    items = [("copy", docs[3][1])] * 20_000 + [("long", long), ("few", "w1 " * 12), ("huge", "y" * 15_000)] + [(f"i{k}", docs[k][1]) for k in range(3)]
+    want = brute(docs, sorted(set(items)))
+    monkeypatch.setattr(decontaminate, "_LONG", 5_000)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 500)
+    assert found(spark, docs, items) == want and len(want[3000][2]) == 1
+    seen, size = [], 9_000
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", size)
+    monkeypatch.setattr(decontaminate, "compile_items", lambda texts, window, keep=decontaminate.compile_items: seen.append(sum(map(len, texts))) or keep(texts, window))
+    assert found(spark, docs, items) == want
+    assert len(seen) > 2 and sorted(seen)[-2] <= size  # one block is a word of 15,000 letters
+
+
+def test_frequent_pairs_of_words(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b"], 60)) for _ in range(40)]
+    docs, items = list(enumerate(texts)), [(f"i{k}", " ".join(rng.choice(["a", "b"], 200))) for k in range(40)]
+    assert found(spark, docs, items) == brute(docs, items)

@@ -46,3 +46,13 @@ def test_run_keeps_only_what_is_read(spark, tmp_path, monkeypatch):
     assert out.count() > 0 and out.columns == ["doc_id", "n_pieces", "ids", "round_trip", "parity"]
     (folder,) = tmp_path.glob("pipeline-*")
     assert [p.name for p in folder.iterdir()] == ["3"]
+
+
+def test_two_texts_under_one_id(spark):
+    same = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(1, same, "en", "a"), (2, same, "en", "a"), (2, other, "en", "b"), (2, other, "en", "b"), (3, None, "en", "c"), (3, None, "en", "c"), (None, same, "en", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, same), (2, other), (3, None), (None, same)], key=str)
