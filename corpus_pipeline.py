@@ -5,7 +5,7 @@ Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 
 A null text counts as empty: it has no language and goes in the first stage. A null doc_id is kept by every decision on
 ids: such a row is never a duplicate and never learned as another row's twin. Rows that repeat a doc_id and text stay
-once. Of equal or near equal documents the smallest doc_id stays. Columns beside doc_id, text and lang are carried
+once; of two texts under one doc_id each is decided on alone. Of equal or near equal documents the smallest doc_id stays. Columns beside doc_id, text and lang are carried
 through, whatever their names; an empty table gives an empty table of the same columns.
 """
 
@@ -47,14 +47,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once; a null doc_id stays."""
     small_batches(spark)
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    left = join_checked(docs, gone, "doc_id", "left_anti")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text")))
+    rows = docs.withColumn("__key", key)
+    groups = near_duplicates(rows, doc_id="__key")
+    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    left = join_checked(rows, gone, "__key", "left_anti")
     # rows that repeat a doc_id and text stay once
-    twice = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    rest = join_checked(left, twice, "doc_id", "left_anti")
-    once = join_checked(left, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.unionByName(once).select(*docs.columns)
+    twice = left.groupBy("__key").count().where("count > 1 and __key is not null").select("__key")
+    rest = join_checked(left, twice, "__key", "left_anti")
+    once = join_checked(left, twice, "__key", "left_semi").dropDuplicates(["__key"])
+    return rest.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
