@@ -20,7 +20,7 @@ SPRING_MONTHS = [4, 5, 6]
 FALL_MONTHS = [9, 10]
 
 
-def admitted(wells: DataFrame, box: tuple[float, float, float, float], classes: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def in_window(wells: DataFrame, box: tuple[float, float, float, float], classes: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Wells in a box (inclusive) of certain confinement classes with a known depth; a list of sources to include
     overrides one to exclude."""
     x0, y0, x1, y1 = box

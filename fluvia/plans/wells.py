@@ -258,7 +258,7 @@ def wells_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fx_wells", "SELECT well_id, obs_dtw FROM fx_wells WHERE x BETWEEN 2000 AND 15000 AND y BETWEEN 1000 AND 18000 AND confinement_class IN ('unconfined', 'unknown') AND well_id % 3 <> 1")
 def well_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "fx_wells").withColumnRenamed("obs_dtw", "dtw").withColumn("source", F.concat(F.lit("s"), (F.col("well_id") % 3).cast("string")))
-    return wells.admitted(rows, (2000, 1000, 15000, 18000), ["unconfined", "unknown"], exclude=["s1"]).select("well_id", F.col("dtw").alias("obs_dtw"))
+    return wells.in_window(rows, (2000, 1000, 15000, 18000), ["unconfined", "unknown"], exclude=["s1"]).select("well_id", F.col("dtw").alias("obs_dtw"))
 
 
 @query(

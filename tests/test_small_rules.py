@@ -1,6 +1,8 @@
 """Priorities, admission and fan-out by hand."""
 
+import ast
 from datetime import date
+from pathlib import Path
 
 from fluvia.operators import et, points, wells
 
@@ -17,6 +19,24 @@ def test_wells_are_admitted(spark):
     assert sorted(r.id for r in wells.admitted(df).collect()) == [1, 2]
 
 
+def test_wells_in_a_window(spark):
+    rows = [(1, 0.0, 0.0, "unconfined", "a", 1.0), (2, 10.0, 5.0, "unknown", "b", 2.0), (3, 10.1, 5.0, "unknown", "b", 2.0), (4, 1.0, 1.0, "confined", "a", 1.0), (5, 1.0, 1.0, "unconfined", "a", None), (6, 1.0, 1.0, "unknown", "c", 3.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, confinement_class string, source string, dtw double")
+
+    def ids(**sources):
+        return sorted(r.id for r in wells.in_window(df, (0, 0, 10, 5), ["unconfined", "unknown"], **sources).collect())
+
+    assert ids() == [1, 2, 6]
+    assert ids(exclude=["b"]) == [1, 6]
+    assert ids(include=["b"], exclude=["b"]) == [2]
+
+
+def test_no_function_hides_another_of_its_name():
+    for path in Path(wells.__file__).parents[1].rglob("*.py"):
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), path
+
+
 def test_fields_share_a_grid_points_days(spark):
     fields = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0), (3, 90.0, 90.0), (4, 50.0, 50.0)], "fid int, cx double, cy double")
     grid = spark.createDataFrame([(7, 0.0, 0.0), (8, 100.0, 100.0)], "gfid int, gx double, gy double")
