@@ -8,15 +8,20 @@ use a longer prefix, and their candidates must share correspondingly more shingl
 A shared shingle counts for a pair only if it stands early enough in both sets for the overlap that their two sizes
 require, so the longer set of a pair looks only among those sizes of partners that its shingle's place allows.
 
+A shingle that few sets hold gives its pairs where its postings meet, which is one shuffle. A pair must share enough in
+every prefix; only if both its sets also have shingles that many hold does one shared shingle make it a candidate. The
+postings of those other shingles go on, as follows.
+
 Copies and large groups never become all their pairs. Equal sets are one node from the start. A first round verifies
-each set against one neighbour only, the one whose prefix shingles are the most shared ones, which joins large groups of
-near copies around their least edited member; the full join then looks only at candidates that are not in one component
-yet, which are all the links that can still change a component.
+each set against one neighbour only, the one that it shares most with, or whose prefix shingles are the most shared ones,
+which joins large groups of near copies around their least edited member; the full join then looks only at candidates
+that are not in one component yet, which are all the links that can still change a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ LONGEST = 4
 COSTS = (32, 128, 512)
 #: Sets that a task remembers to have posted.
 KNOWN_SETS = 500_000
+#: Sets that hold a shingle, up to which it gives its pairs at once.
+FEW = 8
 #: Postings of one shingle and component that are paired as one list.
 CHUNK = 128
 
@@ -133,32 +140,52 @@ def _postings(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(posted, "token bigint, set_id bigint, nr bigint")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings in order of token, size and set: each once, and only where another set of the token has a size that could
-    match. The nearest sizes stand next to each other, so one row is all that is held back between batches."""
-    carry, followed = np.zeros((0, 3), np.int64), False
-    schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("nr", pa.int64())])
-
-    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], schema=schema)
-
-    for batch in batches:
-        rows = np.concatenate([carry, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)])
-        if not len(rows):
-            continue
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
-        rows = rows[new]
-        size = rows[:, 2] // _PLACES
-        same = (rows[1:, 0] == rows[:-1, 0]) & (DENOMINATOR * size[:-1] >= NUMERATOR * size[1:])
-        multi = np.zeros(len(rows), bool)
-        multi[0] = followed
-        multi[1:] |= same
-        multi[:-1] |= same
-        carry, followed = rows[-1:], bool(multi[-1])
-        yield batch_of(rows[:-1][multi[:-1]])
-    if followed:
-        yield batch_of(carry)
+def _paired_or_posted(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of postings in order of token, size and set, each taken once: the pairs of a token that at most `few` sets hold, and
+    the postings themselves of any other. A pair (a, b, level, need) is made only where the two sizes could match; level is
+    the shortest of the prefixes 1 to LONGEST that holds the shingle in both sets, need how many they must share in the
+    longest one. A posting is (token, a, b) for (token, set, nr), with level 0."""
+
+    def pairs(rows: np.ndarray) -> np.ndarray:
+        size, rank = rows[:, 2] // _PLACES, rows[:, 2] % _PLACES
+        out = []
+        for step in range(1, few):
+            x = np.flatnonzero(rows[step:, 0] == rows[:-step, 0])
+            if not len(x):
+                break
+            y = x + step
+            overlap = -(-NUMERATOR * (size[x] + size[y]) // _UNION)
+            level = np.maximum(np.maximum(rank[x] - size[x], rank[y] - size[y]) + overlap, 0) + 1
+            kept = (DENOMINATOR * size[x] >= NUMERATOR * size[y]) & (level <= LONGEST)
+            first, second = rows[x[kept], 1], rows[y[kept], 1]
+            out.append(np.stack([np.minimum(first, second), np.maximum(first, second), level[kept], np.minimum(overlap[kept], LONGEST)], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = np.zeros((0, 3), np.int64)  # the row before, and the last token's rows while they are few
+        many = None  # the last token that turned out to have more
+        for batch in itertools.chain(batches, [None]):
+            rows = held if batch is None else np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            if batch is not None and len(rows):
+                before = np.concatenate([last if len(last) else ~rows[:1], rows[:-1]])
+                rows, last = np.concatenate([held, rows[(rows[:, :2] != before[:, :2]).any(axis=1)]]), rows[-1:]
+            if not len(rows):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            count = np.diff(np.append(start, len(rows)))
+            more = (count > few) | ((rows[start, 0] == many) if many is not None else False)
+            held = rows[:0]
+            if batch is not None and not more[-1]:
+                held = rows[start[-1] :]
+            elif more[-1]:
+                many = rows[-1, 0]
+            rows, more = rows[: len(rows) - len(held)], np.repeat(more, count)[: len(rows) - len(held)]
+            two, one = pairs(rows[~more]), rows[more]
+            columns = [np.concatenate(c) for c in ((one[:, 1], two[:, 0]), (one[:, 2], two[:, 1]), (np.zeros(len(one), np.int8), two[:, 2].astype(np.int8)), (np.zeros(len(one), np.int8), two[:, 3].astype(np.int8)))]
+            token = pa.concat_arrays([pa.array(one[:, 0]), pa.nulls(len(two), pa.int64())])
+            yield pa.RecordBatch.from_arrays([token, *map(pa.array, columns)], ["token", "a", "b", "level", "need"])
+
+    return emitted
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -213,8 +240,19 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     linking = described.where("doc_id is not null and n > 0")
     usable = docs.where("doc_id is not null")
     ordered = _postings(usable, _frequencies(usable)).repartition("token").sortWithinPartitions("token", "nr", "set_id")
-    postings = cut(ordered.mapInArrow(_met, "token bigint, set_id bigint, nr bigint"))
-    met = postings.select("token", "set_id", F.expr(f"nr div {_PLACES}").alias("n"), F.expr(f"nr % {_PLACES}").alias("rank"))
+    postings = cut(ordered.mapInArrow(_paired_or_posted(FEW), "token bigint, a bigint, b bigint, level tinyint, need tinyint"))
+    met = postings.where("level = 0").select("token", F.col("a").alias("set_id"), F.expr(f"b div {_PLACES}").alias("n"), F.expr(f"b % {_PLACES}").alias("rank"))
+
+    # pairs of rarely held shingles. What a pair shares of the others is known only later, so a pair of which both sets have
+    # others stays with one shared shingle; any other pair must share enough in every prefix
+    within = [F.count_if(F.col("level") <= l).alias(f"within{l}") for l in range(1, LONGEST + 1)]
+    rare = cut(postings.where("level > 0").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("need").alias("need"), *within))
+    enough = F.expr(" and ".join(f"within{l} >= least({l}, need)" for l in range(1, LONGEST + 1)))
+    others = met.select("set_id").distinct()
+    mixed = rare.where(~enough & (F.col("within1") > 0))
+    for end in ("src", "dst"):
+        mixed = mixed.join(others.withColumnRenamed("set_id", end), end, "left_semi")
+    plausible = cut(rare.where(enough).unionByName(mixed.select(*rare.columns)).select("src", "dst", F.col(f"within{LONGEST}").alias("count")))
 
     # round 1: each set with the one neighbour that most of its shingles name
     held = met.groupBy("token").agg(F.count("*").alias("held"))
@@ -223,6 +261,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     one = F.lit(1)
     named = met.join(hub, "token").where(F.col("set_id") != F.col("hub.set_id")).where(_alike(F.col("n"), F.col("hub.n")) & _early(F.col("n"), F.col("rank"), F.col("hub.n"), one) & _early(F.col("hub.n"), F.col("hub.rank"), F.col("n"), one))
     votes = named.groupBy("set_id", F.col("hub.set_id").alias("to")).count()
+    for one_end, other in (("src", "dst"), ("dst", "src")):
+        votes = votes.unionByName(plausible.select(F.col(one_end).alias("set_id"), F.col(other).alias("to"), "count"))
     best = votes.groupBy("set_id").agg(F.max(F.struct("count", "to")).alias("best"))
     tried = cut(best.select(F.least("set_id", "best.to").alias("src"), F.greatest("set_id", "best.to").alias("dst")).distinct())
     links = cut(_verified(tried, usable, linking))
@@ -262,9 +302,16 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
 
     # lists meet only if the sizes that their members' places allow do
     met_pairs = a.join(b, ["token", "bucket"]).where("ca <> cb and ra >= nb and rb >= na").select(F.explode(F.flatten(F.transform("ma", paired))).alias("p")).select("p.*")
-    candidates = met_pairs.groupBy("src", "dst", "l").count().where("count >= l").select("src", "dst").join(tried, ["src", "dst"], "left_anti")
+    common = met_pairs.groupBy("src", "dst", "l").count()
+    rarely = F.coalesce(F.element_at(F.array(*(f"within{l}" for l in range(1, LONGEST + 1))), F.col("l")), F.lit(0))
+    often = common.join(rare, ["src", "dst"], "left").where(F.col("count") + rarely >= F.col("l")).select("src", "dst")
+    apart = plausible.select("src", "dst")
+    for end in ("src", "dst"):
+        apart = apart.join(near.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left")
+    apart = apart.where("coalesce(src_component, src) <> coalesce(dst_component, dst)").select("src", "dst")
+    candidates = often.unionByName(apart).distinct().join(tried, ["src", "dst"], "left_anti")
     candidates = cut(candidates)
-    drop(postings, between_components)
+    drop(postings, between_components, rare, plausible)
     more = cut(_verified(candidates, usable, linking), replaces=candidates)
     drop(tried)
 
