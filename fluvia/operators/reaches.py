@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fluvia.operators.spatial import distance, radius_join, segment_crossing
+from fluvia.operators.lines import cell_size
+from fluvia.operators.polygons import Raster, passed
+from fluvia.operators.spatial import distance, segment_crossing
 
 # Soft seeds by class of the hydrography, and of all other classes.
 CLASS_SEED = {"perennial": 0.9, "canal_ditch": 0.6, "artificial_path": 0.6, "intermittent": 0.4, "ephemeral": 0.05, "other": 0.2}
@@ -129,26 +131,36 @@ def smoothed_grade(at: DataFrame, key: str, value: str = "e", window: int = 5) -
     return held.withColumn("smooth", F.when(F.size("__v") > 0, F.col("__t") + a + (place - low) * (b - a))).drop("__m", "__b", "__t", "__v")
 
 
-def strips(at: DataFrame, parts: DataFrame, key: str, box: tuple[float, float, float, float], reach: float, longest: float, least: float = 1e-6) -> DataFrame:
+def strips(at: DataFrame, parts: DataFrame, key: str, box: tuple[float, float, float, float], reach: float, longest: float | None = None, least: float = 1e-6) -> DataFrame:
     """(key, station, side, x, y, hit_type, target, hit_m, ex, ey) of a ray to either side (1 left, -1 right) of every
     station, which ends at (ex, ey).
 
     interreach: the ray meets another line first, at least `least` away; edge: it leaves the box first; naked: neither
-    within `reach`. `longest` is the length of the longest segment, by which rays and segments are brought together.
+    within `reach`. Rays and segments are brought together in the raster cells that both pass, so segments may have any
+    length; `longest` is not needed any more.
     """
     c = F.col
     number = F.row_number().over(Window.partitionBy(key).orderBy("s")).cast("long") - 1
     rays = at.withColumn("station", number).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumns({"dx": c("nx") * c("side") * reach, "dy": c("ny") * c("side") * reach})
     rays = rays.select(key, "station", "side", "x", "y", "dx", "dy")
-    other = parts.select(c(key).alias("target"), *[c(n).alias(f"o{n}") for n in ("ax", "ay", "bx", "by")])
-    met = radius_join(rays, other, reach + longest, rxy=("oax", "oay")).where(c(key) != c("target"))
-    met = met.withColumn("t", segment_crossing(c("x"), c("y"), c("x") + c("dx"), c("y") + c("dy"), c("oax"), c("oay"), c("obx"), c("oby"), 1e-9))
+    other = parts.select(c(key).alias("target"), "ax", "ay", "bx", "by")
+    raster = cell_size(other, reach / 2) or Raster()
+    # what rounding may do to a place must not decide in which cell it lies
+    slack = raster.size * 1e-6
+    ends = {"ax": c("x"), "ay": c("y"), "bx": c("x") + c("dx"), "by": c("y") + c("dy")}
+    crossing = passed(rays.withColumns(ends), [key, "station", "side", "x", "y", "dx", "dy"], raster, slack)
+    held = passed(other, ["target", "ax", "ay", "bx", "by"], raster, slack).select("r", "c", "target", *[c(n).alias(f"o{n}") for n in ("ax", "ay", "bx", "by")])
+    # sizes are estimated without what cells multiply, so no side must be broadcast for seeming small
+    pairs = crossing.hint("merge").join(held.hint("merge"), ["r", "c"]).where(c(key) != c("target"))
+    # exploded, so that the share is worked out once for each pair, and not in every condition on it
+    share = segment_crossing(c("x"), c("y"), c("x") + c("dx"), c("y") + c("dy"), c("oax"), c("oay"), c("obx"), c("oby"), 1e-9)
+    met = pairs.select(key, "station", "side", "target", F.explode(F.array(share)).alias("t")).where("t is not null")
     # lines that meet the ray in one place are told apart by their ids and not by rounding
     met = met.withColumn("t", F.round("t", 9)).where(c("t") * reach >= least)
     first = met.groupBy(key, "station", "side").agg(F.min(F.struct("t", "target")).alias("h"))
     x0, y0, x1, y1 = box
     leaves = F.least(*[F.when(c(d) > 0, (F.lit(hi) - c(p)) / c(d)).when(c(d) < 0, (F.lit(lo) - c(p)) / c(d)) for p, d, lo, hi in (("x", "dx", x0, x1), ("y", "dy", y0, y1))])
-    out = rays.join(first, [key, "station", "side"], "left").withColumn("edge", F.greatest(leaves, F.lit(0.0)))
+    out = rays.hint("merge").join(first.hint("merge"), [key, "station", "side"], "left").withColumn("edge", F.greatest(leaves, F.lit(0.0)))
     crossed = c("h.t").isNotNull() & (c("edge").isNull() | (c("h.t") <= c("edge")))
     outside = ~crossed & F.coalesce(c("edge") <= 1, F.lit(False))
     share = F.when(crossed, c("h.t")).when(outside, c("edge")).otherwise(1.0)
