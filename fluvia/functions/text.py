@@ -65,14 +65,26 @@ def bucket_path(*parts: Column) -> Column:
     return F.array_join(F.array_compact(trimmed), "/")
 
 
+#: Stands between the parts of a record; no XML document can hold it.
+_BETWEEN = "\x01"
+
+
 def metadata_record(xml: Column) -> Column:
-    """Title, bounding box, first and last date (ISO) and links of one metadata document; absent parts are null."""
+    """Title, bounding box, first and last date (ISO) and links of one metadata document; absent parts are null.
+
+    A document is read twice, once for all its single parts and once for its links if it has any, and not once for each part."""
+    edges = ("westbc", "southbc", "eastbc", "northbc")
+    paths = ["//citeinfo/title", *[f"//bounding/{k}" for k in edges], "//rngdates/begdate", "//rngdates/enddate"]
+    parts = F.split(F.xpath_string(xml, F.lit("concat(" + f", '{_BETWEEN}', ".join(paths) + ")")), _BETWEEN)
+    links = F.when(~xml.contains("onlink"), F.array().cast("array<string>")).otherwise(F.xpath(xml, F.lit("//onlink/text()")))
+    read = F.struct(F.transform(parts, lambda p: F.nullif(F.trim(p), F.lit(""))).alias("p"), links.alias("links"))
 
-    def text_at(path: str) -> Column:
-        return F.nullif(F.trim(F.xpath_string(xml, F.lit(path))), F.lit(""))
+    def told(r: Column) -> Column:
+        box = [r["p"][i].try_cast("double").alias(k) for i, k in enumerate(edges, 1)]
+        return F.struct(r["p"][0].alias("title"), *box, iso_date(r["p"][5]).alias("begins"), iso_date(r["p"][6]).alias("ends"), r["links"].alias("links"))
 
-    box = [text_at(f"//bounding/{k}").try_cast("double").alias(k) for k in ("westbc", "southbc", "eastbc", "northbc")]
-    return F.struct(text_at("//citeinfo/title").alias("title"), *box, iso_date(text_at("//rngdates/begdate")).alias("begins"), iso_date(text_at("//rngdates/enddate")).alias("ends"), F.xpath(xml, F.lit("//onlink/text()")).alias("links"))
+    # within a lambda what was read has a name, so that the fields do not read it again
+    return F.transform(F.array(read), told)[0]
 
 
 def listed_keys(xml: Column) -> Column:

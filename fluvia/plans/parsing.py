@@ -108,7 +108,9 @@ def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<metadata><idinfo><citation><citeinfo><title> Order "), key.cast("string"), F.lit("</title>"), links, F.lit("</citeinfo></citation><timeperd><timeinfo><rngdates><begdate>"), day, F.lit("</begdate><enddate>"), F.when(key % 3 != 0, day).otherwise("present"),
         F.lit("</enddate></rngdates></timeinfo></timeperd><spdom><bounding><westbc>"), (-110.5 - F.col("o_custkey") % 10).cast("string"), F.lit("</westbc>"), south, F.lit("</bounding></spdom></idinfo></metadata>"),
     )
-    parsed = table(spark, sf_dir, "orders").select("o_orderkey", text.metadata_record(xml).alias("m"))
+    # documents cost far more than their rows hold, so small files must not decide how many tasks parse them
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    parsed = rows.select("o_orderkey", text.metadata_record(xml).alias("m"))
     return parsed.select("o_orderkey", "m.title", "m.westbc", "m.southbc", "m.begins", "m.ends", F.array_join("m.links", ";").alias("links"))
 
 
