@@ -167,7 +167,8 @@ def donor_pairs(receiving: DataFrame, giving: DataFrame, rules: DonorRules, targ
     kept = ["point_id", "year", "x", "y", "rem_at_sample", "rem_bin", "hydro_analog", "ndvi_peak_gs", "ndvi_amp_gs"]
     r = receiving.select(*kept)
     d = giving.select(F.col("year"), *[F.col(c).alias(f"d_{c}") for c in kept if c != "year"], *[F.col(c).alias(f"d_{c}") for c in ("irr_freq", "etf_std", "ndvi_amp_std", target)])
-    r = r.withColumn("__recipient", F.struct("point_id", "year"))
+    # both come from long plans and are read more than once
+    r, d = cut(r.withColumn("__recipient", F.struct("point_id", "year"))), cut(d)
     near = nearest_k(r, d, "__recipient", "d_point_id", rules.candidates, on=["year"], rxy=("d_x", "d_y"), within=rules.radius_m)
     delta = F.abs(F.col("rem_at_sample") - F.col("d_rem_at_sample"))
     gated = near.withColumn("rem_delta", delta).where((F.col("rem_delta") <= rules.rem_tolerance_m) & (F.col("rem_bin") == F.col("d_rem_bin")) & (F.col("hydro_analog") == F.col("d_hydro_analog")))
