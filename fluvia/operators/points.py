@@ -198,6 +198,7 @@ def background(top: DataFrame, rules: DonorRules) -> DataFrame:
     """Per recipient year: weighted median and trimmed mean of its donors, their effective number, and the reasons for
     low confidence. Fewer than least_donors give a row without an estimate."""
     key = ["point_id", "year"]
+    top = cut(top)  # read twice, and the search for donors should run once
     middle = weighted_quantiles(top, key, "target_value", "pair_weight", "donor_point_id", rules.trim)
     squares = F.sum(F.col("pair_weight") * F.col("pair_weight"))
     sums = top.groupBy(*key).agg(F.count("*").alias("n_donors_used"), F.coalesce(F.try_divide(F.lit(1.0), squares), F.lit(0.0)).alias("effective_n"), F.max("pair_weight").alias("max_weight"), F.median("distance_m").alias("median_distance_m"), F.median("rem_delta").alias("median_rem_delta"))
