@@ -45,3 +45,8 @@ def test_strips_meet_long_and_short_segments(spark):
 def test_exploded_sides_are_not_broadcast(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_only_depths_are_broadcast(spark):
+    plan = registry.queries()["lowered_strips"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2 and "NestedLoop" not in plan
