@@ -41,7 +41,7 @@ def test_strips_meet_long_and_short_segments(spark):
         assert math.isclose(r.hit_m, best[0] * 5 if best else 5.0, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["strips", "wedge_polygons"])
+@pytest.mark.parametrize("name", ["strips", "wedges", "wedge_polygons"])
 def test_exploded_sides_are_not_broadcast(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
